@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.mixing import mix_sources
 from quern.llm.ngram_join import ngram_components
 from quern.llm.suffix_dedup import remove_repeats
+from quern.llm.url_filters import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +24,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("""
+        VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+               ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS rules(host, path, verdict)""")
+    return judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op2_url_filters"] = """
+WITH rules(host, path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1) AS path
+  FROM cut),
+fits AS (
+  SELECT p.page_id, max({'n': length(r.host) + length(r.path), 'h': length(r.host), 'v': r.verdict, 'r': r.host || r.path}) AS best
+  FROM parts p JOIN rules r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.page_id)
+SELECT p.page_id, p.host, p.path, f.best['r'] AS rule, coalesce(f.best['v'], 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
+"""
+
+
 @_query
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
@@ -31,3 +61,40 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op8_mixing_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS s, length(text) AS chars,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+keyed AS (
+  SELECT *, -ln(u) / (CASE WHEN size >= 20 AND chars BETWEEN size * 3 AND size * 10 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS k FROM sized),
+sums AS (SELECT s, sum(size)::BIGINT AS source_size FROM keyed GROUP BY s),
+weighted AS (
+  SELECT *, source_size * 2 AS cap, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY s) - 1) % 3 + 1)::BIGINT]::DOUBLE AS w FROM sums),
+levels AS (
+  SELECT *, row_number() OVER o AS place,
+         (sum(source_size) OVER ())::DOUBLE * 150.0::DOUBLE / 100.0::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
+         sum(w) OVER (ORDER BY cap / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+  FROM weighted WINDOW o AS (ORDER BY cap / w, s)),
+first_open AS (SELECT place, rest, shares FROM levels WHERE rest * w / shares < cap ORDER BY place LIMIT 1),
+targets AS (
+  SELECT l.s, l.source_size,
+         CASE WHEN f.place IS NULL OR l.place < f.place THEN l.cap::DOUBLE ELSE f.rest * l.w / f.shares END AS target
+  FROM levels l LEFT JOIN first_open f ON true),
+summed AS (
+  SELECT k.doc_id, k.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs,
+         coalesce(sum(k.size) OVER (PARTITION BY k.s ORDER BY k.k, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN targets t ON k.s = t.s)
+SELECT doc_id, size, source_size, target,
+       ((epochs + CASE WHEN before < target - epochs * source_size AND 2 * before + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM summed
+"""
