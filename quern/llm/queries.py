@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.mixing import mix_sources
 from quern.llm.ngram_join import ngram_components
+from quern.llm.packing import pack_documents
 from quern.llm.suffix_dedup import remove_repeats
 from quern.llm.url_filters import judge_urls
 
@@ -63,6 +64,18 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the packing query; every machine has it at its own place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids", "loss_tokens")
+
+
 @_query
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
