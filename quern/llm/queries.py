@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.mixing import mix_sources
 from quern.llm.ngram_join import ngram_components
+from quern.llm.ordinal import fit_ordinal, grades_of, score_ordinal
 from quern.llm.packing import pack_documents
 from quern.llm.suffix_dedup import remove_repeats
 from quern.llm.url_filters import judge_urls
@@ -25,6 +26,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_ordinal(docs, grades_of(_table(spark, sf_dir, "labels")), grades=3)
+    return score_ordinal(docs, model, select=2)
+
+
 @_query
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("""
