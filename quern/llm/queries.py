@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.html_text import extract_text
 from quern.llm.mixing import mix_sources
 from quern.llm.ngram_join import ngram_components
 from quern.llm.ordinal import fit_ordinal, grades_of, score_ordinal
@@ -119,3 +120,8 @@ SELECT doc_id, size, source_size, target,
        ((epochs + CASE WHEN before < target - epochs * source_size AND 2 * before + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM summed
 """
+
+
+@_query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
