@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.shared import new_path
 from quern.llm.exact_search import search_exact
 from quern.llm.html_text import extract_text
 from quern.llm.lattice_dedup import link_vectors
@@ -16,6 +17,7 @@ from quern.llm.ordinal import fit_ordinal, grades_of, score_ordinal
 from quern.llm.packing import pack_documents
 from quern.llm.suffix_dedup import remove_repeats
 from quern.llm.url_filters import judge_urls
+from quern.llm.warc import assemble, captured_pages, read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +83,13 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@_query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    return captured_pages(assemble(read_records(spark, path, with_payload=False))).drop("url")
+
+
 def vocabulary() -> str:
     """The vocabulary file of the packing query; every machine has it at its own place."""
     import public_tokenizers
