@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.components import components
@@ -326,3 +326,19 @@ def ngram_components(docs: DataFrame, percent: int = 75, size: int = 5, id: str
     named = found.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = found.join(named, "component", "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: of each component the one with the least id, null last.
+
+    Rows without words are linked with nothing and all stay. Of rows alike in id and text one stays.
+    """
+    row = F.xxhash64(F.col(id), F.col(text))
+    found = ngram_classes(docs.select(row.alias("row"), F.col(text).alias("text")), percent, size, "row", "text").select(F.col("id").alias("row"), "n", F.coalesce("component", "id").alias("component")).distinct()
+    named = docs.select(row.alias("row"), F.col(id).cast("long").alias("named")).distinct().join(found, "row")
+    least = F.struct(F.coalesce("named", F.lit((1 << 63) - 1)).alias("id"), "row", "n")
+    stay = named.groupBy("component").agg(F.min(least).alias("least")).select("least.row", "least.n").unionByName(named.where("n = 0").select("row", "n")).distinct()
+    stay = stay.select(F.col("row").alias("row__"), F.col("n").alias("n__"))
+    again = F.row_number().over(Window.partitionBy("row__").orderBy("row__"))
+    kept = docs.withColumn("row__", row).join(stay, "row__").withColumn("again__", again).where("again__ = 1 or n__ = 0")
+    return kept.select(*docs.columns)

@@ -247,6 +247,11 @@ _KEPT_SQL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 st
 _KEPT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
+def whole_characters(kept: bytes) -> str:
+    """UTF-8 text of what is left: a character that lost some of its bytes goes."""
+    return kept.decode("utf-8", "ignore")
+
+
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of the union of spans (n, 2)."""
     if not len(spans):
@@ -268,30 +273,38 @@ def _cut_out(with_text: bool):
                     runs = merged(np.concatenate([np.frombuffer(x, np.int32) for x in found]).reshape(-1, 2)) if found else []
                     kept = b"".join(text[x:y] for x, y in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), len(text)], strict=True))
                     rows.append((id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if with_text else None, [{"start": x, "end": y} for x, y in runs] if with_text else None))
-                yield _batch(_KEPT, rows)
+                found = _batch(_KEPT, rows)
+                extra = [k for k in part.schema.names if k.startswith("carry_")]
+                texts = [pa.array([whole_characters(x[5]) for x in rows], pa.string())] if with_text else []
+                yield pa.RecordBatch.from_arrays([*found.columns, *texts, *(part.column(k) for k in extra)], names=[*found.schema.names, *["text"] * with_text, *extra])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id: str = "doc_id", text: str = "text", heavy: int = 16384, with_text: bool = True) -> DataFrame:
-    """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
+def remove_repeats(docs: DataFrame, length: int = 200, id: str = "doc_id", text: str = "text", heavy: int = 16384, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, and more with `with_text`.
 
-    `kept` are the bytes left, in order, and `spans` the maximal removed runs; both are null
-    without `with_text`. See the module for nulls and repeated rows.
+    With it come `kept`, the bytes left in order, `spans`, the maximal removed runs, and the text column:
+    what is left without broken characters. `carry` names other columns to keep. See the module for nulls.
     """
     if length < 16:
         raise ValueError("length is 16 bytes at least")
     spark = docs.sparkSession
     gram, partitions = min(GRAM, length // 2 // 8 * 8), int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     bits = min(16, max(6, partitions.bit_length()))
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    extra = [f"carry_{k}" for k in carry]
+    texts = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(F.col(k).alias(f"carry_{k}") for k in carry))
     texts = texts.withColumn("row", F.xxhash64("id", "text"))
     sent = texts.select("row", "text").mapInArrow(_send_anchors(length, gram, bits), _ANCHORS_SQL)
     found = sent.repartitionById(1 << bits, F.col("place")).mapInArrow(_found(heavy), _FOUND_SQL)
     found = found.groupBy("row").agg(F.collect_set(F.struct("at", "low", "high", "anchor", "many")).alias("found"))
     placed = texts.repartition(partitions, "row")
-    contexts = placed.join(found, "row").select("id", "row", "text", "found").mapInArrow(_send_contexts(length), _CONTEXT_SQL)
+    contexts = placed.join(found, "row").select("id", "row", "text", "found", *extra).mapInArrow(_send_contexts(length), _CONTEXT_SQL)
     spans = contexts.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_match(length), "row long, spans binary")
     spans = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    out = placed.join(spans, "row", "left").select("id", "row", "text", "spans").mapInArrow(_cut_out(with_text), _KEPT_SQL)
-    return out.withColumnRenamed("id", id)
+    types = "".join(f", `{k}` {placed.schema[k].dataType.simpleString()}" for k in extra)
+    out = placed.join(spans, "row", "left").select("id", "row", "text", "spans", *extra).mapInArrow(_cut_out(with_text), _KEPT_SQL + ", text string" * with_text + types)
+    # The input's column names may be those of results: each is named by its place.
+    left = [k for k in out.columns if with_text or k not in ("kept", "spans")]
+    new = {"id": id, "text": text} | {f"carry_{k}": k for k in carry}
+    return out.select(*(F.col(k).alias(new.get(k, k)) for k in left))
