@@ -170,8 +170,8 @@ def _send_contexts(length: int):
                             fine = _name(name.to_bytes(8, "little", signed=True) + (at - c).to_bytes(4, "little", signed=True) + whole[base + c : base + d])
                             seen.setdefault((fine, whole[base + a : base + b + length]), []).append((row, a))
                 out = [(name, *where[0], len(where) > 1, body) for (name, body), where in seen.items()]
-                # Those beyond the first are known to be repeated: they pass as spans, without a mark.
-                out += [(name, row, start, None, len(body).to_bytes(4, "little")) for (name, body), where in seen.items() if len(where) > 1 for row, start in where[1:]]
+                # Those beyond the first are known to be repeated: they pass as spans, without a mark, spread by row.
+                out += [(row, row, start, None, len(body).to_bytes(4, "little")) for (_, body), where in seen.items() if len(where) > 1 for row, start in where[1:]]
                 for a in range(0, len(out), 4096):
                     yield _batch(_CONTEXT, out[a : a + 4096])
 
