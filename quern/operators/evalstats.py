@@ -14,7 +14,7 @@ SAMPLES = "task string, doc_id long, doc_hash string, value double"
 def pick_metric(metrics: Column, name: str) -> Column:
     """The one metric named `name` or `name,...` of a map; an error unless there is one and it is finite."""
     found = F.map_values(F.map_filter(metrics, lambda k, _: (k == name) | F.startswith(k, F.lit(f"{name},"))))
-    value = found[0]
+    value = F.get(found, F.lit(0))
     bad = (F.size(found) != 1) | value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
     return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit(f"expected one finite {name!r} metric"))).otherwise(value)
 

@@ -146,7 +146,7 @@ def packed_violations(targets: DataFrame, source: DataFrame, output: DataFrame,
     both = expected.join(output.select("name").distinct().withColumn("o", F.lit(True)), "name", "full")
     names = both.where("e is null or o is null").select(F.when(F.col("o").isNull(), "missing_tensor").otherwise("extra_tensor").alias("rule"), F.col("name").alias("key"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("observed"))
     text = lambda dtype, shape: F.concat_ws(" ", dtype, F.to_json(shape))
-    form = F.when(F.col("part") == "weight_packed", text(F.lit("I32"), F.array(F.col("shape")[0], F.floor(F.col("shape")[1] / 8)))).when(F.col("part") == "weight_scale", text(F.lit("BF16"), F.array(F.col("shape")[0], F.floor(F.col("shape")[1] / group_size))))
+    form = F.when(F.col("part") == "weight_packed", text(F.lit("I32"), F.array(F.get("shape", F.lit(0)), F.floor(F.get("shape", F.lit(1)) / 8)))).when(F.col("part") == "weight_scale", text(F.lit("BF16"), F.array(F.get("shape", F.lit(0)), F.floor(F.get("shape", F.lit(1)) / group_size))))
     wanted = made.select("name", form.alias("expected")).where("expected is not null").unionByName(kept.select("name", text(F.col("dtype"), F.col("shape")).alias("expected")))
     have = output.select("name", text(F.col("dtype"), F.col("shape")).alias("observed"))
     forms = wanted.join(have, "name").where("expected <> observed").select(F.lit("tensor_form").alias("rule"), F.col("name").alias("key"), "expected", "observed")

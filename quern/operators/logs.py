@@ -33,7 +33,7 @@ def reported_numbers(text: Column, pattern: str) -> Column:
 def single_number(text: Column, pattern: str, what: str) -> Column:
     """The one number reported; an error if none or several are."""
     found = reported_numbers(text, pattern)
-    return F.when(F.size(found) == 1, found[0]).otherwise(F.raise_error(F.lit(f"expected one {what}")).cast("long"))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.raise_error(F.lit(f"expected one {what}")).cast("long"))
 
 
 def log_violations(logs: DataFrame, key: str, text: str, chunk: int, least_capacity: int) -> DataFrame:
@@ -46,7 +46,7 @@ def log_violations(logs: DataFrame, key: str, text: str, chunk: int, least_capac
     tests = [failed, *[rule(~log.contains(marker), name, F.lit(marker), none) for name, marker in MARKERS.items()]]
     tests.append(rule(~chunks.eqNullSafe(F.array(F.lit(chunk).cast("long"))), "chunked_prefill", F.lit(chunk), F.array_join(chunks.cast("array<string>"), ",")))
     tests.append(rule(F.size(capacity) != 1, "kv_capacity_reports", F.lit(1), F.size(capacity)))
-    tests.append(rule((F.size(capacity) == 1) & (capacity[0] < least_capacity), "kv_capacity", F.lit(least_capacity), capacity[0]))
+    tests.append(rule((F.size(capacity) == 1) & (F.get(capacity, F.lit(0)) < least_capacity), "kv_capacity", F.lit(least_capacity), F.get(capacity, F.lit(0))))
     return logs.select(F.col(key).cast("string").alias("key"), F.explode(F.array_compact(F.array(*tests))).alias("v")).select("v.rule", "key", "v.expected", "v.observed")
 
 

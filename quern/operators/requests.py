@@ -85,7 +85,7 @@ def logprob_summary(rows: DataFrame, key: str = "request_id") -> DataFrame:
 
     `rows`: key, token_ids, prompt_token_ids, logprobs (array of doubles, the first null), context_tokens.
     """
-    complete = (F.col("token_ids") == F.col("prompt_token_ids")) & (F.size("logprobs") == F.size("token_ids")) & F.col("logprobs")[0].isNull()
+    complete = (F.col("token_ids") == F.col("prompt_token_ids")) & (F.size("logprobs") == F.size("token_ids")) & F.get("logprobs", F.lit(0)).isNull()
     tail = F.slice("logprobs", 2, F.greatest(F.size("logprobs") - 1, F.lit(0)))
     finite = F.forall(tail, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     checked = F.when(F.coalesce(complete & finite, F.lit(False)), F.col("context_tokens")).otherwise(F.raise_error(F.concat(F.lit("incomplete log-probabilities: "), F.col(key).cast("string"))))

@@ -25,12 +25,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset_key, document): heterogeneous JSON lines as variants, without inferring a schema.
+    """(file, offset_key, document): heterogeneous JSON lines as variants, without inferring a schema; blank ones are null.
 
     offset_key orders the lines of a file; `source_index` of `with_source_index` counts them across files.
     """
     lines = spark.read.text(path)
-    return lines.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("offset_key"), F.parse_json("value").alias("document"))
+    return lines.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("offset_key"), F.when(F.trim("value") != "", F.parse_json("value")).alias("document"))
 
 
 def with_source_index(rows: DataFrame, order: list[str]) -> DataFrame:
