@@ -164,8 +164,9 @@ def assemble(records: DataFrame) -> DataFrame:
     """One row for each capture: capture_id, response, request (structs) and metadata (an array of structs)."""
     asks = records.where("type = 'request' and concurrent_to is not null").groupBy(F.col("record_id").alias("concurrent_to")).agg(F.min("concurrent_to").alias("onward"))
     main = F.col("type").isin("response", "revisit", "resource")
-    rows = records.join(asks, "concurrent_to", "left")
-    rows = rows.withColumn("capture_id", F.when(main, F.col("record_id")).otherwise(F.coalesce("onward", "concurrent_to", "record_id")))
+    # Records that name none are spread by their own identifier, which names no request.
+    rows = records.withColumn("named", F.coalesce("concurrent_to", "record_id")).join(asks.withColumnRenamed("concurrent_to", "named"), "named", "left")
+    rows = rows.withColumn("capture_id", F.when(main, F.col("record_id")).otherwise(F.coalesce("onward", "named")))
     whole = F.struct("record_id", "type", "url", "date", "refers_to", "payload_bytes", "payload_digest", "fields", "payload")
     return rows.groupBy("capture_id").agg(
         F.first(F.when(main, whole), ignorenulls=True).alias("response"),
@@ -176,6 +177,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def captured_pages(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url of each capture with a response."""
-    about = lambda name: F.try_element_at(F.col("metadata")[0]["fields"], F.lit(name)).cast("long")
+    about = lambda name: F.try_element_at(F.get("metadata", F.lit(0))["fields"], F.lit(name)).cast("long")
     flat = captures.where("response is not null").select("capture_id", about("page").alias("page_id"), F.coalesce("response.payload_bytes", about("payload-length")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"), F.col("response.url").alias("url"))
-    return flat.join(flat.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to")), "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    named = flat.where("record_type = 'response'").select(F.col("capture_id").alias("named"), F.col("page_id").alias("of"))
+    # Captures that refer to none are spread by their own identifier.
+    out = flat.withColumn("named", F.coalesce("target", "capture_id")).join(named, "named", "left")
+    return out.withColumn("refers_to", F.when(F.col("target").isNotNull(), F.col("of"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
