@@ -28,7 +28,17 @@ def _query(f):
     return f
 
 
+#: Rows that travel to a Python worker at once. Texts of documents take some 3 kB each, some a hundred times that.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to so few rows that workers' memory doesn't depend on long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

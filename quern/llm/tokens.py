@@ -19,6 +19,13 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from a list of texts to a list of id sequences, without special tokens added.
@@ -27,14 +34,11 @@ def encoder(path: str):
     run by tiktoken's faster core from the same file; a text that holds one of the file's added
     tokens, and any other kind of file, goes through tokenizers. Both give the same ids.
     """
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
 
     def plain(texts: list[str]) -> list:
-        return [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
     merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
