@@ -10,12 +10,13 @@ from quern.llm.mixing import mix_sources
 from quern.llm.ngram_join import one_of_each
 from quern.llm.ordinal import fit_ordinal, grades_of, score_ordinal
 from quern.llm.packing import pack_documents
-from quern.llm.queries import vocabulary
+from quern.llm.queries import bound_batches, vocabulary
 from quern.llm.suffix_dedup import remove_repeats
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade reaches one half stay."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_ordinal(docs, grades_of(labels), grades=3)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
@@ -24,11 +25,13 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-copies link, the one with the least doc_id stays."""
+    bound_batches(spark)
     return one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the bytes of strings of 200 bytes that also start elsewhere; n_chars follows."""
+    bound_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     left = remove_repeats(docs, carry=others).select(*docs.columns)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
@@ -42,6 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, with their ids."""
+    bound_batches(spark)
     return pack_documents(docs, vocabulary())
 
 
