@@ -49,7 +49,9 @@ _SETS_SQL = "kind int, id long, n long, c long, weight double, shared binary, pr
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("weight", pa.float64()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 DOC, SEGMENTS, CANDIDATE = 0, 1, 2
 #: Classes of a block in step 5, of those without a link to their leader and of all.
-REST, BLOCK = 256, 1024
+REST, BLOCK = 256, 512
+#: Bytes of text treated at once.
+PIECE = 4 << 20
 #: Classes that share a leader's segment in one group of step 4.
 SPREAD = 4096
 
@@ -84,7 +86,7 @@ def _segments(size: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 8 << 20):
+            for part in pieces(batch, "text", PIECE):
                 sets = shingle_sets(part.column("text"), size)
                 keys = [class_key(x) for x in sets]
                 sizes = [len(x) for x in sets]
@@ -302,14 +304,15 @@ def ngram_classes(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "
     near = counted.groupBy("c", "n", "leader", "leader_n").agg(F.sum("common").alias("common")).where(linked(F.col("common"), F.col("n"), F.col("leader_n"), percent))
     near = cut(near.select("c", "leader"), "near")
 
-    state = members.join(near, "c", "left").join(heads.select("family", F.col("leader").alias("head")), "family")
-    state = state.select("family", "c", "n", "shared", F.coalesce("leader", "c").alias("near"), F.expr("leader is null and c <> head").alias("rest")).where("c <> near or rest")
+    # Only names and flags meet by family; the sets join by class, and only those of families with unattached classes.
+    state = members.select("family", "c", "n").join(near, "c", "left").join(heads.select("family", F.col("leader").alias("head")), "family")
+    state = state.select("family", "c", "n", F.coalesce("leader", "c").alias("near"), F.expr("leader is null and c <> head").alias("rest")).where("c <> near or rest")
     plan = state.groupBy("family").agg(F.count_if("rest").alias("r"), F.count("*").alias("m")).where("r > 0 and m > 1")
     plan = plan.select("family", F.ceil(F.col("r") / REST).alias("rs"), F.ceil(F.col("m") / BLOCK).alias("ms"))
     state = state.join(plan, "family")
-    one = state.where("rest").select("family", F.expr("pmod(xxhash64(c), rs)").alias("i"), F.explode(F.expr("sequence(0L, ms - 1)")).alias("j"), F.lit(0).alias("side"), "c", "n", "near", "shared")
-    two = state.select("family", F.explode(F.expr("sequence(0L, rs - 1)")).alias("i"), F.expr("pmod(xxhash64(c, 1), ms)").alias("j"), F.lit(1).alias("side"), "c", "n", "near", "shared")
-    forest = one.unionByName(two).groupBy("family", "i", "j").applyInArrow(_forest(percent), "u long, v long")
+    one = state.where("rest").select("family", F.expr("pmod(xxhash64(c), rs)").alias("i"), F.explode(F.expr("sequence(0L, ms - 1)")).alias("j"), F.lit(0).alias("side"), "c", "n", "near")
+    two = state.select("family", F.explode(F.expr("sequence(0L, rs - 1)")).alias("i"), F.expr("pmod(xxhash64(c, 1), ms)").alias("j"), F.lit(1).alias("side"), "c", "n", "near")
+    forest = one.unionByName(two).join(members.select("c", "shared"), "c").groupBy("family", "i", "j").applyInArrow(_forest(percent), "u long, v long")
 
     links = near.select(F.col("c").alias("u"), F.col("leader").alias("v")).unionByName(forest)
     found = components(links).withColumnRenamed("node", "c")
