@@ -41,7 +41,7 @@ from quern.llm.textvec import loads8, mix, text_bytes
 
 GRAM, FINE, PLACE_BITS = 64, 16, 28
 #: Bytes of input treated at once, and bytes of contexts in one suffix array.
-PIECE, BLOCK = 2 << 20, 2 << 20
+PIECE, BLOCK = 1 << 20, 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 _ANCHORS = pa.schema([("place", pa.int32()), ("row", pa.binary()), ("at", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("anchor", pa.binary())])

@@ -55,7 +55,8 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64)
-    direct = _direct(data, np.flatnonzero(_smaller_than_next(data)), depth)
+    # From the end on, as of suffixes that tie with zeros beyond the end the shorter is the smaller.
+    direct = _direct(data, np.flatnonzero(_smaller_than_next(data))[::-1], depth)
     heads = np.searchsorted(data[direct], np.arange(257))
     queues: list[list[np.ndarray]] = [[] for _ in range(256)]
     queues[data[n - 1]].append(np.array([n - 1]))
