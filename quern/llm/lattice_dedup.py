@@ -37,7 +37,7 @@ from quern.llm.batches import groups
 from quern.llm.textvec import mix
 from quern.llm.vectors import matrix, units, whole
 
-HOME_BLOCK, VISIT_BLOCK, PAIR_BLOCK = 1024, 4096, 1024
+HOME_BLOCK, VISIT_BLOCK, PAIR_BLOCK = 1024, 4096, 256
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
