@@ -2,8 +2,8 @@
 
 P(grade >= k) = sigmoid(s - threshold_k) with thresholds in order and one score s for all grades: the
 sum of shared weights of the text's hashed features, each times 1 + log(count). Features are the
-words (runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased), the runs between them up to
-eight bytes, and whether a word repeats the one before. Of the 2^18 hash buckets, those keep a weight
+words (runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased), their first four and first six
+bytes, so that unseen forms of a known stem count, the runs between words up to eight bytes, and whether a word repeats the one before. Of the 2^18 hash buckets, those keep a weight
 whose presence depends on the grade: `least_texts` rated texts or more, chi-square over `least_chi`.
 
 The model is fitted on at most `most_ratings` ratings, those of the smallest hash of their id, so the
@@ -34,6 +34,7 @@ from quern.llm.textvec import _LOWER, hash_spans, mix, spans_of_words, text_byte
 BITS = 18
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_STEMS = (4, 6)
 _REPEAT = mix(np.array([1], np.uint64))[0]
 
 
@@ -60,14 +61,15 @@ def features(column, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     data = _LOWER[data]
     starts, ends, first = spans_of_words(data, offsets, _LETTER)
     words = hash_spans(data, starts, ends)
+    stems = [mix(hash_spans(data, starts, np.minimum(ends, starts + k)) + np.uint64(k)) for k in _STEMS]
     again = np.zeros(len(words), bool)
     np.equal(words[1:], words[:-1], out=again[1:])
     again[first[:-1][first[:-1] < len(words)]] = False
     starts, ends, first_gap = spans_of_words(data, offsets, ~_LETTER)
     gaps = mix(hash_spans(data, starts, np.minimum(ends, starts + 8)))
     count = lambda cuts: np.repeat(np.arange(len(offsets) - 1), np.diff(cuts))
-    text = np.concatenate([count(first), count(first_gap), count(first)[again]])
-    bucket = (np.concatenate([words, gaps, np.full(int(again.sum()), _REPEAT)]) >> np.uint64(64 - BITS)).astype(np.int64)
+    text = np.concatenate([count(first)] * (1 + len(stems)) + [count(first_gap), count(first)[again]])
+    bucket = (np.concatenate([words, *stems, gaps, np.full(int(again.sum()), _REPEAT)]) >> np.uint64(64 - BITS)).astype(np.int64)
     if chosen is not None:
         keep = chosen[bucket]
         text, bucket = text[keep], bucket[keep]
@@ -120,8 +122,11 @@ def _fit(grade: np.ndarray, text: np.ndarray, column: np.ndarray, value: np.ndar
     return x[:width], x[width:]
 
 
-def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings: int = 20_000, least_texts: int = 5, least_chi: float = 15.0, l2: float = 1e-4, rounds: int = 200, rate: float = 0.05, id: str = "doc_id", text: str = "text") -> OrdinalModel:
-    """Fit on `ratings` (id, grade in 0 .. grades - 1) of the texts of `docs`."""
+def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings: int = 20_000, least_texts: int = 3, least_chi: float = 15.0, l2: float = 1e-4, rounds: int = 200, rate: float = 0.05, id: str = "doc_id", text: str = "text") -> OrdinalModel:
+    """Fit on `ratings` (id, grade in 0 .. grades - 1) of the texts of `docs`.
+
+    The penalty on squared weights is `l2`, or one over the number of ratings where those are fewer.
+    """
     sample = ratings.select(F.col(id).alias("rated"), F.col("grade").cast("int").alias("grade")).where(f"rated is not null and grade between 0 and {grades - 1}")
     sample = sample.orderBy(F.xxhash64("rated"), "rated", "grade").limit(most_ratings)
     rated = docs.select(F.col(id).alias("rated"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "rated").select("grade", "text")
@@ -154,7 +159,7 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings:
     column = [np.frombuffer(x, np.int32) for x in table.column("buckets").to_pylist()]
     counts = [np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]
     flat = lambda parts: np.concatenate([np.zeros(0, np.int32), *parts])
-    weights, thresholds = _fit(table.column("grade").to_numpy().astype(np.int64), np.repeat(np.arange(len(column)), [len(x) for x in column]), flat(column), 1 + np.log(flat(counts)), len(buckets), grades, l2, rounds, rate)
+    weights, thresholds = _fit(table.column("grade").to_numpy().astype(np.int64), np.repeat(np.arange(len(column)), [len(x) for x in column]), flat(column), 1 + np.log(flat(counts)), len(buckets), grades, max(l2, 1 / n), rounds, rate)
     return OrdinalModel(buckets, weights, thresholds)
 
 
