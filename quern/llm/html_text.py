@@ -11,7 +11,8 @@ tags below it, of which LC and LT in links, the composite density is
 with the body's LCb and Cb, a missing count taken as 1; where the page has no links the base is 1 and
 the factor is left out. The element whose children's densities sum to the most is the article. The threshold is
 the least density on its path to the body: siblings on that path that reach it, with 200 characters or
-more and less than 30 % of them in links, belong to the article too, as does a headline h1.
+more and less than 30 % of them in links, belong to the article too, as does a headline h1. Lists and containers in it
+whose text stands in links, 80 % of it in two or more, are menus and go.
 
 Text runs between block-level elements are blocks. Character references are decoded, white space in a
 block becomes one space, blocks are joined in page order by two line feeds. Nothing is capped.
@@ -52,6 +53,8 @@ _NOISE = frozenset(
     "skip copyright paywall toc tags outbrain taboola hidden".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Such elements, where over 80 % of the text stands in two or more links, are menus.
+_HOLDERS = frozenset("ul ol div section table dl".split())
 _ROOTS = frozenset(("html", "body", "main"))
 
 
@@ -211,9 +214,11 @@ def main_text(page: str | None) -> str:
     on_path = set(path)
     for k in range(1, len(density)):
         up = tree.parent[k]
+        if k in on_path:
+            continue
         if taken[up]:
-            taken[k] = True
-        elif up in on_path and k not in on_path:
+            taken[k] = not (tree.tag[k] in _HOLDERS and tree.link_tags[k] > 1 and tree.link_chars[k] > 0.8 * tree.chars[k])
+        elif up in on_path:
             c = tree.chars[k]
             taken[k] = tree.tag[k] == "h1" and c > 0 or density[k] >= threshold and c >= 200 and tree.link_chars[k] < 0.3 * c
     blocks: dict[int, list[str]] = {}

@@ -107,7 +107,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         name = ""
         while (line := stream.readline()).strip():
             if line[:1] in b" \t" and name:  # a folded field goes on
-                fields[name] += " " + line.strip().decode("utf-8", "replace")
+                fields[name] = f"{fields[name]} {line.strip().decode('utf-8', 'replace')}".strip()
                 continue
             name, _, value = line.decode("utf-8", "replace").partition(":")
             name = name.strip().lower()
