@@ -85,3 +85,16 @@ def conversation_messages(turns: DataFrame, key: str = "conv_id", order: str = "
     none = F.lit(None).cast("string")
     one = F.struct(F.col(order).alias("at"), F.struct(F.col(role).alias("role"), F.col(text).alias("content"), F.lit(None).cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>").alias("tool_calls"), none.alias("tool_call_id"), none.alias("name")).alias("message"))
     return turns.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("m")).select(key, F.transform("m", lambda x: x["message"]).cast(MESSAGES).alias("messages"))
+
+
+def render_template(messages: Column, tools: Column | None = None, opening: str = "<|{role}|>", closing: str = "<|end|>") -> Column:
+    """Messages by a plain chat template: role mark, content, tool calls as JSON, end mark; tools first if given.
+
+    The model's own template isn't available here; another one is another opening and closing, or a pandas UDF over the
+    same messages.
+    """
+    before, _, after = opening.partition("{role}")
+    calls = lambda m: F.when(F.size(m["tool_calls"]) > 0, F.to_json(m["tool_calls"])).otherwise("")
+    body = F.transform(messages, lambda m: F.concat(F.lit(before), m["role"], F.lit(after + "\n"), F.coalesce(m["content"], F.lit("")), F.coalesce(calls(m), F.lit("")), F.lit(closing + "\n")))
+    text = F.array_join(body, "")
+    return text if tools is None else F.concat(F.when(tools.isNotNull(), F.concat(F.lit(before + "tools" + after + "\n"), tools, F.lit(closing + "\n"))).otherwise(""), text)

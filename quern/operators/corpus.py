@@ -192,3 +192,37 @@ def preferred_split(available: Column) -> Column:
 def longest_prefix(lengths: Column, low: int, high: int) -> Column:
     """Of cumulative prefix lengths, the last one within low..high before the first beyond high; null if none."""
     return let(F.filter(lengths, lambda n: n <= high), lambda kept: F.array_max(F.filter(kept, lambda n: n >= low)))
+
+
+def shuffled_take(rows: DataFrame, id: str, count: int, seed: int = 42) -> DataFrame:
+    """The first `count` rows in seeded order, with their place from 0; a top-k, so nothing is sorted whole."""
+    key = shuffled_key(F.col(id), seed)
+    top = rows.withColumn("key__", key).orderBy("key__", id).limit(count)
+    place = F.row_number().over(Window.orderBy("key__", id)) - 1  # over `count` rows at most
+    return top.withColumn("place", place).drop("key__")
+
+
+def frozen_sample(rows: DataFrame, id: str, count: int, seed: int = 42) -> DataFrame:
+    """As `shuffled_take`, where fewer rows than asked for are an error."""
+    found = shuffled_take(rows, id, count, seed)
+    enough = F.count("*").over(Window.partitionBy())
+    return found.withColumn("place", F.when(enough == count, F.col("place")).otherwise(F.raise_error(F.lit(f"fewer than {count} rows to sample")).cast("int")))
+
+
+def executable(*patches: Column) -> Column:
+    """Cases whose patches and tests are all present."""
+    out = F.lit(True)
+    for patch in patches:
+        out = out & (F.coalesce(patch, F.lit("")) != "")
+    return out
+
+
+def positions(rows: DataFrame, place: str, count: int) -> DataFrame:
+    """The first `count` rows by position."""
+    return rows.where(F.col(place) < count)
+
+
+def due_marks(rows: DataFrame, place: str, total: int, share: float = 0.2) -> DataFrame:
+    """Whether a checkpoint is due at each place from 1: every ceil(total * share) ones and at the last."""
+    every = max(1, -(-int(total * share * 1000) // 1000))
+    return rows.withColumn("due", (F.col(place) % every == 0) | (F.col(place) == total))

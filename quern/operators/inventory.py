@@ -162,3 +162,31 @@ def manifest_changes(before: DataFrame, after: DataFrame, key: str = "model") ->
     """Models whose identity changed, or that only one of two manifests has."""
     b, a = before.select(key, F.col("identity_sha256").alias("expected")), after.select(key, F.col("identity_sha256").alias("observed"))
     return b.join(a, key, "full").where(~F.col("expected").eqNullSafe(F.col("observed"))).select(F.lit("manifest_identity").alias("rule"), F.col(key).alias("key"), "expected", "observed")
+
+
+def select_targets(names: DataFrame, suffixes: DataFrame, pattern: str) -> DataFrame:
+    """(name, suffix): names that match the pattern whole and end, after a dot, in a known suffix; the longest one.
+
+    A name meets suffixes by equality of its dotted endings, so there is no product of names and suffixes.
+    """
+    parts = F.split("name", r"\.")
+    endings = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    some = names.where(F.col("name").rlike(f"^(?:{pattern})$") & F.col("name").contains("."))
+    met = some.select("name", F.explode(endings).alias("suffix")).join(suffixes.select("suffix").distinct(), "suffix")
+    return met.groupBy("name").agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
+
+
+def names_by_shard(tensors: DataFrame) -> DataFrame:
+    """(shard, names): a shard's tensor names, sorted; a shard's header bounds them."""
+    return tensors.groupBy("shard").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def placements(modules: DataFrame, device: str = "device") -> DataFrame:
+    """Modules on each device."""
+    return modules.groupBy(device).agg(F.count("*").alias("modules"))
+
+
+def count_violations(rows: DataFrame, predicate: Column, expected: int, rule: str) -> DataFrame:
+    """A violation unless so many rows fit."""
+    n = rows.agg(F.count_if(predicate).alias("n"))
+    return n.where(F.col("n") != expected).select(F.lit(rule).alias("rule"), F.lit("all").alias("key"), F.lit(str(expected)).alias("expected"), F.col("n").cast("string").alias("observed"))

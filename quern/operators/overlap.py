@@ -120,3 +120,29 @@ def clearance(corpus: DataFrame, reports: DataFrame, expected_cases: DataFrame)
     open_ = reports.where("unresolved_overlaps is null or unresolved_overlaps > 0").select(F.lit("unresolved_overlaps"), "name", F.lit("0"), F.col("unresolved_overlaps").cast("string"))
     cases = expected_cases.where(~F.col("expected").eqNullSafe(F.col("observed"))).select(F.lit("suite_cases"), "suite", F.col("expected").cast("string"), F.col("observed").cast("string"))
     return digest.union(status).union(open_).union(cases)
+
+
+def screened_fields(cases: DataFrame, id: str = "id", fields: tuple[str, ...] = ("prompt", "code")) -> DataFrame:
+    """(id, field, text): one row for each field of a case that isn't empty."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
+    return cases.select(id, each.alias("x")).where("x.text is not null and x.text <> ''").select(id, "x.field", "x.text")
+
+
+def screen_fields(corpus: DataFrame, cases: DataFrame, id: str = "doc_id", text: str = "text", case_id: str = "id", fields: tuple[str, ...] = ("prompt", "code"), exact: bool = True) -> DataFrame:
+    """(id, case_id, field, exact_text, containment): the overlap report of each field of the cases."""
+    held = screened_fields(cases, case_id, fields).withColumn("both", F.struct(case_id, "field"))
+    if exact:
+        found = overlap_matches(corpus, held, id, text, "both", "text")
+    else:
+        found = containment(corpus, held, id, text, "both", "text").select(id, "both", F.lit(False).alias("exact_text"), "containment")
+    return found.select(id, F.col(f"both.{case_id}").alias(case_id), F.col("both.field").alias("field"), "exact_text", "containment")
+
+
+def origin_rows(selected: DataFrame, upstream: DataFrame) -> DataFrame:
+    """Selected rows with their upstream rows, by source and position."""
+    return selected.join(upstream, ["source", "source_index"])
+
+
+def origin_metadata(metadata, keys: tuple[str, ...] = ("trajectory_id", "image", "crate_name", "task", "episode", "trial_name", "uuid")):
+    """The identifying entries of a row's metadata map."""
+    return F.map_filter(metadata, lambda k, _: k.isin(*keys))

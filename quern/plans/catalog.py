@@ -128,6 +128,20 @@ def fixed_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.fixed_subset(table(spark, sf_dir, "benchmark"), "item_id", 10).select("item_id", "in_subset")
 
 
+@query(
+    """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id)::INTEGER - 1 AS place FROM documents)
+SELECT doc_id, place FROM r WHERE place < 50"""
+)
+def shuffled_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.frozen_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50).select("doc_id", "place")
+
+
+@query("SELECT item_id, item_id % 8 = 0 OR item_id = 39 AS due FROM (SELECT unnest(generate_series(1, 39)) AS item_id)")
+def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.due_marks(spark.range(1, 40).withColumnRenamed("id", "item_id"), "item_id", 39)
+
+
 @query("SELECT CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'licensed' ELSE 'open' END AS kind, count(*) AS n FROM (SELECT source, CASE doc_id % 3 WHEN 0 THEN 'MIT' WHEN 1 THEN 'GPL' END AS license FROM documents) WHERE source NOT IN ('src0', 'src1', 'src2') OR license = 'MIT' GROUP BY 1")
 def licensed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("license", F.when(F.col("doc_id") % 3 == 0, "MIT").when(F.col("doc_id") % 3 == 1, "GPL"))
@@ -187,6 +201,11 @@ def coherent_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.coherent_prefixes(rows, "messages").select("conv_id", "prefix_length")
 
 
+@query("SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id")
+def chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_messages(table(spark, sf_dir, "conversations")).select("conv_id", chat.render_template(F.col("messages")).alias("rendered"))
+
+
 @query(
     f"""
 WITH t AS (SELECT conv_id, role, {_TOKENS} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role <> 'system'),
@@ -231,6 +250,23 @@ def overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(
+    f"""
+WITH {_GRAMS}, {_MATCHES}
+SELECT doc_id, item_id AS id, f AS field, containment FROM matches, (VALUES ('prompt'), ('code')) AS v(f) WHERE f = 'prompt' OR item_id % 2 = 0"""
+)
+def screened_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("").alias("code"))
+    return overlap.screen_fields(table(spark, sf_dir, "documents"), cases, exact=False).select("doc_id", "id", "field", "containment")
+
+
+@query("SELECT d.doc_id, d.source, d.lang FROM documents d WHERE d.doc_id % 10 = 0")
+def origin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    selected = docs.where("doc_id % 10 = 0").select("source", F.col("doc_id").alias("source_index"))
+    return overlap.origin_rows(selected, docs.select("source", F.col("doc_id").alias("source_index"), "lang")).select(F.col("source_index").alias("doc_id"), "source", "lang")
+
+
 @query(f"WITH {_GRAMS}, {_MATCHES} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM matches)")
 def decontaminated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -541,6 +577,18 @@ def tensor_byte_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.byte_violations(_tensors(spark))
 
 
+@query("SELECT 'model.layers.' || k || '.mlp.up_proj' AS name, 'mlp.up_proj' AS suffix FROM (SELECT unnest(generate_series(0, 59)) AS k)")
+def selected_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _tensors(spark).select(F.regexp_replace("name", r"\.weight$", "").alias("name"))
+    suffixes = spark.createDataFrame([("up_proj",), ("mlp.up_proj",), ("fc",)], "suffix string")
+    return inventory.select_targets(names, suffixes, r"model\.layers\.\d+\..+")
+
+
+@query("SELECT shard, count(*) AS n FROM (SELECT 's' || k % 3 AS shard FROM (SELECT unnest(generate_series(0, 59)) AS k), range(4) UNION ALL VALUES ('s0'), ('s1'), ('s2'), ('s2')) GROUP BY shard")
+def shard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.names_by_shard(_tensors(spark)).select("shard", F.size("names").cast("long").alias("n"))
+
+
 @query("SELECT pattern, n AS n_matched, n = 0 AND pattern NOT LIKE 're:^mtp%' AS unresolved FROM (VALUES ('lm_head.weight', 1), ('re:.*layernorm.*', 60), ('up_proj.weight', 60), ('re:^mtp.x', 0), ('none', 0)) AS v(pattern, n)")
 def policy_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.resolve_policy(_tensors(spark), ["lm_head.weight", "re:.*layernorm.*", "up_proj.weight", "re:^mtp.x", "none"])[1]
