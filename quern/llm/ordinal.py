@@ -4,7 +4,8 @@ P(grade >= k) = sigmoid(s - threshold_k) with thresholds in order and one score
 sum of shared weights of the text's hashed features, each times 1 + log(count). Features are the
 words (runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased), their first four and first six
 bytes, so that unseen forms of a known stem count, the runs between words up to eight bytes, and whether a word repeats the one before. Of the 2^18 hash buckets, those keep a weight
-whose presence depends on the grade: `least_texts` rated texts or more, chi-square over `least_chi`.
+whose presence depends on the grade: `least_texts` rated texts or more, chi-square over `least_chi`, of
+those the `most_features` with the largest.
 
 The model is fitted on at most `most_ratings` ratings, those of the smallest hash of their id, so the
 sample is bounded, the same on each run, and drawn from all. Feature counts are summed on the executors;
@@ -122,7 +123,7 @@ def _fit(grade: np.ndarray, text: np.ndarray, column: np.ndarray, value: np.ndar
     return x[:width], x[width:]
 
 
-def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings: int = 20_000, least_texts: int = 3, least_chi: float = 15.0, l2: float = 1e-4, rounds: int = 200, rate: float = 0.05, id: str = "doc_id", text: str = "text") -> OrdinalModel:
+def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings: int = 20_000, least_texts: int = 3, least_chi: float = 15.0, most_features: int = 1024, l2: float = 1e-4, rounds: int = 200, rate: float = 0.05, id: str = "doc_id", text: str = "text") -> OrdinalModel:
     """Fit on `ratings` (id, grade in 0 .. grades - 1) of the texts of `docs`.
 
     The penalty on squared weights is `l2`, or one over the number of ratings where those are fewer.
@@ -143,6 +144,8 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings:
         for got, expected in ((have[k], every * total[k] / n), (total[k] - have[k], (n - every) * total[k] / n)):
             chi += (got - expected) ** 2 / np.maximum(expected, 1e-9)
     buckets = np.flatnonzero((every >= least_texts) & (chi > least_chi))
+    buckets = np.sort(buckets[np.argsort(-chi[buckets], kind="stable")[:most_features]])
+    del seen, have, chi
     place = np.full(1 << BITS, -1)
     place[buckets] = np.arange(len(buckets))
 
@@ -156,10 +159,11 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings:
 
     table = hashed.mapInArrow(select, "grade int, buckets binary, counts binary").toArrow()
     table = table.sort_by([("grade", "ascending"), ("buckets", "ascending"), ("counts", "ascending")])  # sums don't depend on the partitions' order
-    column = [np.frombuffer(x, np.int32) for x in table.column("buckets").to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]
-    flat = lambda parts: np.concatenate([np.zeros(0, np.int32), *parts])
-    weights, thresholds = _fit(table.column("grade").to_numpy().astype(np.int64), np.repeat(np.arange(len(column)), [len(x) for x in column]), flat(column), 1 + np.log(flat(counts)), len(buckets), grades, max(l2, 1 / n), rounds, rate)
+    grade = table.column("grade").to_numpy().astype(np.int64)
+    flat, cuts = text_bytes(table.column("buckets"))
+    value = 1 + np.log(text_bytes(table.column("counts"))[0].view(np.int32).astype(np.float32))
+    text = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(cuts) // 4)
+    weights, thresholds = _fit(grade, text, flat.view(np.int32), value, len(buckets), grades, max(l2, 1 / n), rounds, rate)
     return OrdinalModel(buckets, weights, thresholds)
 
 
