@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.shared import cut
-from quern.functions.text import shingle_set
+from quern.functions.text import shingled
 
 
 def shingle_classes(rows: DataFrame, id: str, text: str, size: int = 5) -> DataFrame:
     """(id, class_id, n_grams, grams): rows with equal shingle sets share the least id; empty sets stay alone."""
-    own = rows.select(F.col(id).alias("id__"), F.array_sort(shingle_set(F.col(text), size)).alias("grams"))
-    own = own.withColumn("name", F.when(F.size("grams") > 0, F.sha2(F.array_join("grams", "\n"), 256)))
+    own = cut(shingled(rows, id, text, size).withColumnRenamed(id, "id__"), "sets")
+    own = own.withColumn("name", F.when(F.size("grams") > 0, F.md5(F.to_json("grams"))))
     first = own.where("name is not null").groupBy("name").agg(F.min("id__").alias("class_id"))
     return own.join(first, "name", "left").select(F.col("id__").alias(id), F.coalesce("class_id", "id__").alias("class_id"), F.size("grams").alias("n_grams"), "grams")
 

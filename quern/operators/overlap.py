@@ -8,15 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import fold_ids, shingle_set, words
+from quern.functions.text import fold_ids, shingled, words
 
 #: Needles searched at once; more are searched in several passes.
 NEEDLES = 100_000
 
 
 def grams(rows: DataFrame, id: str, text: str, size: int = 5) -> DataFrame:
-    """(id, gram): the distinct shingles of each row."""
-    return rows.select(id, F.explode(shingle_set(F.col(text), size)).alias("gram"))
+    """(id, gram): the distinct shingles of each row, hashed."""
+    return shingled(rows, id, text, size).select(id, F.explode("grams").alias("gram"))
 
 
 def containment(corpus: DataFrame, cases: DataFrame, id: str = "doc_id", text: str = "text", case_id: str = "item_id", case_text: str = "text", least_common: int = 8, least_share: float = 0.5) -> DataFrame:
