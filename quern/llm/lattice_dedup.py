@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.components import components
 from quern.functions.shared import cut
-from quern.llm.batches import groups
-from quern.llm.textvec import mix
+from quern.functions.batches import groups
+from quern.functions.textvec import mix
 from quern.llm.vectors import matrix, units, whole
 
 HOME_BLOCK, VISIT_BLOCK, PAIR_BLOCK = 1024, 4096, 256

@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.components import components
 from quern.functions.shared import cut, release
-from quern.llm.batches import pieces
-from quern.llm.textvec import mix, shingle_sets
+from quern.functions.batches import pieces
+from quern.functions.textvec import mix, shingle_sets
 
 _PACKED = pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("cs", pa.binary()), ("lens", pa.binary()), ("ss", pa.binary())])
 _PACKED_SQL = "kind int, place int, id long, n long, c long, cs binary, lens binary, ss binary"

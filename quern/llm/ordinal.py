@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.shared import cut
-from quern.llm.batches import pieces
-from quern.llm.textvec import _LOWER, hash_spans, mix, spans_of_words, text_bytes
+from quern.functions.batches import pieces
+from quern.functions.textvec import _LOWER, hash_spans, mix, spans_of_words, text_bytes
 
 BITS = 18
 _LETTER = np.zeros(256, bool)

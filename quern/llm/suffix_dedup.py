@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.batches import pieces
+from quern.functions.batches import pieces
 from quern.llm.suffix_sort import repeated
-from quern.llm.textvec import loads8, mix, text_bytes
+from quern.functions.textvec import loads8, mix, text_bytes
 
 GRAM, FINE, PLACE_BITS = 64, 16, 28
 #: Bytes of input treated at once, and bytes of contexts in one suffix array.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quern.llm.textvec import loads8
+from quern.functions.textvec import loads8
 
 
 def _smaller_than_next(data: np.ndarray) -> np.ndarray:

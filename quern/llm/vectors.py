@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.llm.textvec import text_bytes
+from quern.functions.textvec import text_bytes
 
 
 def whole(vector: Column) -> Column:

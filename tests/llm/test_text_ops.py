@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quern.llm import ngram_join, suffix_dedup, suffix_sort, textvec
+from quern.functions import textvec
+from quern.llm import ngram_join, suffix_dedup, suffix_sort
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
