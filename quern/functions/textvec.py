@@ -122,3 +122,19 @@ def shingle_sets(column, size: int = 5, short: bool = True) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def common_values(x: np.ndarray, least: int) -> np.ndarray:
+    """The values that occur `least` times or more, sorted."""
+    x = np.sort(x)
+    found = x[: max(0, len(x) - least + 1)][x[least - 1 :] == x[: max(0, len(x) - least + 1)]] if len(x) >= least else x[:0]
+    return np.unique(found)
+
+
+def among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each of x is one of the sorted values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(values, x)
+    at[at == len(values)] = 0
+    return values[at] == x
