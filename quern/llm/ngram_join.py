@@ -8,10 +8,12 @@ in the verification.
 1. Every document's set is cut at the pivots; the segments of a batch travel together, one packed
    row for each fragment. Texts with equal sets are one class from here on.
 2. A fragment counts in how many classes each of its n-grams lies, and reports those with two or
-   more to the class. Summed over fragments, a class has the number of its shared n-grams. A
+   more to the class. An n-gram that many classes of one piece of input share is known to be shared
+   there: its occurrences go to their classes directly, and its fragment gets one mark. So an n-gram
+   of a third of all texts isn't gathered. Summed over fragments, a class has the number of its shared n-grams. A
    partner with Jaccard >= t shares at least ceil(t * n) of n, so classes with fewer shared ones
    are finished: most of them, as prose shares little.
-3. Those left list their shared n-grams rarest first; two linked classes have an n-gram in common
+3. Those left list their shared n-grams rarest first, marked ones last; two linked classes have an n-gram in common
    among the first (shared - ceil(t * n) + 1). Lists of that prefix join to stars, whose
    components are families: a link never leaves a family.
 4. In a family, the class with the commonest n-grams leads. Partial overlaps of every class with
@@ -41,13 +43,15 @@ from pyspark.sql import functions as F
 from quern.functions.components import components
 from quern.functions.shared import cut, release
 from quern.functions.batches import pieces
-from quern.functions.textvec import mix, shingle_sets
+from quern.functions.textvec import among, common_values, mix, shingle_sets
 
 _PACKED = pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("cs", pa.binary()), ("lens", pa.binary()), ("ss", pa.binary())])
 _PACKED_SQL = "kind int, place int, id long, n long, c long, cs binary, lens binary, ss binary"
 _SETS_SQL = "kind int, id long, n long, c long, weight double, shared binary, prefix array<long>"
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("weight", pa.float64()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-DOC, SEGMENTS, CANDIDATE = 0, 1, 2
+DOC, SEGMENTS, CANDIDATE, DIRECT, MARK = range(5)
+#: Classes of one piece that share an n-gram and so know it to be shared, without asking its fragment.
+HOT = 32
 #: Classes of a block in step 5, of those without a link to their leader and of all.
 REST, BLOCK = 256, 512
 #: Bytes of text treated at once.
@@ -81,6 +85,24 @@ def class_key(x: np.ndarray) -> int:
     return int((mix(x.sum(keepdims=True) + np.uint64(len(x))) if len(x) else np.zeros(1, np.uint64)).view(np.int64)[0])
 
 
+def _direct(x: np.ndarray, c: np.ndarray, hot: np.ndarray, bits: int) -> list[tuple]:
+    """A mark for each hot n-gram's fragment, and their occurrences packed by the classes' places."""
+    marks = (hot >> np.uint64(64 - bits)).astype(np.int64)
+    rows = [(MARK, p, None, None, None, None, None, _seven(hot[a:b])) for p, a, b in _grouped(marks)]
+    use = among(x, hot)
+    x, c = x[use], c[use]
+    to = c & ((1 << bits) - 1)
+    order = np.argsort(to, kind="stable")
+    x, c = x[order], c[order]
+    return rows + [(DIRECT, q, -1, None, None, c[a:b].tobytes(), np.full(b - a, 65535, np.uint16).tobytes(), x[a:b].tobytes()) for q, a, b in _grouped(to[order])]
+
+
+def _grouped(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Runs of a sorted key: (key, from, to)."""
+    at = _runs(key)
+    yield from zip(key[at].tolist(), at.tolist(), [*at[1:].tolist(), len(key)], strict=True)
+
+
 def _segments(size: int, bits: int):
     clear = ~np.uint64((1 << 64 - bits) - (1 << 56)) if bits < 8 else ~np.uint64(0)
 
@@ -97,6 +119,11 @@ def _segments(size: int, bits: int):
                 c = np.fromiter(once.keys(), np.int64, len(once))
                 x = np.concatenate([sets[j] for j in once.values()]) & clear
                 d = np.repeat(np.arange(len(c)), [sizes[j] for j in once.values()])
+                hot = common_values(x, HOT)
+                if len(hot):
+                    yield _rows(_PACKED, _direct(x, c[d], hot, bits))
+                    cold = ~among(x, hot)
+                    x, d = x[cold], d[cold]
                 place = (x >> np.uint64(64 - bits)).astype(np.uint16)
                 order = np.argsort(place, kind="stable")
                 x, d, edges = x[order], d[order], np.searchsorted(place[order], np.arange((1 << bits) + 1))
@@ -116,11 +143,14 @@ def _shared(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        marked: dict[int, list] = {}
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
-            docs = batch.filter(pa.array(kinds == DOC))
-            if len(docs):
-                yield docs
+            through = batch.filter(pa.array((kinds == DOC) | (kinds == DIRECT)))
+            if len(through):
+                yield through
+            for p, ss in zip(*(x.to_pylist() for x in batch.filter(pa.array(kinds == MARK)).select(["place", "ss"]).columns), strict=True):
+                marked.setdefault(p, []).append(_eight(ss, p, bits))
             for p, cs, lens, ss in zip(*(x.to_pylist() for x in batch.filter(pa.array(kinds == SEGMENTS)).select(["place", "cs", "lens", "ss"]).columns), strict=True):
                 held.setdefault(p, []).append((np.repeat(np.frombuffer(cs, np.int64), np.frombuffer(lens, np.uint32)), _eight(ss, p, bits)))
         for p in list(held):
@@ -132,6 +162,8 @@ def _shared(bits: int):
             same = np.zeros(len(x), bool)
             np.equal(x[1:], x[:-1], out=same[1:])
             same[:-1] |= same[1:]
+            if p in marked:
+                same |= among(x, np.unique(np.concatenate(marked[p])))
             x, c = x[same], c[same]
             order = np.lexsort((c, x))
             x, c = x[order], c[order]
@@ -141,8 +173,9 @@ def _shared(bits: int):
             at = _runs(x)
             df = np.diff(np.r_[at, len(x)])
             df = np.repeat(df, df)
-            keep = df > 1
-            x, c, df = x[keep], c[keep], np.minimum(df[keep], 65535).astype(np.uint16)
+            hot = among(x, np.unique(np.concatenate(marked[p]))) if p in marked else np.zeros(len(x), bool)
+            keep = (df > 1) | hot
+            x, c, df = x[keep], c[keep], np.where(hot[keep], 65535, np.minimum(df[keep], 65534)).astype(np.uint16)
             to = (c & ((1 << bits) - 1)).astype(np.uint16)
             order = np.argsort(to, kind="stable")
             x, c, df, edges = x[order], c[order], df[order], np.searchsorted(to[order], np.arange((1 << bits) + 1))
@@ -165,12 +198,19 @@ def _candidates(percent: int, bits: int):
             if len(docs):
                 size.update(zip(docs.column("c").to_pylist(), docs.column("n").to_pylist(), strict=True))
                 yield pa.RecordBatch.from_arrays([docs.column("kind"), docs.column("id"), docs.column("n"), docs.column("c"), *(pa.nulls(len(docs), t.type) for t in list(_SETS)[4:])], schema=_SETS)
-            for p, cs, df, ss in zip(*(x.to_pylist() for x in batch.filter(pa.array(kinds == SEGMENTS)).select(["id", "cs", "lens", "ss"]).columns), strict=True):
-                got.append((np.frombuffer(cs, np.int64), _eight(ss, p, bits), np.frombuffer(df, np.uint16)))
+            for p, cs, df, ss in zip(*(x.to_pylist() for x in batch.filter(pa.array(kinds != DOC)).select(["id", "cs", "lens", "ss"]).columns), strict=True):
+                got.append((np.frombuffer(cs, np.int64), np.frombuffer(ss, np.uint64) if p < 0 else _eight(ss, p, bits), np.frombuffer(df, np.uint16)))
         if not got:
             return
         c, x, df = (np.concatenate(y) for y in zip(*got, strict=True))
-        names, which, count = np.unique(c, return_inverse=True, return_counts=True)
+        names, which = np.unique(c, return_inverse=True)
+        # A class whose copies lie in several pieces hears of a marked n-gram from each.
+        order = np.lexsort((x, which))
+        c, x, df, which = c[order], x[order], df[order], which[order]
+        fresh = np.ones(len(x), bool)
+        fresh[1:] = (which[1:] != which[:-1]) | (x[1:] != x[:-1])
+        c, x, df, which = c[fresh], x[fresh], df[fresh], which[fresh]
+        count = np.bincount(which, minlength=len(names))
         n = np.array([size[k] for k in names.tolist()])
         least = -(-percent * n // 100)
         keep = (count >= least)[which]
