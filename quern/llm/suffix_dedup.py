@@ -16,9 +16,10 @@ the same, is found; matches don't cross texts.
 
 Skew: equal contexts within a piece of input are merged before the shuffle and known to be
 repeated there, so the inside of a passage that a third of the texts share sends one row a piece.
-An anchor with more than `heavy` occurrences cuts its windows into runs of `FINE`, each under a
-name made from the bytes that all the run's windows share, so that contexts which differ there
-part. What is left to one task is 20 bytes for each occurrence of one anchor, in step 1.
+An anchor that `HOT` windows' runs of one piece share is known to be repeated there: its occurrences
+return to their texts directly, and its place gets one mark. Marked anchors, and those with more than
+`heavy` occurrences, cut their windows into runs of `FINE`, each under a name made from the bytes that
+all the run's windows share, so that contexts which differ there part.
 
 Nulls and oddities: a null text counts as empty. Rows are told apart by a 64-bit hash of id and
 text; rows alike in both are copies of one another and each loses what the other repeats. Texts
@@ -37,15 +38,18 @@ from pyspark.sql import functions as F
 
 from quern.functions.batches import pieces
 from quern.llm.suffix_sort import repeated
-from quern.functions.textvec import loads8, mix, text_bytes
+from quern.functions.textvec import among, common_values, loads8, mix, text_bytes
 
 GRAM, FINE, PLACE_BITS = 64, 16, 28
 #: Bytes of input treated at once, and bytes of contexts in one suffix array.
 PIECE, BLOCK = 1 << 20, 1 << 20
+#: Occurrences of an anchor in one piece that make it known as repeated.
+HOT = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
-_ANCHORS = pa.schema([("place", pa.int32()), ("row", pa.binary()), ("at", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("anchor", pa.binary())])
-_ANCHORS_SQL = "place int, row binary, at binary, low binary, high binary, anchor binary"
+_ANCHORS = pa.schema([("place", pa.int32()), ("kind", pa.int32()), ("row", pa.binary()), ("at", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("anchor", pa.binary())])
+_ANCHORS_SQL = "place int, kind int, row binary, at binary, low binary, high binary, anchor binary"
+ASKED, DIRECT, MARK = range(3)
 _FOUND = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("anchor", pa.int64()), ("many", pa.bool_())])
 _FOUND_SQL = "row long, at int, low int, high int, anchor long, many boolean"
 _CONTEXT = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("many", pa.bool_()), ("body", pa.binary())])
@@ -99,16 +103,27 @@ def _send_anchors(length: int, gram: int, bits: int):
                 if not len(own):
                     continue
                 row = part.column("row").to_numpy()[own]
+                hot = common_values(h, HOT)
+                rows = []
+                if len(hot):
+                    warm = among(h, hot)
+                    to = int(np.bitwise_xor.reduce(row).item()) & ((1 << bits) - 1)  # any place: nothing is looked up
+                    rows = [(to, DIRECT, *_packed(row[warm], at[warm], i[warm], j[warm], h[warm]))]
+                    rows += [(p, MARK, b"", b"", b"", b"", hot[a:b].tobytes()) for p, a, b in _by((hot >> np.uint64(64 - bits)).astype(np.int64))]
+                    row, at, i, j, h = (x[~warm] for x in (row, at, i, j, h))
                 place = (h >> np.uint64(64 - bits)).astype(np.uint16)
                 order = np.argsort(place, kind="stable")
                 row, at, i, j, h, place = (x[order] for x in (row, at, i, j, h, place))
-                low, high = (at - i).astype(np.int16), (at - j).astype(np.int16)
-                rows = [(p, row[a:b].tobytes(), at[a:b].astype(np.int32).tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), h[a:b].tobytes()) for p, a, b in _by(place)]
+                rows += [(p, ASKED, *_packed(row[a:b], at[a:b], i[a:b], j[a:b], h[a:b])) for p, a, b in _by(place)]
                 yield _batch(_ANCHORS, rows)
 
     return run
 
 
+def _packed(row: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, h: np.ndarray) -> tuple[bytes, ...]:
+    return row.tobytes(), at.astype(np.int32).tobytes(), (at - i).astype(np.int16).tobytes(), (at - j).astype(np.int16).tobytes(), h.tobytes()
+
+
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -124,19 +139,31 @@ def _found(heavy: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        marks: dict[int, list] = {}
+
+        def found(row, at, low, high, h, many) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(at), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(many)], schema=_FOUND)
+
         for batch in batches:
-            for p, row, at, low, high, h in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                held.setdefault(p, []).append((np.frombuffer(h, np.uint64), np.frombuffer(row, np.int64), np.frombuffer(at, np.int32), np.frombuffer(low, np.int16), np.frombuffer(high, np.int16)))
+            for p, kind, row, at, low, high, h in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                h, row, at, low, high = np.frombuffer(h, np.uint64), np.frombuffer(row, np.int64), np.frombuffer(at, np.int32), np.frombuffer(low, np.int16), np.frombuffer(high, np.int16)
+                if kind == MARK:
+                    marks.setdefault(p, []).append(h)
+                elif kind == DIRECT:
+                    yield found(row, at, low, high, h, np.ones(len(h), bool))
+                else:
+                    held.setdefault(p, []).append((h, row, at, low, high))
         for p in list(held):
             h, row, at, low, high = (np.concatenate(x) for x in zip(*held.pop(p), strict=True))
             order = np.argsort(h)
             first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
             count = np.empty(len(h), np.int64)
             count[order] = np.repeat(np.diff(np.r_[first, len(h)]), np.diff(np.r_[first, len(h)]))
-            x = np.flatnonzero(count > 1)
+            marked = among(h, np.unique(np.concatenate(marks[p]))) if p in marks else np.zeros(len(h), bool)
+            x = np.flatnonzero((count > 1) | marked)
             for a in range(0, len(x), 50_000):
                 y = x[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(row[y]), pa.array(at[y]), pa.array(low[y].astype(np.int32)), pa.array(high[y].astype(np.int32)), pa.array(h[y].view(np.int64)), pa.array(count[y] > heavy)], schema=_FOUND)
+                yield found(row[y], at[y], low[y], high[y], h[y], (count[y] > heavy) | marked[y])
 
     return run
 
