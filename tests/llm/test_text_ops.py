@@ -84,13 +84,14 @@ def made_docs(seed, n=120):
     return docs + docs[:3] + [(None, docs[0][1]), (None, None), (None, "lonely words stand here alone")]
 
 
-@pytest.mark.parametrize("seed,rest,block,spread", [(1, 256, 512, 4096), (2, 3, 4, 5)])
-def test_join_against_pairs(spark, rows, monkeypatch, seed, rest, block, spread):
+@pytest.mark.parametrize("seed,rest,block,spread,hot", [(1, 256, 512, 4096, 32), (2, 3, 4, 5, 2), (3, 256, 512, 4096, 3)])
+def test_join_against_pairs(spark, rows, monkeypatch, seed, rest, block, spread, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "REST", rest)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "SPREAD", spread)
     docs = made_docs(seed)
-    df = spark.createDataFrame([(i, t, "x", i) for i, t in docs], "doc_id long, text string, n string, id long")
+    df = spark.createDataFrame([(i, t, "x", i) for i, t in docs], "doc_id long, text string, n string, id long").repartition(3)
     assert rows(ngram_join.ngram_components(df), "doc_id", "n_shingles", "component_id") == brute_components(docs)
 
 
@@ -167,10 +168,11 @@ def repeated_docs(seed, length):
     return docs
 
 
-@pytest.mark.parametrize("length,heavy,seed", [(200, 16384, 1), (40, 16384, 2), (40, 2, 3), (16, 5, 4), (200, 3, 5)])
-def test_removal_against_windows(spark, rows, length, heavy, seed):
+@pytest.mark.parametrize("length,heavy,seed,hot", [(200, 16384, 1, 64), (40, 16384, 2, 64), (40, 2, 3, 64), (16, 5, 4, 3), (200, 3, 5, 2), (40, 16384, 6, 2), (200, 16384, 7, 4)])
+def test_removal_against_windows(spark, rows, monkeypatch, length, heavy, seed, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     docs = repeated_docs(seed, length)
-    df = spark.createDataFrame([(i, t, "c", 1) for i, t in docs], "doc_id long, text string, spans string, n_bytes int")
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in docs], "doc_id long, text string, spans string, n_bytes int").repartition(3)
     got = suffix_dedup.remove_repeats(df, length, heavy=heavy, with_text=False)
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removal(docs, length)
 
