@@ -7,8 +7,10 @@ as in local tests, a temporary folder takes its place.
 from __future__ import annotations
 
 import gc
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once, as `--py-files` would."""
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="quern-")) / package.name), "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._quern_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"

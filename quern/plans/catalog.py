@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.shared import ship
 from quern.functions.text import bytes_label, fold_ids, regex_tokens, shingle_set, shuffled_key, token_ids_digest
 from quern.operators import chat, contracts, corpus, dedup, evalstats, inventory, logs, overlap, requests, selection, telemetry
 
@@ -27,11 +28,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: SQL of the default tokens, of words and of distinct shingles.
-_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))"
+_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))::INTEGER"
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _GRAMS = f"""
 grams AS (
@@ -58,12 +60,12 @@ def tokens(docs: DataFrame) -> DataFrame:
 # Corpus construction
 
 
-@query(f"SELECT source, count(*) AS n_rows, sum(n) AS tokens, min(n) AS length_min, max(n) AS length_max, avg(n) AS length_mean, sum(n) / sum(sum(n)) OVER () AS token_share FROM (SELECT source, {_TOKENS} AS n FROM documents) GROUP BY source")
+@query(f"SELECT source, count(*) AS n_rows, sum(n)::BIGINT AS tokens, min(n) AS length_min, max(n) AS length_max, avg(n) AS length_mean, sum(n) / sum(sum(n)) OVER () AS token_share FROM (SELECT source, {_TOKENS} AS n FROM documents) GROUP BY source")
 def source_token_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.source_summary(tokens(table(spark, sf_dir, "documents")), "source", "n_tokens")
 
 
-@query(f"SELECT lang, count(*) AS sample_count, min(n) AS minimum, max(n) AS maximum, avg(n) AS mean, median(n) AS median, count_if(n = 2048) AS at_maximum FROM (SELECT lang, least({_TOKENS}, 2048) AS n FROM documents) GROUP BY lang")
+@query(f"SELECT lang, count(*) AS sample_count, min(n) AS minimum, max(n) AS maximum, avg(n) AS mean, median(n) AS median, count_if(n = 2048)::BIGINT AS at_maximum FROM (SELECT lang, least({_TOKENS}, 2048) AS n FROM documents) GROUP BY lang")
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("n", corpus.token_count(F.col("text"), 2048))
     return corpus.length_statistics(docs, "n", 2048, ["lang"])
@@ -73,7 +75,7 @@ def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH t AS (SELECT doc_id, source, {_TOKENS} AS n, md5('42:' || doc_id) AS k FROM documents),
 r AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM t WHERE n >= 16)
-SELECT source, doc_id, n AS n_tokens, coalesce(b, 0) AS tokens_before FROM r WHERE coalesce(b, 0) < 4000"""
+SELECT source, doc_id, n AS n_tokens, coalesce(b, 0)::BIGINT AS tokens_before FROM r WHERE coalesce(b, 0) < 4000"""
 )
 def budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokens(table(spark, sf_dir, "documents")).where("n_tokens >= 16").withColumn("k", shuffled_key(F.col("doc_id")))
@@ -89,7 +91,7 @@ def examined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.examined(table(spark, sf_dir, "documents"), 20, "doc_id", ["source"]).select("source", "doc_id")
 
 
-@query(f"SELECT source, coalesce(sum(n) FILTER (WHERE n BETWEEN 64 AND 511), 0) AS short, coalesce(sum(n) FILTER (WHERE n BETWEEN 1024 AND 4096), 0) AS long FROM (SELECT source, {_TOKENS} AS n FROM documents) GROUP BY source")
+@query(f"SELECT source, coalesce(sum(n) FILTER (WHERE n BETWEEN 64 AND 511), 0)::BIGINT AS short, coalesce(sum(n) FILTER (WHERE n BETWEEN 1024 AND 4096), 0)::BIGINT AS long FROM (SELECT source, {_TOKENS} AS n FROM documents) GROUP BY source")
 def bucket_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.bucket_pivot(tokens(table(spark, sf_dir, "documents")), "source", "n_tokens", {"short": (64, 511), "long": (1024, 4096)})
 
@@ -210,7 +212,7 @@ def chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH t AS (SELECT conv_id, role, {_TOKENS} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role <> 'system'),
 p AS (SELECT conv_id, role, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS total FROM t)
-SELECT c.conv_id, max(total) FILTER (WHERE p.role = 'assistant' AND total BETWEEN 32 AND 512) AS n_tokens
+SELECT c.conv_id, max(total) FILTER (WHERE p.role = 'assistant' AND total BETWEEN 32 AND 512)::BIGINT AS n_tokens
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN p ON c.conv_id = p.conv_id GROUP BY c.conv_id"""
 )
 def longest_admissible_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +226,7 @@ def longest_admissible_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Decontamination
 
 
-@query(f"WITH {_GRAMS} SELECT d.doc_id, coalesce(n, 0) AS n_shingles FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id) g ON d.doc_id = g.doc_id")
+@query(f"WITH {_GRAMS} SELECT d.doc_id, coalesce(n, 0)::INTEGER AS n_shingles FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id) g ON d.doc_id = g.doc_id")
 def word_shingles_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(shingle_set(F.col("text"))).alias("n_shingles"))
 
@@ -274,7 +276,7 @@ def decontaminated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.exclude(docs, overlap.exclusions(found.select("doc_id")), "doc_id").select("doc_id", "source")
 
 
-@query(f"WITH {_GRAMS}, {_MATCHES} SELECT source, count(*) AS n_rows, sum(n) AS tokens, min(n) AS length_min, max(n) AS length_max, avg(n) AS length_mean, sum(n) / sum(sum(n)) OVER () AS token_share FROM (SELECT doc_id, source, {_TOKENS} AS n FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM matches) GROUP BY source")
+@query(f"WITH {_GRAMS}, {_MATCHES} SELECT source, count(*) AS n_rows, sum(n)::BIGINT AS tokens, min(n) AS length_min, max(n) AS length_max, avg(n) AS length_mean, sum(n) / sum(sum(n)) OVER () AS token_share FROM (SELECT doc_id, source, {_TOKENS} AS n FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM matches) GROUP BY source")
 def decontaminated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = overlap.containment(docs, table(spark, sf_dir, "benchmark"))
@@ -357,7 +359,7 @@ def _raters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return side("quality", F.col("quality")), side("toxic", 1 - F.col("toxic"))
 
 
-@query("SELECT d.lang, count_if(quality = 1 AND toxic = 0) AS both_pass, count_if(quality = 1 AND toxic = 1) AS left_only, count_if(quality = 0 AND toxic = 0) AS right_only, count_if(quality = 0 AND toxic = 1) AS neither FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang")
+@query("SELECT d.lang, count_if(quality = 1 AND toxic = 0)::BIGINT AS both_pass, count_if(quality = 1 AND toxic = 1)::BIGINT AS left_only, count_if(quality = 0 AND toxic = 0)::BIGINT AS right_only, count_if(quality = 0 AND toxic = 1)::BIGINT AS neither FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang")
 def paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _raters(spark, sf_dir)
     pairs = left.select("task", "doc_id", F.col("value").alias("l")).join(right.select("task", "doc_id", F.col("value").alias("r")), ["task", "doc_id"])
@@ -408,7 +410,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH o AS (SELECT d.lang, count_if(quality = 1 AND toxic = 1) AS b, count_if(quality = 0 AND toxic = 0) AS c FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang),
 k AS (SELECT lang, b, c, unnest(generate_series(0, least(b, c)::BIGINT)) AS i FROM o)
-SELECT lang, b AS left_only, c AS right_only, round(least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))), 8) AS p_value FROM k GROUP BY lang, b, c"""
+SELECT lang, b::BIGINT AS left_only, c::BIGINT AS right_only, round(least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))), 8) AS p_value FROM k GROUP BY lang, b, c"""
 )
 def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paired_outcomes(spark, sf_dir)
@@ -421,7 +423,7 @@ def accuracy_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalstats.accuracy(left.withColumnRenamed("task", "lang"), "value", ["lang"])
 
 
-@query("SELECT kind, count(*) AS checks, count_if(ok) AS passes FROM (SELECT 'quality' AS kind, quality = 1 AS ok FROM labels UNION ALL SELECT 'clean', toxic = 0 FROM labels UNION ALL SELECT 'strict', quality = 1 AND toxic = 0 FROM labels) GROUP BY kind")
+@query("SELECT kind, count(*) AS checks, count_if(ok)::BIGINT AS passes FROM (SELECT 'quality' AS kind, quality = 1 AS ok FROM labels UNION ALL SELECT 'clean', toxic = 0 FROM labels UNION ALL SELECT 'strict', quality = 1 AND toxic = 0 FROM labels) GROUP BY kind")
 def constraint_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select(F.array(F.lit("quality"), F.lit("clean")).alias("kinds"), F.array(F.col("quality") == 1, F.col("toxic") == 0).alias("passes"))
     rows = rows.select(F.concat("kinds", F.array(F.lit("strict"))).alias("kinds"), F.concat("passes", F.array(evalstats.strict_pass(F.col("passes")))).alias("passes"))
@@ -440,7 +442,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REQUESTS = r"""
 r AS (SELECT lang AS task, doc_id, doc_id % 2 = 0 AS ll,
-        len(regexp_extract_all(text || '  ' || CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE '' END, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS n,
+        len(regexp_extract_all(text || '  ' || CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE '' END, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))::INTEGER AS n,
         CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 64 ELSE 256 END AS reserve FROM documents)"""
 
 
@@ -491,7 +493,7 @@ def stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.stage_rollup(rows).select("stage", "samples", "minimum_mem_available_kib", "maximum_swap_growth_kib", "maximum_gpu_memory_mib", "psi_delta_some_usec", "swap_in_delta_bytes")
 
 
-_ISLANDS = "SELECT *, sum((NOT breach)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, coalesce(value > 20, false) AS breach FROM events)"
+_ISLANDS = "SELECT *, (sum((NOT breach)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS island FROM (SELECT *, coalesce(value > 20, false) AS breach FROM events)"
 
 
 @query(f"SELECT user_id, island, count(*) AS samples FROM ({_ISLANDS}) WHERE breach GROUP BY 1, 2 HAVING count(*) >= 5")
@@ -553,8 +555,8 @@ b AS (SELECT c, CASE c WHEN 'mlp' THEN 4096 WHEN 'attn' THEN 2048 WHEN 'norm' TH
 l AS (
   SELECT 'BF16' AS dtype, CASE c WHEN 'norm' THEN 'Normalization' WHEN 'conv' THEN 'Depthwise Conv1d' ELSE 'Linear' END AS kind, CASE c WHEN 'mlp' THEN 'text_mlp' WHEN 'attn' THEN 'full_attention' WHEN 'norm' THEN 'normalization' ELSE 'recurrent_gdn' END AS component, bytes FROM b
   UNION ALL VALUES ('F32', 'Linear (lm_head)', 'lm_head', 400), ('BF16', 'Linear', 'mtp', 32), ('BF16', 'Vision patch projection', 'vision', 8), ('XX', 'Embedding', 'embeddings', 8))
-SELECT 'dtype' AS "grouping", dtype AS label, count(*) AS tensors, sum(bytes) AS bytes FROM l GROUP BY dtype
-UNION ALL SELECT 'kind', kind, count(*), sum(bytes) FROM l GROUP BY kind UNION ALL SELECT 'component', component, count(*), sum(bytes) FROM l GROUP BY component"""
+SELECT 'dtype' AS "grouping", dtype AS label, count(*) AS tensors, sum(bytes)::BIGINT AS bytes FROM l GROUP BY dtype
+UNION ALL SELECT 'kind', kind, count(*), sum(bytes)::BIGINT FROM l GROUP BY kind UNION ALL SELECT 'component', component, count(*), sum(bytes)::BIGINT FROM l GROUP BY component"""
 )
 def tensor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.tensor_rollup(_tensors(spark))
@@ -589,12 +591,12 @@ def shard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.names_by_shard(_tensors(spark)).select("shard", F.size("names").cast("long").alias("n"))
 
 
-@query("SELECT pattern, n AS n_matched, n = 0 AND pattern NOT LIKE 're:^mtp%' AS unresolved FROM (VALUES ('lm_head.weight', 1), ('re:.*layernorm.*', 60), ('up_proj.weight', 60), ('re:^mtp.x', 0), ('none', 0)) AS v(pattern, n)")
+@query("SELECT pattern, n::BIGINT AS n_matched, n = 0 AND pattern NOT LIKE 're:^mtp%' AS unresolved FROM (VALUES ('lm_head.weight', 1), ('re:.*layernorm.*', 60), ('up_proj.weight', 60), ('re:^mtp.x', 0), ('none', 0)) AS v(pattern, n)")
 def policy_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.resolve_policy(_tensors(spark), ["lm_head.weight", "re:.*layernorm.*", "up_proj.weight", "re:^mtp.x", "none"])[1]
 
 
-@query("SELECT 60 * 2048 AS weights, 60 * 2048 // 2 AS packed_bytes, 60 * 2048 // 128 * 2 AS scale_bytes, 1000000 - 2 * 60 * 2048 + 60 * 2048 // 2 + 60 * 2048 // 128 * 2 AS checkpoint_bytes")
+@query("SELECT (60 * 2048)::BIGINT AS weights, (60 * 2048 // 2)::BIGINT AS packed_bytes, (60 * 2048 // 128 * 2)::BIGINT AS scale_bytes, (1000000 - 2 * 60 * 2048 + 60 * 2048 // 2 + 60 * 2048 // 128 * 2)::BIGINT AS checkpoint_bytes")
 def storage_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.storage_estimate(_tensors(spark).where("contains(name, 'up_proj')"), 1_000_000)
 
@@ -634,7 +636,7 @@ def source_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.set_violations(sources.where("source <> 'src5'"), sources.where("source <> 'src3'"), "source", "source")
 
 
-@query("SELECT count(*) AS file_count, sum(length(text)) AS size_bytes FROM documents")
+@query("SELECT count(*) AS file_count, sum(length(text))::BIGINT AS size_bytes FROM documents")
 def manifest_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.length("text").cast("long").alias("size_bytes"))
     return inventory.order_free_identity(files, ["path", "size_bytes"]).select("file_count", "size_bytes")
