@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.shared import new_path
+from quern.functions.shared import new_path, ship
 from quern.llm.exact_search import search_exact
 from quern.llm.html_text import extract_text
 from quern.llm.lattice_dedup import link_vectors
@@ -33,7 +33,8 @@ BATCH_ROWS = 1000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Set the session's Arrow batches to so few rows that workers' memory doesn't depend on long texts."""
+    """Send the package to the workers, and set the session's Arrow batches to so few rows that workers' memory doesn't depend on long texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
