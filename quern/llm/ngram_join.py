@@ -49,7 +49,7 @@ _PACKED = pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("id", pa.int6
 _PACKED_SQL = "kind int, place int, id long, n long, c long, cs binary, lens binary, ss binary"
 _SETS_SQL = "kind int, id long, n long, c long, weight double, shared binary, prefix array<long>"
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("weight", pa.float64()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-DOC, SEGMENTS, CANDIDATE, DIRECT, MARK = range(5)
+DOC, SEGMENTS, CANDIDATE, DIRECT, MARK, SIZE = range(6)
 #: Classes of one piece that share an n-gram and so know it to be shared, without asking its fragment.
 HOT = 32
 #: Classes of a block in step 5, of those without a link to their leader and of all.
@@ -112,10 +112,12 @@ def _segments(size: int, bits: int):
                 sets = shingle_sets(part.column("text"), size)
                 keys = [class_key(x) for x in sets]
                 sizes = [len(x) for x in sets]
-                yield _rows(_PACKED, [(DOC, k & ((1 << bits) - 1), i, n, k, None, None, None) for i, n, k in zip(part.column("id").to_pylist(), sizes, keys, strict=True)])
+                # Rows are dealt round; a class's place hears of its size once a piece, however many copies there are.
+                yield _rows(_PACKED, [(DOC, j & ((1 << bits) - 1), i, n, k, None, None, None) for j, (i, n, k) in enumerate(zip(part.column("id").to_pylist(), sizes, keys, strict=True))])
                 once = {k: j for j, (k, n) in enumerate(zip(keys, sizes, strict=True)) if n}
                 if not once:
                     continue
+                yield _rows(_PACKED, [(SIZE, k & ((1 << bits) - 1), None, sizes[j], k, None, None, None) for k, j in once.items()])
                 c = np.fromiter(once.keys(), np.int64, len(once))
                 x = np.concatenate([sets[j] for j in once.values()]) & clear
                 d = np.repeat(np.arange(len(c)), [sizes[j] for j in once.values()])
@@ -146,7 +148,7 @@ def _shared(bits: int):
         marked: dict[int, list] = {}
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
-            through = batch.filter(pa.array((kinds == DOC) | (kinds == DIRECT)))
+            through = batch.filter(pa.array((kinds == DOC) | (kinds == DIRECT) | (kinds == SIZE)))
             if len(through):
                 yield through
             for p, ss in zip(*(x.to_pylist() for x in batch.filter(pa.array(kinds == MARK)).select(["place", "ss"]).columns), strict=True):
@@ -195,10 +197,11 @@ def _candidates(percent: int, bits: int):
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             docs = batch.filter(pa.array(kinds == DOC))
+            told = batch.filter(pa.array(kinds == SIZE))
+            size.update(zip(told.column("c").to_pylist(), told.column("n").to_pylist(), strict=True))
             if len(docs):
-                size.update(zip(docs.column("c").to_pylist(), docs.column("n").to_pylist(), strict=True))
                 yield pa.RecordBatch.from_arrays([docs.column("kind"), docs.column("id"), docs.column("n"), docs.column("c"), *(pa.nulls(len(docs), t.type) for t in list(_SETS)[4:])], schema=_SETS)
-            for p, cs, df, ss in zip(*(x.to_pylist() for x in batch.filter(pa.array(kinds != DOC)).select(["id", "cs", "lens", "ss"]).columns), strict=True):
+            for p, cs, df, ss in zip(*(x.to_pylist() for x in batch.filter(pa.array((kinds == SEGMENTS) | (kinds == DIRECT))).select(["id", "cs", "lens", "ss"]).columns), strict=True):
                 got.append((np.frombuffer(cs, np.int64), np.frombuffer(ss, np.uint64) if p < 0 else _eight(ss, p, bits), np.frombuffer(df, np.uint16)))
         if not got:
             return
