@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.shared import ship
-from quern.functions.text import bytes_label, fold_ids, regex_tokens, shingle_set, shuffled_key, token_ids_digest
+from quern.functions.text import bytes_label, fold_ids, regex_tokens, shingled, shuffled_key, token_ids_digest
 from quern.operators import chat, contracts, corpus, dedup, evalstats, inventory, logs, overlap, requests, selection, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,7 +228,7 @@ def longest_admissible_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GRAMS} SELECT d.doc_id, coalesce(n, 0)::INTEGER AS n_shingles FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id) g ON d.doc_id = g.doc_id")
 def word_shingles_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(shingle_set(F.col("text"))).alias("n_shingles"))
+    return shingled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.size("grams").alias("n_shingles"))
 
 
 @query(f"WITH {_GRAMS}, {_MATCHES} SELECT * FROM matches")
