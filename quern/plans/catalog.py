@@ -212,15 +212,14 @@ def chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH t AS (SELECT conv_id, role, {_TOKENS} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role <> 'system'),
 p AS (SELECT conv_id, role, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS total FROM t)
-SELECT c.conv_id, max(total) FILTER (WHERE p.role = 'assistant' AND total BETWEEN 32 AND 512)::BIGINT AS n_tokens
-FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN p ON c.conv_id = p.conv_id GROUP BY c.conv_id"""
+SELECT conv_id, max(total)::BIGINT AS n_tokens FROM p WHERE role = 'assistant' AND total BETWEEN 32 AND 512 GROUP BY conv_id"""
 )
 def longest_admissible_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.conversation_messages(table(spark, sf_dir, "conversations")).withColumn("view", chat.bucket_view(F.col("messages"), F.lit("short")))
     sizes = F.transform("view", lambda m: F.size(regex_tokens(m["content"])))
     rows = rows.withColumn("sizes", sizes).withColumn("ends", chat.coherent_ends(F.col("view")))
     lengths = F.transform("ends", lambda e: F.aggregate(F.slice("sizes", 1, e), F.lit(0).cast("long"), lambda a, x: a + x))
-    return rows.withColumn("lengths", lengths).select("conv_id", corpus.longest_prefix(F.col("lengths"), 32, 512).alias("n_tokens"))
+    return rows.withColumn("lengths", lengths).select("conv_id", corpus.longest_prefix(F.col("lengths"), 32, 512).alias("n_tokens")).where("n_tokens is not null")
 
 
 # Decontamination
