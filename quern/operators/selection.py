@@ -1,7 +1,7 @@
 """Two-budget corpus selection: an ordered fold over candidates, whose expensive parts are computed before.
 
 Whether a row is accepted depends on the rows before it: on the budgets left, on tasks seen and on prompts near
-to it. So tokens, prefix lengths, identities and near-duplicate pairs are computed in parallel, and one fold
+to it. So tokens, prefix lengths, identities, classes of equal prompts and their near-duplicate pairs are computed in parallel, and one fold
 over slim rows (no texts) decides, source by source in the sources' order. Its rows are one small record for each
 candidate that fits a bucket at all, which the examination cap bounds for each source.
 """
@@ -24,12 +24,14 @@ class Budget:
     long: int
 
 
-def fold(candidates: pd.DataFrame, budgets: list[Budget]) -> pd.DataFrame:
+def fold(candidates: pd.DataFrame, budgets: list[Budget], near: dict | None = None) -> pd.DataFrame:
     """Accepted rows (row_id, bucket, tokens) of candidates in order.
 
     `candidates`: source, place (order in the source), row_id, identity, short_tokens and long_tokens (null: no
-    fit), near (ids of rows with a prompt near to this one's).
+    fit), class_id (rows whose prompts are equal sets share it). `near`: classes near to each class. A row is
+    rejected if its class is accepted, or near an accepted one.
     """
+    near = near or {}
     taken: list[tuple] = []
     tasks: set[str] = set()
     accepted: set = set()
@@ -41,7 +43,7 @@ def fold(candidates: pd.DataFrame, budgets: list[Budget]) -> pd.DataFrame:
             open_ = [b for b in target if spent[b] < target[b]]
             if not open_:
                 break
-            if row.identity in tasks or not accepted.isdisjoint(row.near):
+            if row.identity in tasks or row.class_id in accepted or not accepted.isdisjoint(near.get(row.class_id, ())):
                 continue
             fits = {b: t for b, t in (("short", row.short_tokens), ("long", row.long_tokens)) if b in open_ and not pd.isna(t)}
             if not fits:
@@ -49,7 +51,7 @@ def fold(candidates: pd.DataFrame, budgets: list[Budget]) -> pd.DataFrame:
             bucket = max(fits, key=lambda b: (target[b] - spent[b]) / target[b])  # the first of equals: short
             spent[bucket] += int(fits[bucket])
             tasks.add(row.identity)
-            accepted.add(row.row_id)
+            accepted.add(row.class_id)
             taken.append((row.row_id, bucket, int(fits[bucket])))
     return pd.DataFrame(taken, columns=["row_id", "bucket", "tokens"])
 
@@ -57,11 +59,19 @@ def fold(candidates: pd.DataFrame, budgets: list[Budget]) -> pd.DataFrame:
 def select_corpus(candidates: DataFrame, pairs: DataFrame, budgets: list[Budget]) -> DataFrame:
     """(row_id, bucket, tokens) of the accepted rows.
 
-    `candidates`: source, place, row_id, identity, short_tokens, long_tokens. `pairs`: left_id, right_id of near prompts.
+    `candidates`: source, place, row_id, identity, short_tokens, long_tokens, and class_id where rows share prompts,
+    else each row is a class of its own. `pairs`: left_id, right_id of near classes; a class's pairs are sent once,
+    not with each of its rows.
     """
-    both = pairs.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("other")).unionByName(pairs.select(F.col("right_id").alias("row_id"), F.col("left_id").alias("other")))
-    near = both.groupBy("row_id").agg(F.collect_list("other").alias("near"))
-    rows = candidates.where("short_tokens is not null or long_tokens is not null").join(near, "row_id", "left")
+    if "class_id" not in candidates.columns:
+        candidates = candidates.withColumn("class_id", F.col("row_id"))
+    both = pairs.select(F.col("left_id").alias("class_id"), F.col("right_id").alias("other")).unionByName(pairs.select(F.col("right_id").alias("class_id"), F.col("left_id").alias("other")))
+    near = both.groupBy("class_id").agg(F.collect_list("other").alias("near")).withColumn("all", F.lit(1))
     kind = candidates.schema["row_id"].dataType.simpleString()
-    rows = rows.select("source", "place", "row_id", "identity", F.col("short_tokens").cast("double"), F.col("long_tokens").cast("double"), F.coalesce("near", F.array().cast(f"array<{kind}>")).alias("near"), F.lit(1).alias("all"))
-    return rows.groupBy("all").applyInPandas(lambda pdf: fold(pdf, budgets), f"row_id {kind}, bucket string, tokens long")
+    rows = candidates.where("short_tokens is not null or long_tokens is not null")
+    rows = rows.select("source", "place", "row_id", "identity", F.col("short_tokens").cast("double"), F.col("long_tokens").cast("double"), "class_id", F.lit(1).alias("all"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return fold(left, budgets, dict(zip(right["class_id"], right["near"], strict=True)))
+
+    return rows.groupBy("all").cogroup(near.groupBy("all")).applyInPandas(run, f"row_id {kind}, bucket string, tokens long")

@@ -328,8 +328,9 @@ def corpus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = lambda low, high: F.when(F.col("n_tokens").between(low, high), F.col("n_tokens"))
     place = F.row_number().over(Window.partitionBy("source").orderBy(shuffled_key(F.col("doc_id")), "doc_id"))
     rows = docs.select("source", place.alias("place"), F.col("doc_id").alias("row_id"), F.sha2("text", 256).alias("identity"), fit(64, 511).alias("short_tokens"), fit(512, 2048).alias("long_tokens"))
-    pairs = dedup.similar_pairs(dedup.shingle_classes(docs, "doc_id", "text"), "doc_id")
-    return selection.select_corpus(rows, pairs, [selection.Budget(f"src{k}", 2000, 3000) for k in range(20)])
+    classes = dedup.shingle_classes(docs, "doc_id", "text")
+    rows = rows.join(classes.select(F.col("doc_id").alias("row_id"), "class_id"), "row_id")
+    return selection.select_corpus(rows, dedup.similar_pairs(classes, "doc_id"), [selection.Budget(f"src{k}", 2000, 3000) for k in range(20)])
 
 
 @query(

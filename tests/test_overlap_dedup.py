@@ -1,5 +1,7 @@
+import hashlib
 import itertools
 import random
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -106,6 +108,44 @@ def test_selection_against_loop(spark, made, near):
     assert sorted(tuple(r) for r in got.collect()) == loop_fold(rows, budgets, near)
 
 
+def test_corpus_selection_with_copies(spark, tmp_path):
+    # The whole query against a pass that compares each candidate with all accepted ones.
+    from quern.plans import catalog
+
+    rng = random.Random(3)
+    docs = []
+    for family in range(8):
+        base = [f"f{family}w{k}" for k in range(90 + 4 * family)]
+        near = ["changed", *base[1:]]  # Jaccard of over 0.85
+        for text in (" ".join(base), " ".join(base), " ".join(base).upper(), ", ".join(base), " ".join(near), " ".join(near), "! ".join(near)):
+            docs.append(text)
+    docs += ["- " * 70, "- " * 70, "+ " * 70]  # without shingles: compared by identity only
+    rng.shuffle(docs)
+    table = [(k, text, "en", f"src{rng.randrange(3)}", len(text)) for k, text in enumerate(docs)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["corpus_selection"](spark, str(tmp_path)).collect())
+
+    seen, kept, expected = set(), [], []
+    for source in [f"src{k}" for k in range(20)]:
+        target, spent = {"short": 2000, "long": 3000}, {"short": 0, "long": 0}
+        for i, text in sorted(((i, t) for i, t, _, s, _ in table if s == source), key=lambda x: (hashlib.md5(f"42:{x[0]}".encode()).hexdigest(), x[0])):
+            if all(spent[b] >= target[b] for b in target):
+                break
+            w = re.findall(r"\w+", text.lower())
+            grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            if text in seen or grams and any(len(grams & k) >= 0.85 * len(grams | k) for k in kept):
+                continue
+            n = len(re.findall(r"\w+|[^\s\w]", text))
+            fits = [b for b, low, high in (("short", 64, 511), ("long", 512, 2048)) if low <= n <= high and spent[b] < target[b]]
+            if fits:
+                spent[fits[0]] += n
+                seen.add(text)
+                kept.append(grams)
+                expected.append((i, fits[0], n))
+    assert got == sorted(expected)
+    assert len(got) == 10  # one of each family and two without shingles
+
+
 def test_clearance(spark):
     own = spark.createDataFrame([("c",)], "corpus_digest string")
     reports = spark.createDataFrame([("p", "c", "ok", "ok", 0)], "name string, corpus_digest string, status string, expected_status string, unresolved_overlaps long")
