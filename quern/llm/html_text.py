@@ -10,8 +10,10 @@ tags below it, of which LC and LT in links, the composite density is
 
 with the body's LCb and Cb, a missing count taken as 1; where the page has no links the base is 1 and
 the factor is left out. The element whose children's densities sum to the most is the article. The threshold is
-the least density on its path to the body: siblings on that path that reach it, with 200 characters or
-more and less than 30 % of them in links, belong to the article too, as does a headline h1. Lists and containers in it
+the least density on its path to the body: siblings on that path that reach it, with less than 30 % of their
+characters in links, belong to the article too, as does a headline h1. So do, of the elements between it and the
+article or main that holds it, headings and the text that stands in them directly, links left out; where none holds
+it, such text of the elements on the path, if it reaches the threshold. Lists and containers in it
 whose text stands in links, 80 % of it in two or more, are menus and go.
 
 Text runs between block-level elements are blocks. Character references are decoded, white space in a
@@ -55,6 +57,7 @@ _NOISE = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Such elements, where over 80 % of the text stands in two or more links, are menus.
 _HOLDERS = frozenset("ul ol div section table dl".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROOTS = frozenset(("html", "body", "main"))
 
 
@@ -82,6 +85,7 @@ class _Tree:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.chars, self.tags, self.link_chars, self.link_tags = ["html"], [-1], [0], [0], [0], [0]
+        self.breaks = [0]
         self.texts: list[tuple[int, str, int, bool]] = []  # (element, text, number of its block, in a link)
 
     def read(self, page: str) -> None:
@@ -149,6 +153,7 @@ class _Tree:
                 if tag == "br" and self.texts:
                     self.texts.append((open_[-1], " ", block, link))
                 self.tags[open_[-1]] += 1
+                self.breaks[open_[-1]] += tag == "br"
                 continue
             if _noisy(tag, attributes, inside > 0):
                 if not (attributes or "").endswith("/"):
@@ -162,7 +167,7 @@ class _Tree:
                 continue
             self.tag.append(tag)
             self.parent.append(open_[-1])
-            for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
+            for counts in (self.chars, self.tags, self.link_chars, self.link_tags, self.breaks):
                 counts.append(0)
             open_.append(len(self.tag) - 1)
             kinds[tag] = kinds.get(tag, 0) + 1
@@ -180,6 +185,15 @@ class _Tree:
             self.link_chars[up] += self.link_chars[k]
             self.link_tags[up] += self.link_tags[k]
 
+    def own_densities(self) -> list[float]:
+        """Of the text that stands in each element directly, links and line breaks left out."""
+        chars, tags = [0] * len(self.tag), [t - lt - b for t, lt, b in zip(self.tags, self.link_tags, self.breaks, strict=True)]
+        for element, text, _, link in self.texts:
+            chars[element] += 0 if link else len(" ".join(text.split()))
+        for k in range(1, len(tags)):
+            tags[self.parent[k]] -= self.tags[k] + 1 - self.link_tags[k]
+        return [c / max(t, 1) for c, t in zip(chars, tags, strict=True)]
+
     def densities(self) -> list[float]:
         ratio, out = self.link_chars[0] / max(self.chars[0], 1), []
         for c, t, lc, lt in zip(self.chars, self.tags, self.link_chars, self.link_tags, strict=True):
@@ -212,6 +226,12 @@ def main_text(page: str | None) -> str:
     taken = [False] * len(density)
     taken[best] = True
     on_path = set(path)
+    holder = next((i for i, k in enumerate(path) if tree.tag[k] in ("article", "main")), None)
+    if holder is None:  # nothing says where the article ends: text that stands in them must be as dense as a sibling
+        own = tree.own_densities()
+        around = {k for k in path[1:] if own[k] >= threshold}
+    else:
+        around = set(path[1 : holder + 1])  # their own text belongs to the article, as do headings in them
     for k in range(1, len(density)):
         up = tree.parent[k]
         if k in on_path:
@@ -220,10 +240,11 @@ def main_text(page: str | None) -> str:
             taken[k] = not (tree.tag[k] in _HOLDERS and tree.link_tags[k] > 1 and tree.link_chars[k] > 0.8 * tree.chars[k])
         elif up in on_path:
             c = tree.chars[k]
-            taken[k] = tree.tag[k] == "h1" and c > 0 or density[k] >= threshold and c >= 200 and tree.link_chars[k] < 0.3 * c
+            heading = tree.tag[k] == "h1" or tree.tag[k] in _HEADINGS and up in around
+            taken[k] = heading and c > 0 or c > 0 and density[k] >= threshold and tree.link_chars[k] < 0.3 * c
     blocks: dict[int, list[str]] = {}
-    for element, text, block, _ in tree.texts:
-        if taken[element]:
+    for element, text, block, link in tree.texts:
+        if taken[element] or element in around and not link:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(line for line in lines if line)
