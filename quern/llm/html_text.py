@@ -1,8 +1,10 @@
 """Main text of HTML pages by composite text density.
 
 A page is read by a tolerant scanner into a tree of elements; what never holds an article (scripts,
-styles, menus, forms and the like, and elements whose class, id or role says advert, notice,
-sidebar, reader comment and so on) is left out of it. Its nodes are the block-level elements; inline
+styles, menus and the like, and what is hidden) is left out of it, and so are forms and elements whose class, id or
+role says advert, notice, sidebar, reader comment and so on, unless they hold the article or main with the most text,
+or, in it or where there is none, over half of the page's text outside links; 90 % for names of comments and
+notices. Its nodes are the block-level elements; inline
 tags only count, as they would split a paragraph's density. For every node, with C characters and T
 tags below it, of which LC and LT in links, the composite density is
 
@@ -54,30 +56,40 @@ _NOISE = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup signin login search widget widgets "
     "skip copyright paywall toc tags outbrain taboola hidden".split()
 )
+#: Such text is often longer than the article, so its elements are spared only as wrappers of almost the whole page.
+_READERS = frozenset("comment comments commentlist commenter disqus reply replies respond discussion notice notices notification cookie cookies consent gdpr alert disclaimer".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Such elements, where over 80 % of the text stands in two or more links, are menus.
 _HOLDERS = frozenset("ul ol div section table dl".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What may stand in a head; anything else ends it.
+_HEAD = _RAW | frozenset("base basefont bgsound link meta".split())
+_P_FENCES = frozenset("caption td th table".split())
 _ROOTS = frozenset(("html", "body", "main"))
 
 
-def _noisy(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is left out for its name or attributes; inside: in an article or main."""
-    if tag in _NEVER or tag == "header" and not inside:
-        return True
+def _noisy(tag: str, attributes: str, inside: bool) -> int:
+    """What speaks against an element: 0 nothing, 1 its name in class, id or role, or a form; 2 a name of reader comments or notices; 3 it never holds an article. inside: in an article or main."""
+    if tag in _NEVER and tag != "form" or tag == "header" and not inside:
+        return 3
+    found = int(tag == "form")
     if not attributes or tag in _ROOTS:
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             words = {w.lower() for w in _SPLIT.split(unescape(value))}
-            if words & _NOISE or "header" in words and not inside and not words & {"article", "entry", "post", "content"}:
-                return True
-        elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            if words & _NOISE:
+                found = max(found, 2 if words & _READERS else 1)
+            elif "header" in words and not inside and not words & {"article", "entry", "post", "content"}:
+                found = max(found, 1)
+        elif name == "role" and value.lower() in _ROLES:
+            found = max(found, 1)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return 3
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 3
+    return found
 
 
 class _Tree:
@@ -85,11 +97,11 @@ class _Tree:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.chars, self.tags, self.link_chars, self.link_tags = ["html"], [-1], [0], [0], [0], [0]
-        self.breaks = [0]
+        self.breaks, self.noise, self.inline = [0], [0], [False]
         self.texts: list[tuple[int, str, int, bool]] = []  # (element, text, number of its block, in a link)
 
     def read(self, page: str) -> None:
-        open_, at, block, muted, inside, link = [0], 0, 0, 0, 0, False
+        open_, at, block, inside, link = [0], 0, 0, 0, False
         kinds = {"html": 1}
         find, end = _TAG.search, len(page)
 
@@ -104,7 +116,7 @@ class _Tree:
         while at < end:
             m = find(page, at)
             upto = m.start() if m else end
-            if upto > at and not muted:
+            if upto > at:
                 text = page[at:upto]
                 self.texts.append((open_[-1], unescape(text) if "&" in text else text, block, link))
             if not m:
@@ -114,10 +126,6 @@ class _Tree:
             if not tag:
                 continue
             tag, closing = tag.lower(), bool(m[1] if m[2] else m[4])
-            if muted:  # in an element that is left out: only its own kind is counted
-                if tag == silent and tag not in _VOID:
-                    muted += -1 if closing else 1
-                continue
             if closing:
                 if tag in _BLOCK:
                     block += 1
@@ -129,6 +137,8 @@ class _Tree:
                         k -= 1
                     close(max(k, 1))
                 continue
+            if kinds.get("head", 0) and tag not in _HEAD and tag != "head":
+                close(next(i for i, k in enumerate(open_) if self.tag[k] == "head"))
             if tag in _RAW:
                 m2 = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = m2.end() if m2 else end
@@ -137,9 +147,10 @@ class _Tree:
                 block += 1
             if tag in _CLOSES_P and kinds.get("p", 0):
                 k = len(open_) - 1
-                while k and self.tag[open_[k]] != "p":
+                while k and self.tag[open_[k]] != "p" and self.tag[open_[k]] not in _P_FENCES and not self.inline[open_[k]]:
                     k -= 1
-                close(k)
+                if self.tag[open_[k]] == "p":
+                    close(k)
             if tag in _CLOSES:
                 shuts, fences = _CLOSES[tag]
                 k, low = len(open_) - 1, len(open_)
@@ -155,17 +166,21 @@ class _Tree:
                 self.tags[open_[-1]] += 1
                 self.breaks[open_[-1]] += tag == "br"
                 continue
-            if _noisy(tag, attributes, inside > 0):
-                if not (attributes or "").endswith("/"):
-                    muted, silent = 1, tag
+            noise = _noisy(tag, attributes, inside > 0)
+            if noise and (attributes or "").endswith("/"):
                 continue
-            if tag not in _BLOCK:
+            # An inline element is a node while it may be left out, and so are those of its kind in it, for their end tags.
+            if tag not in _BLOCK and not noise and not kinds.get(tag, 0):
                 self.tags[open_[-1]] += 1
                 if tag == "a":
                     self.link_tags[open_[-1]] += 1
                     link = True
                 continue
+            if tag == "a":
+                link = True
             self.tag.append(tag)
+            self.noise.append(noise)
+            self.inline.append(tag not in _BLOCK)
             self.parent.append(open_[-1])
             for counts in (self.chars, self.tags, self.link_chars, self.link_tags, self.breaks):
                 counts.append(0)
@@ -173,6 +188,55 @@ class _Tree:
             kinds[tag] = kinds.get(tag, 0) + 1
             inside += tag in ("article", "main")
 
+    def prune(self) -> None:
+        """Leave out what speaks against itself, unless it holds the page's article; inline elements merge with their parents."""
+        size = len(self.tag)
+        if not any(self.noise):
+            return
+        hard, mark = [False] * size, [False] * size  # never kept; in an element with noise, itself left out
+        for k in range(1, size):
+            up = self.parent[k]
+            hard[k] = hard[up] or self.noise[k] == 3
+            mark[k] = mark[up] or self.noise[up] > 0
+        plain = [0] * size
+        for element, text, _, link in self.texts:
+            if not link and not hard[element]:
+                plain[element] += len(" ".join(text.split()))
+        for k in range(size - 1, 0, -1):
+            plain[self.parent[k]] += plain[k]
+        spared = set()
+        # The article or main with the most text; one that is named as noise counts only outside of other such elements.
+        holders = [k for k in range(1, size) if self.tag[k] in ("article", "main") and plain[k] and not (self.noise[k] and mark[k])]
+        k = holder = max(holders, key=lambda k: plain[k]) if holders else 0
+        while k:
+            spared.add(k)
+            k = self.parent[k]
+        gone, within = [False] * size, [holder == 0] * size  # beside the article a long text is still noise
+        for k in range(1, size):
+            within[k] = within[self.parent[k]] or k == holder
+            most = within[k] and plain[k] > (0.9 if self.noise[k] == 2 else 0.5) * plain[0]
+            gone[k] = gone[self.parent[k]] or self.noise[k] == 3 or self.noise[k] > 0 and k not in spared and not most
+        owner = list(range(size))
+        for k in range(1, size):
+            self.parent[k] = up = owner[self.parent[k]]
+            if gone[k]:
+                self.tags[k] = self.link_tags[k] = self.breaks[k] = 0
+            elif self.inline[k]:
+                owner[k] = up
+                self.tags[up] += self.tags[k] + 1
+                self.link_tags[up] += self.link_tags[k] + (self.tag[k] == "a")
+                self.breaks[up] += self.breaks[k]
+                self.tags[k] = self.link_tags[k] = self.breaks[k] = 0
+        self.texts = [(owner[e], text, block, link) for e, text, block, link in self.texts if not gone[e]]
+        # Numbers of the elements that stay, in page order.
+        stay = [k for k in range(size) if not gone[k] and owner[k] == k]
+        place = {k: i for i, k in enumerate(stay)}
+        self.texts = [(place[e], text, block, link) for e, text, block, link in self.texts]
+        self.parent = [place.get(self.parent[k], -1) for k in stay]
+        for name in ("tag", "chars", "tags", "link_chars", "link_tags", "breaks"):
+            values = getattr(self, name)
+            setattr(self, name, [values[k] for k in stay])
+
     def add_up(self) -> None:
         for element, text, _, link in self.texts:
             size = len(" ".join(text.split()))
@@ -212,6 +276,7 @@ def main_text(page: str | None) -> str:
         return ""
     tree = _Tree()
     tree.read(page)
+    tree.prune()
     tree.add_up()
     density = tree.densities()
     sums = [0.0] * len(density)

@@ -25,3 +25,30 @@ def test_short_sibling_that_reaches_the_threshold():
     body = "".join(f"<p>{line(150, f'p{k}')}</p>" for k in range(20))
     text = main_text(f"<body><p>{line(180, 'lead')}</p><div class=body>{body}</div></body>")
     assert text.startswith(line(180, "lead"))
+
+
+PARA = "A paragraph of prose that speaks of something, and goes on for a while."
+PAGE = "".join(f"<p>{PARA} {k}</p>" for k in range(8))
+TEXT = "\n\n".join(f"{PARA} {k}" for k in range(8))
+
+
+def test_left_out_elements_end_as_browsers_end_them():
+    assert main_text(f'<body><div><p class="notice">Short notice{PAGE}</div></body>') == TEXT
+    items = "".join(f"<li>{PARA} {k}" for k in range(8))
+    assert main_text(f'<body><ul><li class="share">Share{items}</ul></body>') == TEXT
+    assert main_text(f'<body><div><span class="ad">Advert</div><div>{PAGE}</div></body>') == TEXT
+    assert main_text(f'<body><div><span class="ad"><span>x</span> y</span>{PAGE}</div></body>') == TEXT
+    assert main_text(f"<html><head><title>t</title><body><div>{PAGE}</div></body>") == TEXT
+
+
+def test_wrappers_named_as_noise_are_spared():
+    for start, end in (('<form id="aspnetForm"><div>', "</div></form>"), ('<div class="content-sidebar-wrap"><article>', "</article></div>"), ('<article class="has-comments">', "</article>"), ('<main><div class="elementor-widget-text-editor">', "</div></main>"), ('<span class="widget">', "</span>"), ('<div class="has-comments"><div>', "</div></div>")):
+        assert main_text(f"<body><nav><p>{PARA}</p></nav>{start}{PAGE}{end}<footer>us</footer></body>") == TEXT, start
+
+
+def test_noise_beside_an_article_stays_out():
+    for noise in ('<div class="ad">', '<section id="comments">', '<div class="cookie-notice">', '<form>'):
+        close = "</" + noise[1:].split()[0].rstrip(">") + ">"
+        assert main_text(f"<body>{noise}{PAGE}{close}<article><p>{PARA}</p></article></body>") == PARA
+    assert main_text(f"<body><article>{PAGE}<div class=comments><article class=comment><p>{PARA}</p></article></div></article></body>") == TEXT
+    assert main_text(f"<body><div hidden>{PAGE}</div><p>{PARA}</p></body>") == PARA
