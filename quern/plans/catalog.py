@@ -403,7 +403,7 @@ def content_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     deltas = evalstats.paired_deltas(*_raters(spark, sf_dir)).withColumn("suite", F.lit("labels"))
-    return evalstats.bootstrap(deltas, ["suite"], "task", "doc_id", replicates=1000)
+    return evalstats.bootstrap(deltas, ["suite"], "task", "doc_id")
 
 
 @query(

@@ -87,3 +87,20 @@ def test_constraints(spark, rows):
     df = spark.createDataFrame([(["a", "b"], [True, False]), (["a"], [True])], "k array<string>, p array<boolean>")
     assert rows(evalstats.constraint_counts(df, "k", "p")) == [("a", 2, 2), ("b", 1, 0)]
     assert sorted(r[0] for r in df.select(evalstats.strict_pass(F.col("p"))).collect()) == [False, True]
+
+
+def test_bootstrap_query_draws_10000(spark, tmp_path):
+    from quern.plans import catalog
+
+    quality, toxic = [3, 14, 159, 26, 53, 58, 979], [0, 0, 1, 0, 0, 1, 1]  # wide values, so that bounds differ
+    labels = [(k, q, t) for k, (q, t) in enumerate(zip(quality, toxic, strict=True))]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(k, "de" if k < 3 else "en") for k in range(7)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["bootstrap_ci"](spark, str(tmp_path)).first()
+    deltas = np.array([float(q - (1 - t)) for _, q, t in labels])
+    rng = np.random.default_rng(42)
+    draws = [sum(v[rng.integers(0, len(v), size=len(v))].sum() for v in (deltas[:3], deltas[3:])) / 7 for _ in range(10_000)]
+    few = np.quantile(draws[:1000], [0.025, 0.975])
+    low, high = np.quantile(draws, [0.025, 0.975])
+    assert (got["low"], got["high"], got["documents"]) == (low, high, 7)
+    assert (low, high) != tuple(few)
