@@ -11,7 +11,8 @@ the same, is found; matches don't cross texts.
    windows that it serves.
 3. Contexts of one anchor meet. If all are the same, each of their windows is repeated. Otherwise
    the distinct ones, block by block, are suffix-sorted in two stages and adjacent common
-   prefixes show the repeated windows.
+   prefixes show the repeated windows. A name with more than a block is told apart first by what
+   runs of 16, 4 and 1 of its windows share.
 4. The repeated runs return to the texts, which lose those bytes.
 
 Skew: equal contexts within a piece of input are merged before the shuffle and known to be
@@ -19,11 +20,16 @@ repeated there, so the inside of a passage that a third of the texts share sends
 An anchor that `HOT` windows' runs of one piece share is known to be repeated there: its occurrences
 return to their texts directly, and its place gets one mark. Marked anchors, and those with more than
 `heavy` occurrences, cut their windows into runs of `FINE`, each under a name made from the bytes that
-all the run's windows share, so that contexts which differ there part.
+all the run's windows share, so that contexts which differ there part. What is left are runs at the edge of a
+common passage, alike in the passage and different beside it: where a piece has `CROWD` of them under one name, or
+more than `HELD` bytes meet, their windows go under names of their own, 16-byte digests that are counted in a
+second shuffle.
 
 Nulls and oddities: a null text counts as empty. Rows are told apart by a 64-bit hash of id and
 text; rows alike in both are copies of one another and each loses what the other repeats. Texts
-shorter than `length` lose nothing. Extra columns are ignored. An empty table gives an empty result.
+shorter than `length` lose nothing. A very long text is read whole, as a piece of its own: a worker's memory grows
+with the longest text. Columns beside id and text are ignored but for those in `carry`, which must not bear the
+name of a result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,14 +41,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quern.functions.batches import pieces
+from quern.functions.shared import cut
 from quern.llm.suffix_sort import repeated
 from quern.functions.textvec import among, common_values, loads8, mix, text_bytes
 
 GRAM, FINE, PLACE_BITS = 64, 16, 28
-#: Bytes of input treated at once, and bytes of contexts in one suffix array.
-PIECE, BLOCK = 1 << 20, 1 << 20
+#: Bytes of input treated at once, of contexts in one suffix array, and of the contexts of one name that a worker holds.
+PIECE, BLOCK, HELD = 1 << 20, 1 << 19, 8 << 20
+#: Windows in the runs by which one name's contexts are told apart, while they are too many for one suffix array.
+FINER = (FINE, 4, 1)
+#: Different contexts of a fine name in one piece that send its windows under their own names.
+CROWD = 32
 #: Occurrences of an anchor in one piece that make it known as repeated.
 HOT = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -52,9 +64,14 @@ _ANCHORS_SQL = "place int, kind int, row binary, at binary, low binary, high bin
 ASKED, DIRECT, MARK = range(3)
 _FOUND = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("anchor", pa.int64()), ("many", pa.bool_())])
 _FOUND_SQL = "row long, at int, low int, high int, anchor long, many boolean"
-_CONTEXT = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("many", pa.bool_()), ("body", pa.binary())])
-_CONTEXT_SQL = "anchor long, row long, start int, many boolean, body binary"
-_SPANS = pa.schema([("row", pa.int64()), ("spans", pa.binary())])
+_CONTEXT = pa.schema([("name", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("start", pa.int32()), ("lead", pa.int32()), ("body", pa.binary())])
+_CONTEXT_SQL = "name long, kind int, row long, start int, lead int, body binary"
+#: What a row of the second meeting is: a context, one known to be repeated, a repeated run, the names of single windows, those of known repeated ones, or a note that a name's windows go by their own names.
+LONE, KNOWN, SPAN, WINDOWS, REPEATED, APART = range(6)
+_MATCHED = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("spans", pa.binary()), ("windows", pa.binary())])
+_MATCHED_SQL = "row long, start int, spans binary, windows binary"
+#: Bytes of a window's own name.
+DIGEST = 16
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -94,6 +111,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return own, place[first] - offsets[own], windows[first] - offsets[own], windows[last] - offsets[own], hashes[place[first]]
 
 
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where anchors meet: by their low bits, as the high ones of least hashes are mostly zeros."""
+    return (h & np.uint64((1 << bits) - 1)).astype(np.uint16)
+
+
 def _send_anchors(length: int, gram: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,9 +131,10 @@ def _send_anchors(length: int, gram: int, bits: int):
                     warm = among(h, hot)
                     to = int(np.bitwise_xor.reduce(row).item()) & ((1 << bits) - 1)  # any place: nothing is looked up
                     rows = [(to, DIRECT, *_packed(row[warm], at[warm], i[warm], j[warm], h[warm]))]
-                    rows += [(p, MARK, b"", b"", b"", b"", hot[a:b].tobytes()) for p, a, b in _by((hot >> np.uint64(64 - bits)).astype(np.int64))]
+                    hot = hot[np.argsort(_places(hot, bits), kind="stable")]
+                    rows += [(p, MARK, b"", b"", b"", b"", hot[a:b].tobytes()) for p, a, b in _by(_places(hot, bits))]
                     row, at, i, j, h = (x[~warm] for x in (row, at, i, j, h))
-                place = (h >> np.uint64(64 - bits)).astype(np.uint16)
+                place = _places(h, bits)
                 order = np.argsort(place, kind="stable")
                 row, at, i, j, h, place = (x[order] for x in (row, at, i, j, h, place))
                 rows += [(p, ASKED, *_packed(row[a:b], at[a:b], i[a:b], j[a:b], h[a:b])) for p, a, b in _by(place)]
@@ -172,33 +195,55 @@ def _name(core: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
 
 
-def _fine(at: int, i: int, j: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """The windows i to j of the anchor `at` in runs of FINE: (first, last, and the core's ends)."""
-    for block in range((at - j) // FINE, (at - i) // FINE + 1):
-        near, far = block * FINE, block * FINE + FINE - 1
-        yield max(i, at - far), min(j, at - near), at - near, at - far + length
+def _runs(lead: int, windows: int, fine: int) -> Iterator[tuple[int, int, int]]:
+    """The first `windows` windows of a context whose anchor is at `lead`, in runs that a place's distance to its anchor fixes: (block, first, last)."""
+    for block in range((lead - windows + 1) // fine, lead // fine + 1):
+        yield block, max(0, lead - block * fine - fine + 1), min(windows - 1, lead - block * fine)
+
+
+def _core(body: bytes, lead: int, block: int, fine: int, length: int) -> bytes:
+    """What all windows of a run share; it lies in every context that has one of them."""
+    return body[lead - block * fine : lead - block * fine - fine + 1 + length]
+
+
+def _window_names(body: bytes, length: int) -> bytes:
+    return b"".join(hashlib.blake2b(body[k : k + length], digest_size=DIGEST).digest() for k in range(len(body) - length + 1))
 
 
 def _send_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
-                seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+                seen: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+                crowd: dict[int, int] = {}
                 data, offsets = text_bytes(part.column("text"))
                 whole = data.tobytes()
                 for base, row, found in zip(offsets[:-1].tolist(), part.column("row").to_pylist(), part.column("found"), strict=True):
                     fields = [found.values.field(f).to_pylist() for f in ("at", "low", "high", "anchor", "many")]
                     for at, low, high, name, many in zip(*fields, strict=True):
                         i, j = at - low, at - high
+                        body = whole[base + i : base + j + length]
                         if not many:
-                            seen.setdefault((name, whole[base + i : base + j + length]), []).append((row, i))
+                            seen.setdefault((name, low, body), []).append((row, i))
                             continue
-                        for a, b, c, d in _fine(at, i, j, length):
-                            fine = _name(name.to_bytes(8, "little", signed=True) + (at - c).to_bytes(4, "little", signed=True) + whole[base + c : base + d])
-                            seen.setdefault((fine, whole[base + a : base + b + length]), []).append((row, a))
-                out = [(name, *where[0], len(where) > 1, body) for (name, body), where in seen.items()]
-                # Those beyond the first are known to be repeated: they pass as spans, without a mark, spread by row.
-                out += [(row, row, start, None, len(body).to_bytes(4, "little")) for (_, body), where in seen.items() if len(where) > 1 for row, start in where[1:]]
+                        for block, a, b in _runs(low, j - i + 1, FINE):
+                            fine = _name(name.to_bytes(8, "little", signed=True) + block.to_bytes(4, "little", signed=True) + _core(body, low, block, FINE, length))
+                            uses = seen.setdefault((fine, low - a, body[a : b + length]), [])
+                            if not uses:
+                                crowd[fine] = crowd.get(fine, 0) + 1
+                            uses.append((row, i + a))
+                out = []
+                for (name, lead, body), where in seen.items():
+                    if crowd.get(name, 0) < CROWD:
+                        out.append((name, KNOWN if len(where) > 1 else LONE, *where[0], lead, body))
+                        rest = where[1:]
+                    else:  # those alike tell others once that their windows are repeated
+                        row, start = where[0]
+                        out.append((row, REPEATED if len(where) > 1 else WINDOWS, row, start, 0, _window_names(body, length)))
+                        rest = where if len(where) > 1 else []
+                    # Known to be repeated: they pass as spans, spread by row.
+                    out += [(row, SPAN, row, start, 0, len(body).to_bytes(4, "little")) for row, start in rest]
+                out += [(name, APART, 0, 0, 0, b"") for name, n in crowd.items() if n >= CROWD]
                 for a in range(0, len(out), 4096):
                     yield _batch(_CONTEXT, out[a : a + 4096])
 
@@ -211,61 +256,120 @@ def _ones(flags: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
 
 
-def _match(length: int):
-    """Contexts, sorted by anchor, to spans of repeated bytes."""
-
-    def settle(groups: list[dict[bytes, list]]) -> Iterator[tuple[int, int, int]]:
-        unsettled = []
-        for group in groups:
-            for body, uses in group.items():
-                if len(uses) > 1 or uses[0][2]:
-                    yield from ((row, start, start + len(body)) for row, start, _ in uses)
-            if len(group) > 1:
-                unsettled += group.items()
-        if not unsettled:
+class _Meeting:
+    """Groups of contexts under one name, each {(lead, body): [(row, start, known)]}, to spans of repeated bytes."""
+
+    def __init__(self, length: int, found) -> None:
+        self.length, self.found = length, found
+        self.waiting: list[tuple[bytes, int, int, bool]] = []
+        self.size = 0
+
+    def add(self, group: dict[tuple[int, bytes], list], level: int = 0) -> None:
+        for (_, body), uses in group.items():
+            if len(uses) > 1:
+                for row, start, known in uses:
+                    if not known or not level:
+                        self.found(row, start, start + len(body))
+            elif uses[0][2] and not level:
+                self.found(uses[0][0], uses[0][1], uses[0][1] + len(body))
+        if len(group) < 2:
             return
-        data = np.frombuffer(b"\0".join(body for body, _ in unsettled), np.uint8)
-        size = np.array([len(body) for body, _ in unsettled])
+        size = sum(len(body) for _, body in group)
+        if size > BLOCK and level < len(FINER):
+            self.split(group, level)
+            return
+        if self.size + size > BLOCK:
+            self.settle()
+        self.size += size
+        self.waiting += [(body, uses[0][0], uses[0][1], len(uses) == 1 and not uses[0][2]) for (_, body), uses in group.items()]
+
+    def split(self, group: dict[tuple[int, bytes], list], level: int) -> None:
+        """Too much to sort at once: the windows of each run of places meet by what they share."""
+        fine, length = FINER[level], self.length
+        blocks = [range((lead - len(body) + length) // fine, lead // fine + 1) for lead, body in group]
+        for block in range(min(b.start for b in blocks), max(b.stop for b in blocks)):
+            parts: dict[bytes, dict[tuple[int, bytes], list]] = {}
+            for (lead, body), uses in group.items():
+                a, b = max(0, lead - block * fine - fine + 1), min(len(body) - length, lead - block * fine)
+                if a > b:
+                    continue
+                row, start, known = uses[0]
+                part = parts.setdefault(_core(body, lead, block, fine, length), {})
+                part.setdefault((lead - a, body[a : b + length]), []).append((row, start + a, known or len(uses) > 1))
+            for part in parts.values():
+                self.add(part, level + 1)
+
+    def settle(self) -> None:
+        """Suffix-sort what waits."""
+        if not self.waiting:
+            return
+        data = np.frombuffer(b"\0".join(x[0] for x in self.waiting), np.uint8)
+        size = np.array([len(x[0]) for x in self.waiting])
         base = np.r_[0, np.cumsum(size + 1)[:-1]]
         mark = np.zeros(len(data) + 1, np.int8)
         mark[base] += 1
-        mark[base + size - length + 1] -= 1
-        again = repeated(data, np.cumsum(mark[:-1]).astype(bool), length)
-        lone = np.array([len(uses) == 1 and not uses[0][2] for _, uses in unsettled])
+        mark[base + size - self.length + 1] -= 1
+        again = repeated(data, np.cumsum(mark[:-1]).astype(bool), self.length)
+        lone = np.array([x[3] for x in self.waiting])
         for k in np.flatnonzero(lone & (np.add.reduceat(again, base) > 0)):
-            row, start, _ = unsettled[k][1][0]
+            _, row, start, _ = self.waiting[k]
             for a, b in _ones(again[base[k] : base[k] + size[k]]).tolist():
-                yield row, start + a, start + b - 1 + length
+                self.found(row, start + a, start + b - 1 + self.length)
+        self.waiting, self.size = [], 0
+
+
+def _match(length: int):
+    """Contexts, sorted by name and notes first, to spans of repeated bytes and names of windows that meet once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans: dict[int, list[int]] = {}
-        groups: list[dict[bytes, list]] = []
-        anchor, group, held = None, {}, 0
+        windows: list[tuple] = []
+        meeting = _Meeting(length, lambda row, a, b: spans.setdefault(row, []).extend((a, b)))
+        at, group, held, apart = None, {}, 0, False
 
         def pack() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(spans), pa.int64()), pa.array([np.array(x, np.int32).tobytes() for x in spans.values()], pa.binary())], schema=_SPANS)
+            rows = [(row, None, np.array(x, np.int32).tobytes(), None) for row, x in spans.items()] + windows
             spans.clear()
-            return out
+            windows.clear()
+            return _batch(_MATCHED, rows)
+
+        def let_go() -> None:
+            for (_, body), uses in group.items():
+                repeated_ = len(uses) > 1 or uses[0][2]
+                windows.append((uses[0][0], None if repeated_ else uses[0][1], None, _window_names(body, length)))
+                if repeated_:
+                    for row, start, _ in uses:
+                        meeting.found(row, start, start + len(body))
+            group.clear()
 
         for batch in batches:
-            for name, row, start, many, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if many is None:
-                    spans.setdefault(row, []).extend((start, start + int.from_bytes(body, "little")))
+            for name, kind, row, start, lead, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if kind == SPAN:
+                    meeting.found(row, start, start + int.from_bytes(body, "little"))
+                    continue
+                if kind in (WINDOWS, REPEATED):
+                    windows.append((row, start if kind == WINDOWS else None, None, body))
+                    continue
+                if name != at:
+                    meeting.add(group)
+                    at, group, held, apart = name, {}, 0, False
+                if kind == APART:
+                    apart = True
                     continue
-                if name != anchor:
-                    if held >= BLOCK:
-                        for r, a, b in settle(groups):
-                            spans.setdefault(r, []).extend((a, b))
-                        groups, held = [], 0
-                        yield pack()
-                    anchor, group = name, {}
-                    groups.append(group)
-                uses = group.setdefault(body, [])
-                held += len(body) if not uses else 24
-                uses.append((row, start, many))
-        for r, a, b in settle(groups):
-            spans.setdefault(r, []).extend((a, b))
-        yield pack()
+                uses = group.setdefault((lead, body), [])
+                held += 24 if uses else len(body) + 200
+                uses.append((row, start, kind == KNOWN))
+                if apart or held > HELD:
+                    apart = True
+                    let_go()
+                if len(spans) > 4096 or len(windows) > 4096:
+                    yield pack()
+            if spans or windows:
+                yield pack()
+        meeting.add(group)
+        meeting.settle()
+        if spans or windows:
+            yield pack()
 
     return run
 
@@ -289,15 +393,15 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[first, 0].tolist(), reach[np.r_[first[1:] - 1, len(spans) - 1]].tolist(), strict=True))
 
 
-def _cut_out(with_text: bool):
+def _cut_out(with_text: bool, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 data, offsets = text_bytes(part.column("text"))
                 whole, rows = data.tobytes(), []
-                for a, b, id, found in zip(offsets[:-1].tolist(), offsets[1:].tolist(), part.column("id").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    text = whole[a:b]
-                    runs = merged(np.concatenate([np.frombuffer(x, np.int32) for x in found]).reshape(-1, 2)) if found else []
+                for a, b, id, found, starts in zip(offsets[:-1].tolist(), offsets[1:].tolist(), *(part.column(k).to_pylist() for k in ("id", "spans", "starts")), strict=True):
+                    text, starts = whole[a:b], np.array(starts or [], np.int32)
+                    runs = merged(np.concatenate([*(np.frombuffer(x, np.int32) for x in found or []), np.stack([starts, starts + length], 1).ravel()]).reshape(-1, 2))
                     kept = b"".join(text[x:y] for x, y in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), len(text)], strict=True))
                     rows.append((id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if with_text else None, [{"start": x, "end": y} for x, y in runs] if with_text else None))
                 found = _batch(_KEPT, rows)
@@ -325,12 +429,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id: str = "doc_id", text:
     sent = texts.select("row", "text").mapInArrow(_send_anchors(length, gram, bits), _ANCHORS_SQL)
     found = sent.repartitionById(1 << bits, F.col("place")).mapInArrow(_found(heavy), _FOUND_SQL)
     found = found.groupBy("row").agg(F.collect_set(F.struct("at", "low", "high", "anchor", "many")).alias("found"))
-    placed = texts.repartition(partitions, "row")
-    contexts = placed.join(found, "row").select("id", "row", "text", "found", *extra).mapInArrow(_send_contexts(length), _CONTEXT_SQL)
-    spans = contexts.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_match(length), "row long, spans binary")
-    spans = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    types = "".join(f", `{k}` {placed.schema[k].dataType.simpleString()}" for k in extra)
-    out = placed.join(spans, "row", "left").select("id", "row", "text", "spans", *extra).mapInArrow(_cut_out(with_text), _KEPT_SQL + ", text string" * with_text + types)
+    contexts = texts.select("row", "text").repartition(partitions, "row").join(found, "row").select("row", "text", "found").mapInArrow(_send_contexts(length), _CONTEXT_SQL)
+    matched = cut(contexts.repartition(partitions, "name").sortWithinPartitions("name", F.desc("kind")).mapInArrow(_match(length), _MATCHED_SQL), "matched")
+    single = matched.where("windows is not null").select("row", F.explode(F.expr(f"transform(sequence(0, length(windows) div {DIGEST} - 1), k -> struct(start + k AS start, substring(windows, k * {DIGEST} + 1, {DIGEST}) AS name))")).alias("w")).select("row", "w.*")
+    twice = single.groupBy("name").agg(F.sum(F.when(F.col("start").isNull(), 2).otherwise(1)).alias("n")).where("n > 1").select("name")
+    spans = matched.where("spans is not null").select("row", "spans", F.lit(None).cast("int").alias("start"))
+    spans = spans.unionByName(single.where("start is not null").join(twice, "name").select("row", F.lit(None).cast("binary").alias("spans"), "start"))
+    spans = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"), F.collect_list("start").alias("starts"))
+    kept = StructType([*StructType.fromDDL(_KEPT_SQL + ", text string" * with_text), *(StructField(k, texts.schema[k].dataType) for k in extra)])
+    out = texts.repartition(partitions, "row").join(spans, "row", "left").select("id", "row", "text", "spans", "starts", *extra).mapInArrow(_cut_out(with_text, length), kept)
     # The input's column names may be those of results: each is named by its place.
     left = [k for k in out.columns if with_text or k not in ("kept", "spans")]
     new = {"id": id, "text": text} | {f"carry_{k}": k for k in carry}

@@ -187,3 +187,71 @@ def test_removal_text_and_columns(spark, rows):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(df, 8)
+
+
+def shared_passage(seed, n, passage, around):
+    """Texts with one passage in common, whose edges differ in each."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(97, 101, passage).astype(np.uint8).tobytes().decode()
+    own = lambda: rng.integers(97, 123, int(rng.integers(0, around))).astype(np.uint8).tobytes().decode()
+    return [(k, own() + common + own()) for k in range(n)]
+
+
+@pytest.mark.parametrize("crowd,held", [(32, 8 << 20), (2, 8 << 20), (1 << 30, 4000), (1 << 30, 8 << 20)])
+def test_removal_of_a_common_passage(spark, rows, monkeypatch, crowd, held):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    docs = shared_passage(11, 300, 420, 90) + [(900, "ab" * 300), (901, None), (902, "ab" * 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(suffix_dedup.remove_repeats(df, 200, with_text=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removal(docs, 200)
+
+
+def test_no_name_grows_with_the_texts():
+    docs = shared_passage(5, 20_000, 1000, 60)
+    batches = [pa.RecordBatch.from_pydict({"row": pa.array([k for k, _ in docs[a : a + 1000]], pa.int64()), "text": [t for _, t in docs[a : a + 1000]]}) for a in range(0, 20_000, 1000)]
+    found, marked = {}, set()
+    for batch in suffix_dedup._send_anchors(200, 64, 6)(iter(batches)):
+        for kind, *fields, h in zip(*(batch.column(k).to_pylist() for k in ("kind", "row", "at", "low", "high", "anchor")), strict=True):
+            if kind == suffix_dedup.MARK:
+                marked.update(np.frombuffer(h, np.int64).tolist())
+            else:
+                for row, at, low, high, anchor in zip(*(np.frombuffer(x, t).tolist() for x, t in zip([*fields, h], (np.int64, np.int32, np.int16, np.int16, np.int64), strict=True)), strict=True):
+                    found.setdefault(row, []).append((at, low, high, anchor))
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("anchor", pa.int64()), ("many", pa.bool_())]))
+    names = {}
+    for batch in batches:
+        asked = [[dict(zip(("at", "low", "high", "anchor", "many"), (*x, x[3] in marked), strict=True)) for x in found.get(row, ()) if x[3] in marked] for row in batch.column("row").to_pylist()]
+        for sent in suffix_dedup._send_contexts(200)(iter([batch.append_column("found", pa.array(asked, kind))])):
+            for name, k in zip(sent.column("name").to_pylist(), sent.column("kind").to_pylist(), strict=True):
+                if k in (suffix_dedup.LONE, suffix_dedup.KNOWN, suffix_dedup.APART):
+                    names[name] = names.get(name, 0) + 1
+    assert marked and max(names.values()) < 32 * 40
+
+
+@pytest.mark.parametrize("block", [1 << 19, 600, 250])
+def test_names_with_more_than_a_block(monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    core = b"the anchor of all of them"
+    contexts, texts = [], []
+    for row in range(60):
+        left, right = (bytes(rng.choice([97, 98], int(rng.integers(8, 14))).astype(np.uint8)) for _ in range(2))
+        texts.append(left + core + right)
+        contexts.append((7, suffix_dedup.LONE, row, 0, len(left), texts[-1]))
+    length = 30
+    batch = suffix_dedup._batch(suffix_dedup._CONTEXT, contexts)
+    got = {row: np.zeros(len(t), bool) for row, t in enumerate(texts)}
+    for out in suffix_dedup._match(length)(iter([batch])):
+        for row, spans in zip(out.column("row").to_pylist(), out.column("spans").to_pylist(), strict=True):
+            for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2):
+                got[row][a:b] = True
+    where = {}
+    for row, t in enumerate(texts):
+        for a in range(len(t) - length + 1):
+            where.setdefault((t.index(core) - a, t[a : a + length]), []).append((row, a))
+    want = {row: np.zeros(len(t), bool) for row, t in enumerate(texts)}
+    for uses in where.values():
+        if len(uses) > 1:
+            for row, a in uses:
+                want[row][a : a + length] = True
+    assert any(w.any() for w in want.values()) and all((got[r] == want[r]).all() for r in want)
