@@ -23,13 +23,14 @@ block becomes one space, blocks are joined in page order by two line feeds. Noth
 
 Nulls and oddities: a null or empty page gives an empty text; so does one without text. Unclosed and
 misnested tags close as browsers close them in the common cases. Repeated rows are read each. Extra
-columns are ignored. The scanner doesn't recurse, so depth is no limit.
+columns are ignored. The scanner doesn't recurse, so depth is no limit, and reads a very long page once, whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -45,7 +46,9 @@ _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-_NEVER = frozenset("head nav footer aside form button select option input textarea menu dialog svg math object applet canvas audio video map datalist label fieldset".split())
+_NEVER = frozenset("head nav footer aside button select option input textarea menu dialog svg math object applet canvas audio video map datalist label".split())
+#: Such elements may wrap a whole page.
+_FORMS = frozenset(("form", "fieldset"))
 _CLOSES_P = _BLOCK - frozenset("body html caption tbody td tfoot th thead tr option legend summary".split())
 #: An opening tag closes an open one of these kinds, unless one of the fences lies between.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"})}
@@ -70,9 +73,9 @@ _ROOTS = frozenset(("html", "body", "main"))
 
 def _noisy(tag: str, attributes: str, inside: bool) -> int:
     """What speaks against an element: 0 nothing, 1 its name in class, id or role, or a form; 2 a name of reader comments or notices; 3 it never holds an article. inside: in an article or main."""
-    if tag in _NEVER and tag != "form" or tag == "header" and not inside:
+    if tag in _NEVER or tag == "header" and not inside:
         return 3
-    found = int(tag == "form")
+    found = int(tag in _FORMS)
     if not attributes or tag in _ROOTS:
         return found
     for m in _ATTRIBUTE.finditer(attributes):
@@ -102,20 +105,26 @@ class _Tree:
 
     def read(self, page: str) -> None:
         open_, at, block, inside, link = [0], 0, 0, 0, False
-        kinds = {"html": 1}
-        find, end = _TAG.search, len(page)
+        where: dict[str, list[int]] = {"html": [0]}  # places of the open elements of each kind
+        inlines = [0]  # and of inline ones
+        # No tag ends beyond the last ">": without that bound, many openings without an end would each be read to the end.
+        find, end, last = _TAG.search, len(page), page.rfind(">") + 1
 
         def close(down_to: int) -> None:
             nonlocal inside, link
             while len(open_) > down_to:
-                tag = self.tag[open_.pop()]
-                kinds[tag] -= 1
-                inside -= tag in ("article", "main")
+                k = open_.pop()
+                where[self.tag[k]].pop()
+                if self.inline[k]:
+                    inlines.pop()
+                inside -= self.tag[k] in ("article", "main")
                 link = False
 
         while at < end:
-            m = find(page, at)
+            m = find(page, at, last)
             upto = m.start() if m else end
+            if not m and (comment := page.find("<!--", at)) >= 0:
+                end = upto = comment
             if upto > at:
                 text = page[at:upto]
                 self.texts.append((open_[-1], unescape(text) if "&" in text else text, block, link))
@@ -124,6 +133,8 @@ class _Tree:
             at = m.end()
             tag = m[2] or m[5]
             if not tag:
+                if at == last and page.startswith("<!--", m.start()) and not page.endswith("-->", m.start() + 4, at):
+                    break  # a comment that doesn't end
                 continue
             tag, closing = tag.lower(), bool(m[1] if m[2] else m[4])
             if closing:
@@ -131,34 +142,25 @@ class _Tree:
                     block += 1
                 elif tag == "a":
                     link = False
-                if kinds.get(tag, 0) and tag not in ("html", "body"):
-                    k = len(open_) - 1
-                    while k and self.tag[open_[k]] != tag:
-                        k -= 1
-                    close(max(k, 1))
+                if where.get(tag) and tag not in ("html", "body"):
+                    close(max(where[tag][-1], 1))
                 continue
-            if kinds.get("head", 0) and tag not in _HEAD and tag != "head":
-                close(next(i for i, k in enumerate(open_) if self.tag[k] == "head"))
+            if where.get("head") and tag not in _HEAD and tag != "head":
+                close(where["head"][0])
             if tag in _RAW:
                 m2 = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = m2.end() if m2 else end
                 continue
             if tag in _BLOCK:
                 block += 1
-            if tag in _CLOSES_P and kinds.get("p", 0):
-                k = len(open_) - 1
-                while k and self.tag[open_[k]] != "p" and self.tag[open_[k]] not in _P_FENCES and not self.inline[open_[k]]:
-                    k -= 1
-                if self.tag[open_[k]] == "p":
-                    close(k)
-            if tag in _CLOSES:
+            last_of = lambda kinds: max((where[k][-1] for k in kinds if where.get(k)), default=0)
+            if tag in _CLOSES_P and where.get("p") and where["p"][-1] > max(last_of(_P_FENCES), inlines[-1]):
+                close(where["p"][-1])
+            if tag in _CLOSES and any(where.get(k) for k in _CLOSES[tag][0]):
                 shuts, fences = _CLOSES[tag]
-                k, low = len(open_) - 1, len(open_)
-                while k and self.tag[open_[k]] not in fences:
-                    if self.tag[open_[k]] in shuts:
-                        low = k
-                    k -= 1
-                close(max(low, 1))
+                fence = last_of(fences)
+                above = [where[k][i] for k in shuts if where.get(k) and (i := bisect_right(where[k], fence)) < len(where[k])]
+                close(min(above, default=len(open_)))
             attributes = m[3] if m[2] else m[6]
             if tag in _VOID:
                 if tag == "br" and self.texts:
@@ -170,7 +172,7 @@ class _Tree:
             if noise and (attributes or "").endswith("/"):
                 continue
             # An inline element is a node while it may be left out, and so are those of its kind in it, for their end tags.
-            if tag not in _BLOCK and not noise and not kinds.get(tag, 0):
+            if tag not in _BLOCK and not noise and not where.get(tag):
                 self.tags[open_[-1]] += 1
                 if tag == "a":
                     self.link_tags[open_[-1]] += 1
@@ -184,8 +186,10 @@ class _Tree:
             self.parent.append(open_[-1])
             for counts in (self.chars, self.tags, self.link_chars, self.link_tags, self.breaks):
                 counts.append(0)
+            where.setdefault(tag, []).append(len(open_))
+            if self.inline[-1]:
+                inlines.append(len(open_))
             open_.append(len(self.tag) - 1)
-            kinds[tag] = kinds.get(tag, 0) + 1
             inside += tag in ("article", "main")
 
     def prune(self) -> None:

@@ -10,14 +10,15 @@ Targets: a budget of `share` times all sizes is dealt by weight; a source stops
 size, and the excess is dealt again by weight until none is above. That has a closed form: sorted by
 size / weight, the first k sources stop and the others stand at one level.
 
-Only DataFrame functions are used. A source is not one group: its keys are cut into `BUCKETS` ranges,
-whose sums are added up across the source (one row a range) and give each range its offset, so each
-range sorts and sums alone. The slim rows are shuffled once and read twice.
+Only DataFrame functions are used. A source is not one group: its keys are cut into ranges, 16 a shuffle
+partition and `BUCKETS` at least, whose sums are added up across the source (one row a range) and give each range its
+offset, so each range sorts and sums alone. Words are counted in one scan, whose slim rows are written to the shared
+folder; only they are read twice. What runs in one task is one row for each source.
 
 Nulls and oddities: a null text has size 0. Sources go by code point, null last, and a null source is
 one of its own. Weights below `floor`, or null, count as `floor`. Rows alike in id and text have equal keys
 and stand in any order; as they are alike, results don't differ. An empty table gives an empty
-result; a source of size 0 has target 0.
+result; a source of size 0 has target 0. A very long text is one row like others; its words are counted in place.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.shared import cut
+
 BUCKETS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,9 +81,9 @@ def mix_sources(
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.concat(F.lit("0"), F.col(source)), F.lit("1")).alias("source_key"), size.alias("size"), *(F.col(k).alias(f"keep_{k}") for k in keep), (plain_quality(F.col(text), size) if quality is None else quality).cast("double").alias("quality"), F.xxhash64(F.col(text)).alias("body"))
     drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.col("body").cast("string"))), 1, 13), 16, 10).cast("double")
     rows = rows.withColumn("key", -F.log((drawn + 0.5) / float(1 << 52)) / F.greatest(F.coalesce("quality", F.lit(floor)), F.lit(floor)))
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * floor)) * BUCKETS).cast("int")).drop("quality")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    rows = rows.repartition(partitions, "source_key", "bucket")
+    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * floor)) * max(BUCKETS, 16 * partitions)).cast("int")).drop("quality")
+    rows = cut(rows, "sized")
     ranges = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("source_key").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     offset = F.coalesce(F.sum("range_size").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

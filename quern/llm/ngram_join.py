@@ -27,8 +27,8 @@ Exactness: overlaps are exact up to collisions of 62-bit hashes (about 1e-9 for
 
 Nulls and oddities: a null or blank text has an empty set and links with nothing. Rows that
 repeat an id are rows of their own. A null id can't name a component; a component is named by
-the least id in it that isn't null, a component without one has a null name. Extra columns are
-ignored. An empty table gives an empty result.
+the least id in it that isn't null, a component without one has a null name. A very long text is read
+whole, as a piece of its own. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.components import components
-from quern.functions.shared import cut, release
+from quern.functions.shared import cut
 from quern.functions.batches import pieces
 from quern.functions.textvec import among, common_values, mix, shingle_sets
 
@@ -328,8 +328,6 @@ def ngram_classes(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "
     packed = docs.mapInArrow(_segments(size, bits), _PACKED_SQL)
     shared = packed.repartitionById(1 << bits, F.col("place")).mapInArrow(_shared(bits), _PACKED_SQL)
     sets = cut(shared.repartitionById(1 << bits, F.col("place")).mapInArrow(_candidates(percent, bits), _SETS_SQL), "sets")
-    del packed, shared
-    release(spark)
     rows, cands = sets.where(f"kind = {DOC}").select("id", "n", "c"), sets.where(f"kind = {CANDIDATE}")
 
     posted = cands.select("c", F.explode("prefix").alias("gram"))
@@ -384,7 +382,8 @@ def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "do
     named = docs.select(row.alias("row"), F.col(id).cast("long").alias("named")).distinct().join(found, "row")
     least = F.struct(F.coalesce("named", F.lit((1 << 63) - 1)).alias("id"), "row", "n")
     stay = named.groupBy("component").agg(F.min(least).alias("least")).select("least.row", "least.n").unionByName(named.where("n = 0").select("row", "n")).distinct()
-    stay = stay.select(F.col("row").alias("row__"), F.col("n").alias("n__"))
-    again = F.row_number().over(Window.partitionBy("row__").orderBy("row__"))
-    kept = docs.withColumn("row__", row).join(stay, "row__").withColumn("again__", again).where("again__ = 1 or n__ = 0")
-    return kept.select(*docs.columns)
+    # The input's columns travel as one struct, so none of their names meets one of these.
+    whole = docs.select(row.alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    again = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    kept = whole.join(stay, "row").withColumn("again", again).where("again = 1 or n = 0")
+    return kept.select("whole.*")

@@ -3,23 +3,26 @@
 P(grade >= k) = sigmoid(s - threshold_k) with thresholds in order and one score s for all grades: the
 sum of shared weights of the text's hashed features, each times 1 + log(count). Features are the
 words (runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased), their first four and first six
-bytes, so that unseen forms of a known stem count, the runs between words up to eight bytes, and whether a word repeats the one before. Of the 2^18 hash buckets, those keep a weight
-whose presence depends on the grade: `least_texts` rated texts or more, chi-square over `least_chi`, of
-those the `most_features` with the largest.
+bytes, so that unseen forms of a known stem count, the runs between words, and whether a word repeats the one before. Of the 2^18 hash buckets, those keep a weight
+whose presence depends on the grade: `least_texts` rated texts or more and chi-square over `least_chi`, which for
+three grades one bucket in twenty models passes by chance.
 
 The model is fitted on at most `most_ratings` ratings, those of the smallest hash of their id, so the
 sample is bounded, the same on each run, and drawn from all. Feature counts are summed on the executors;
 what reaches the driver is one count for each bucket and grade, then the sampled texts' selected
-features. Scoring is one pass over whole texts without a shuffle.
+features, six bytes each, which the fit reads block by block. Scoring is one pass over whole texts without a shuffle.
 
 Nulls and oddities: a null text counts as empty; a text without selected features has score 0 and so
 the sample's prior grades. Ratings with a null id or grade, or whose id has no text, teach nothing; several ratings of
 one id all count. Grades that no rating has get their thresholds from smoothed counts. Without any
-rating every text has the uniform grades. Repeated rows are scored each. Extra columns are ignored.
+rating every text has the uniform grades. Repeated rows are scored each. A very long text is read whole, as a
+batch of its own. Columns beside id and text are ignored but for those in `carry`, which must not bear the name of a
+result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.functions.shared import cut
 from quern.functions.batches import pieces
@@ -67,7 +71,7 @@ def features(column, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     np.equal(words[1:], words[:-1], out=again[1:])
     again[first[:-1][first[:-1] < len(words)]] = False
     starts, ends, first_gap = spans_of_words(data, offsets, ~_LETTER)
-    gaps = mix(hash_spans(data, starts, np.minimum(ends, starts + 8)))
+    gaps = mix(hash_spans(data, starts, ends))
     count = lambda cuts: np.repeat(np.arange(len(offsets) - 1), np.diff(cuts))
     text = np.concatenate([count(first)] * (1 + len(stems)) + [count(first_gap), count(first)[again]])
     bucket = (np.concatenate([words, *stems, gaps, np.full(int(again.sum()), _REPEAT)]) >> np.uint64(64 - BITS)).astype(np.int64)
@@ -99,31 +103,46 @@ def _presence(grades: int):
     return run
 
 
-def _fit(grade: np.ndarray, text: np.ndarray, column: np.ndarray, value: np.ndarray, width: int, grades: int, l2: float, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by full-batch Adam on the mean log likelihood, thresholds kept in order."""
+def _fit(grade: np.ndarray, cuts: np.ndarray, column: np.ndarray, count: np.ndarray, width: int, grades: int, l2: float, rounds: int, rate: float, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by full-batch Adam on the mean log likelihood, thresholds kept in order.
+
+    Text i has the features column[cuts[i]:cuts[i + 1]], as often as `count` says. Each round reads the texts in
+    blocks of about `block` features.
+    """
     prior = np.bincount(grade, minlength=grades) + 1.0
     above = 1 - np.cumsum(prior)[:-1] / prior.sum()
     x = np.r_[np.zeros(width), -np.log(above / (1 - above))]
     m, v, n = np.zeros_like(x), np.zeros_like(x), len(grade)
-    rows = np.arange(n)
+    value = (1 + np.log(np.arange(1, 1 << 16))).astype(np.float32)  # of each count
+    parts, i = [], 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + block, side="right")) - 1)
+        parts.append((i, min(j, n)))
+        i = min(j, n)
     for t in range(1, rounds + 1 if n else 1):
-        s = np.bincount(text, x[column] * value, minlength=n)
-        p = np.ones((n, grades + 1))
-        p[:, -1] = 0
-        p[:, 1:-1] = _sigmoid(s[:, None] - x[None, width:])
-        slope = p * (1 - p)
-        mass = np.maximum(p[rows, grade] - p[rows, grade + 1], 1e-12)
-        low, high = slope[rows, grade] / mass, slope[rows, grade + 1] / mass
-        g = np.empty_like(x)
-        g[:width] = l2 * x[:width] - np.bincount(column, (low - high)[text] * value, minlength=width) / n
-        g[width:] = [(low[grade == k].sum() - high[grade == k - 1].sum()) / n for k in range(1, grades)]
+        g = np.zeros_like(x)
+        for i, j in parts:
+            own = column[cuts[i] : cuts[j]]
+            worth = value[count[cuts[i] : cuts[j]] - 1]
+            text = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(cuts[i : j + 1]))
+            s = np.bincount(text, x[own] * worth, minlength=j - i)
+            p = np.ones((j - i, grades + 1))
+            p[:, -1] = 0
+            p[:, 1:-1] = _sigmoid(s[:, None] - x[None, width:])
+            slope, rows, grade_ = p * (1 - p), np.arange(j - i), grade[i:j]
+            mass = np.maximum(p[rows, grade_] - p[rows, grade_ + 1], 1e-12)
+            low, high = slope[rows, grade_] / mass, slope[rows, grade_ + 1] / mass
+            g[:width] -= np.bincount(own, (low - high).astype(np.float32)[text] * worth, minlength=width)
+            g[width:] += [low[grade_ == k].sum() - high[grade_ == k - 1].sum() for k in range(1, grades)]
+        g /= n
+        g[:width] += l2 * x[:width]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         x[width:] = np.maximum.accumulate(x[width:])
     return x[:width], x[width:]
 
 
-def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings: int = 20_000, least_texts: int = 3, least_chi: float = 15.0, most_features: int = 1024, l2: float = 1e-4, rounds: int = 200, rate: float = 0.05, id: str = "doc_id", text: str = "text") -> OrdinalModel:
+def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings: int = 20_000, least_texts: int = 3, least_chi: float = 31.0, l2: float = 3e-3, rounds: int = 150, rate: float = 0.05, id: str = "doc_id", text: str = "text") -> OrdinalModel:
     """Fit on `ratings` (id, grade in 0 .. grades - 1) of the texts of `docs`.
 
     The penalty on squared weights is `l2`, or one over the number of ratings where those are fewer.
@@ -144,7 +163,6 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings:
         for got, expected in ((have[k], every * total[k] / n), (total[k] - have[k], (n - every) * total[k] / n)):
             chi += (got - expected) ** 2 / np.maximum(expected, 1e-9)
     buckets = np.flatnonzero((every >= least_texts) & (chi > least_chi))
-    buckets = np.sort(buckets[np.argsort(-chi[buckets], kind="stable")[:most_features]])
     del seen, have, chi
     place = np.full(1 << BITS, -1)
     place[buckets] = np.arange(len(buckets))
@@ -154,16 +172,21 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings:
             out = []
             for b, c in zip(batch.column("buckets").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 b, c = place[np.frombuffer(b, np.int32)], np.frombuffer(c, np.int32)
-                out.append((b[b >= 0].astype(np.int32).tobytes(), c[b >= 0].tobytes()))
-            yield pa.RecordBatch.from_pydict({"grade": batch.column("grade"), "buckets": pa.array([x for x, _ in out], pa.binary()), "counts": pa.array([x for _, x in out], pa.binary())})
+                out.append((b[b >= 0].astype(np.int32).tobytes(), np.minimum(c[b >= 0], 65535).astype(np.uint16).tobytes()))
+            key = [int.from_bytes(hashlib.blake2b(x + y, digest_size=8).digest(), "little", signed=True) for x, y in out]
+            yield pa.RecordBatch.from_pydict({"grade": batch.column("grade"), "key": pa.array(key, pa.int64()), "buckets": pa.array([x for x, _ in out], pa.binary()), "counts": pa.array([x for _, x in out], pa.binary())})
 
-    table = hashed.mapInArrow(select, "grade int, buckets binary, counts binary").toArrow()
-    table = table.sort_by([("grade", "ascending"), ("buckets", "ascending"), ("counts", "ascending")])  # sums don't depend on the partitions' order
+    table = hashed.mapInArrow(select, "grade int, key long, buckets binary, counts binary").toArrow()
     grade = table.column("grade").to_numpy().astype(np.int64)
-    flat, cuts = text_bytes(table.column("buckets"))
-    value = 1 + np.log(text_bytes(table.column("counts"))[0].view(np.int32).astype(np.float32))
-    text = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(cuts) // 4)
-    weights, thresholds = _fit(grade, text, flat.view(np.int32), value, len(buckets), grades, max(l2, 1 / n), rounds, rate)
+    order = np.lexsort((table.column("key").to_numpy(), grade))  # sums don't depend on the partitions' order
+    parts, sizes = {}, None
+    for name, kind in (("buckets", np.int32), ("counts", np.uint16)):
+        flat, at = text_bytes(table.column(name))
+        flat, at = flat.view(kind), at // np.dtype(kind).itemsize
+        parts[name] = np.concatenate([flat[at[k] : at[k + 1]] for k in order] or [flat[:0]])
+        table, sizes = table.drop_columns([name]), np.diff(at)[order]
+    del table, flat, at
+    weights, thresholds = _fit(grade[order], np.r_[0, np.cumsum(sizes)], parts["buckets"], parts["counts"], len(buckets), grades, max(l2, 1 / n), rounds, rate)
     return OrdinalModel(buckets, weights, thresholds)
 
 
@@ -187,8 +210,8 @@ def score_ordinal(docs: DataFrame, model: OrdinalModel, select: int, least: floa
     tail_probability is P(grade >= select); `kept` says that it reaches `least`. `with_text` adds the text.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), *(F.col(k).alias(f"carry_{k}") for k in carry))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    scored = rows.mapInArrow(_score(model, select, least), f"{schema}, expected_grade double, tail_probability double, kept boolean")
+    schema = StructType([*rows.schema, *StructType.fromDDL("expected_grade double, tail_probability double, kept boolean")])
+    scored = rows.mapInArrow(_score(model, select, least), schema)
     return scored.select(F.col("id").alias(id), *([F.col("text").alias(text)] if with_text else []), *(F.col(f"carry_{k}").alias(k) for k in carry), "expected_grade", "tail_probability", "kept")
 
 

@@ -11,6 +11,9 @@ import numpy as np
 #: The published split pattern of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White-space characters in a row from which on tokenizers is used: the other core's time grows with their square.
+RUN = 256
+
 
 def _byte_letters() -> dict[str, int]:
     """The printable letter by which byte-level vocabularies write each byte."""
@@ -32,7 +35,8 @@ def encoder(path: str):
 
     `path` is a tokenizers JSON file. A plain byte-level BPE file, whose ids are its merge ranks, is
     run by tiktoken's faster core from the same file; a text that holds one of the file's added
-    tokens, and any other kind of file, goes through tokenizers. Both give the same ids.
+    tokens or `RUN` white-space characters in a row, of which a million break that core, and any
+    other kind of file, goes through tokenizers. Both give the same ids.
     """
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
@@ -54,9 +58,10 @@ def encoder(path: str):
     fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks={bytes(letters[x] for x in word): id for word, id in vocab.items()}, special_tokens={})
     added = [t["content"] for t in spec.get("added_tokens", [])]
     holds = re.compile("|".join(map(re.escape, added))) if added else None
+    blank = re.compile(rf"\s{{{RUN}}}")
 
     def mixed(texts: list[str]) -> list:
-        return [fast.encode_ordinary(t) if not holds or not holds.search(t) else plain([t])[0] for t in texts]
+        return [plain([t])[0] if holds and holds.search(t) or len(t) >= RUN and blank.search(t) else fast.encode_ordinary(t) for t in texts]
 
     return mixed
 

@@ -63,3 +63,30 @@ def test_pipeline(spark):
     assert mixed.doc_id.value_counts().max() <= 2 and abs(mixed.text.map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))).sum() - 1.5 * size.sum()) < 20 * size.max()
     assert packed.groupby("sequence_id").length.sum().max() <= 1024 and set(packed.doc_id) == set(mixed.doc_id)
     assert len(corpus_pipeline.run(spark, SF).columns) == len(packed.columns)
+
+
+#: Names that the operators give to their own columns.
+CLASHING = "kept expected_grade tail_probability spans n_bytes row__ again__ n__ carry_kept id row length start copies size key bucket whole component".split()
+
+
+def test_stages_with_any_rows_and_names(spark):
+    """Nulls, empty and repeated rows, ties, long texts and columns that bear the names of results; then no rows at all."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40).toPandas()
+    passage = "this passage of some length stands in more than one of the documents and is longer than two hundred bytes by far " * 3
+    texts = [None, "", " \n", "one", "same words here as there and more", "same words here as there and more", "w " * 300_000, "x" * 300_000, passage + "first", "second " + passage]
+    more = [(1_000_000 + k // 2 if k > 3 else None, t, None if k % 3 else "s") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*base[["doc_id", "text", "source"]].itertuples(index=False, name=None), *more], "doc_id long, text string, source string").selectExpr("doc_id", "text", "source", "length(text) AS n_chars", "named_struct('a b', 1) AS `a.b`", *(f"'{c}' AS `{c}`" for c in CLASHING))
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = cut(stage(spark, rows, SF), "stage")
+            assert found.columns == docs.columns, name
+            assert found.dtypes == docs.dtypes, name
+            assert found.where(" OR ".join(f"`{c}` IS NULL OR `{c}` <> '{c}'" for c in CLASHING)).count() == 0, name
+            assert (found.count() == 0) == (rows is not docs), name
+        assert (corpus_pipeline.pack(spark, rows, SF).count() == 0) == (rows is not docs)
+    single = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert single.where("text like 'same words%'").count() == 1 and single.where("text is null or trim(text) in ('', '\n')").count() == 3
+    short = {r["text"] for r in corpus_pipeline.cut_repeats(spark, docs.where("text like '%this passage%'"), SF).collect()}
+    assert short == {"first", "second"}  # the blank before the passage stands within it too

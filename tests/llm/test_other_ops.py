@@ -329,10 +329,12 @@ def test_ordinal_gradient():
     """The fit's end point is a maximum of the penalised likelihood: small moves don't raise it."""
     rng = np.random.default_rng(7)
     n, width = 300, 5
-    x = rng.normal(size=(n, width))
-    grade = np.digitize(x @ [1.5, -1, 0.5, 0, 0] + rng.logistic(size=n), [-1, 1])
-    text, column = np.repeat(np.arange(n), width), np.tile(np.arange(width), n)
-    w, th = ordinal._fit(grade, text, column, x.ravel(), width, 3, 1e-3, 1500, 0.05)
+    count = rng.integers(1, 40, (n, width))
+    x = 1 + np.log(count)
+    grade = np.digitize((x - x.mean(0)) @ [1.5, -1, 0.5, 0, 0] + rng.logistic(size=n), [-1, 1])
+    fit = lambda block, rounds: ordinal._fit(grade, np.arange(n + 1) * width, np.tile(np.arange(width), n), count.ravel().astype(np.uint16), width, 3, 1e-3, rounds, 0.05, block)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(fit(37, 20), fit(1 << 20, 20), strict=True))
+    w, th = fit(1 << 20, 4000)
 
     def loss(w, th):
         p = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - th[None]))), np.zeros((n, 1))], 1)
@@ -351,3 +353,28 @@ def test_grades(spark, rows):
     df = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 0, 1), (5, None, 0), (6, None, 1)], "doc_id long, quality int, toxic int")
     assert rows(ordinal.grades_of(df)) == [(1, 2), (2, 1), (3, 0), (4, 0), (5, None), (6, 0)]
     assert queries.BATCH_ROWS == 1000
+
+
+LONG = {"spaces": "a" + " " * 2_000_000 + "b", "newlines": "\n" * 2_000_000, "letter": "a" * 2_000_000, "line": "word " * 1_000_000}
+
+
+def test_long_texts_have_the_ids_of_tokenizers():
+    path = queries.vocabulary()
+    encode = tokens.encoder(path)
+    for name, text in LONG.items():
+        want = tokens._tokenizer(path).encode(text, add_special_tokens=False).ids
+        assert list(encode([text])[0]) == want, name
+    assert list(encode([("x" + " " * 3000) * 20])[0]) == tokens._tokenizer(path).encode(("x" + " " * 3000) * 20, add_special_tokens=False).ids
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<a<" * 350_000, "<a<" * 350_000 + ">", "<!--" * 250_000, "<div>" * 20_000 + "<li>" * 20_000, "<a href=\"" * 100_000, "&#" * 500_000):
+        html_text.main_text(page)
+    assert time.perf_counter() - start < 30
+    article = "<p>" + "A sentence of the article. " * 8 + "</p>"
+    assert len(html_text.main_text("<div>" + article * 5000 + "</div>")) > 200 * 5000
+    assert html_text.main_text(f"<form><fieldset>{article * 3}</fieldset></form>").count("sentence") == 24
+    assert html_text.main_text(f"<div>{article * 3}</div><!-- not closed <p>more</p>").count("sentence") == 24
