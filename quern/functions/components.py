@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.shared import cut
+from quern.functions.shared import cut_to, drop_path, new_path
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     allowed, edges with a null end are left out. Large-star and small-star rounds alternate until
     nothing changes, which takes a number of rounds logarithmic in the graph's size. A round
     aggregates by node and joins the minimum back, so that no node's neighbours are ever gathered;
-    each round is written to the shared folder.
+    each round is written to the shared folder and replaces the one before.
     """
-    now = cut(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct(), "edges")
-    seen = None
+    spark, seen = edges.sparkSession, None
+    path = new_path(spark, "edges")
+    now = cut_to(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct(), path)
     for _ in range(most_rounds):
-        now = cut(_small_star(_large_star(now)).distinct(), "edges")
+        last, path = path, new_path(spark, "edges")
+        now = cut_to(_small_star(_large_star(now)).distinct(), path)
+        drop_path(spark, last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

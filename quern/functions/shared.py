@@ -1,20 +1,23 @@
 """Work tables in the folder that all machines share.
 
-``spark.checkpoint.dir`` names that folder. It is read from the session; only where it is unset,
-as in local tests, a temporary folder takes its place.
+``spark.checkpoint.dir`` names that folder. It is read from the session; only where it is unset
+on one machine, as in local tests, a temporary folder takes its place.
 """
 
 from __future__ import annotations
 
-import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Lists that `work_tables` fills, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -41,28 +46,55 @@ def ship(spark: SparkSession) -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the work tables that were made within, once the caller has read them; the list it gets names them.
+
+    Paths that the caller takes off the list stay.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            drop_path(spark, path)
+
+
+#: With it, Spark deletes a finished write's shuffle files at once and not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: its lineage ends there.
 
     The table outlives lost executors. Its schema is given on reading, so an empty table keeps
-    its columns.
+    its columns. The shuffle files that led to it go when it is written.
     """
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
+    spark = df.sparkSession
+    return cut_to(df, new_path(spark, name))
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs now, not when the driver next collects garbage.
 
-    Spark deletes them once no plan refers to them; call this after a large `cut`.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+def cut_to(df: DataFrame, path: str) -> DataFrame:
+    """As `cut`, at a path of the caller's."""
+    spark, schema = df.sparkSession, df.schema
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
