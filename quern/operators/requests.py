@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +50,19 @@ def largest_request(requests: DataFrame, request_type: str = "loglikelihood") ->
     return top.withColumn("rank", rank).drop("rank")
 
 
-def stream_digest(requests: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: request_count, maximum_tokens and a rolling SHA-256 over its requests in order of seq.
+def stream_digest(requests: DataFrame, by: list[str], block: int = 4096) -> DataFrame:
+    """Per group: request_count, maximum_tokens and a SHA-256 over its requests in order of seq, a number from 0 or so on.
 
-    The digest frames task, type and text by a zero byte and counts by four big-endian bytes; being sequential it is
-    computed for each group over its sorted rows of digests and numbers.
+    A request's digest is that of task, type and text, each behind its length in bytes, and of its two counts. Digests
+    are folded in two levels, `block` numbers of seq and then the blocks, so no task holds more than a block's digests
+    or one digest a block; texts never leave their rows.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, digest = pdf.sort_values("seq"), hashlib.sha256()
-        for row in pdf.itertuples(index=False):
-            for part in (row.task, row.request_type, row.rendered):
-                digest.update(part.encode() + b"\0")
-            for number in (row.n_tokens, row.reserve):
-                digest.update(int(number).to_bytes(4, "big"))
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "request_count": [len(pdf)], "maximum_tokens": [int((pdf["n_tokens"] + pdf["reserve"]).max())], "stream_sha256": [digest.hexdigest()]})
-
-    types = "".join(f"{b} {requests.schema[b].dataType.simpleString()}, " for b in by)
-    columns = list(dict.fromkeys([*by, "task", "request_type", "rendered", "n_tokens", "reserve", "seq"]))
-    return requests.select(*columns).groupBy(*by).applyInPandas(run, f"{types}request_count long, maximum_tokens long, stream_sha256 string")
+    framed = lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), x)
+    own = F.sha2(F.concat(*(framed(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("task", "request_type", "rendered", "n_tokens", "reserve"))), 256)
+    folded = lambda order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "digest"))), lambda x: x["digest"]), ""), 256)
+    rows = requests.select(*dict.fromkeys([*by, "seq"]), (F.col("n_tokens") + F.col("reserve")).alias("total"), own.alias("digest"), F.floor(F.col("seq") / block).alias("block"))
+    blocks = rows.groupBy(*by, "block").agg(F.count("*").alias("n"), F.max("total").alias("most"), folded("seq").alias("digest"))
+    return blocks.groupBy(*by).agg(F.sum("n").alias("request_count"), F.max("most").cast("long").alias("maximum_tokens"), folded("block").alias("stream_sha256"))
 
 
 def stream_differences(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:

@@ -176,11 +176,12 @@ def prompt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH t AS (SELECT doc_id, {_TOKENS} AS n FROM documents)
-SELECT doc_id, list_transform(generate_series(1, n), lambda x: x::INTEGER)[1:4] AS first_ids, n AS n_mask, sha256('') AS no_ids FROM t"""
+SELECT doc_id, list_transform(generate_series(1, n), lambda x: x::INTEGER)[1:4] AS first_ids, n AS n_mask,
+  sha256(unhex(array_to_string(list_transform(generate_series(1, n), lambda x: printf('%08X', x)), ''))) AS ids_sha256 FROM t"""
 )
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens(table(spark, sf_dir, "documents")).withColumn("ids", F.sequence(F.lit(1), F.col("n_tokens")))
-    return rows.select("doc_id", F.slice("ids", 1, 4).alias("first_ids"), F.size(corpus.attention_mask(F.col("ids"))).alias("n_mask"), token_ids_digest(F.array().cast("array<int>")).alias("no_ids"))
+    rows = tokens(table(spark, sf_dir, "documents")).withColumn("ids", F.when(F.col("n_tokens") > 0, F.sequence(F.lit(1), F.col("n_tokens"))).otherwise(F.array().cast("array<int>")))
+    return rows.select("doc_id", F.slice("ids", 1, 4).alias("first_ids"), F.size(corpus.attention_mask(F.col("ids"))).alias("n_mask"), token_ids_digest(F.col("ids")).alias("ids_sha256"))
 
 
 # Chat
@@ -261,10 +262,10 @@ def screened_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.screen_fields(table(spark, sf_dir, "documents"), cases, exact=False).select("doc_id", "id", "field", "containment")
 
 
-@query("SELECT d.doc_id, d.source, d.lang FROM documents d WHERE d.doc_id % 10 = 0")
+@query("SELECT doc_id, source, lang FROM documents")
 def origin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    selected = docs.where("doc_id % 10 = 0").select("source", F.col("doc_id").alias("source_index"))
+    selected = docs.select("source", F.col("doc_id").alias("source_index"))
     return overlap.origin_rows(selected, docs.select("source", F.col("doc_id").alias("source_index"), "lang")).select(F.col("source_index").alias("doc_id"), "source", "lang")
 
 
@@ -461,7 +462,16 @@ def largest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.largest_request(_requests(spark, sf_dir)).select("doc_id", "n_tokens")
 
 
-@query()
+@query(
+    r"""
+WITH r AS (SELECT lang AS task, doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN 'loglikelihood' ELSE 'generate_until' END AS kind,
+             text || '  ' || CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE '' END AS rendered,
+             CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 64 ELSE 256 END AS reserve FROM documents),
+n AS (SELECT *, len(regexp_extract_all(rendered, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS n FROM r),
+d AS (SELECT task, seq, n + reserve AS total, seq // 4096 AS block, sha256(array_to_string(list_transform([task, kind, rendered, n::VARCHAR, reserve::VARCHAR], lambda x: strlen(x) || ':' || x), '')) AS digest FROM n),
+b AS (SELECT task, block, count(*) AS n, max(total) AS most, sha256(string_agg(digest, '' ORDER BY seq)) AS digest FROM d GROUP BY task, block)
+SELECT task, sum(n)::BIGINT AS request_count, max(most) AS maximum_tokens, sha256(string_agg(digest, '' ORDER BY block)) AS stream_sha256 FROM b GROUP BY task"""
+)
 def request_stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.stream_digest(_requests(spark, sf_dir), ["task"])
 
@@ -636,7 +646,9 @@ def source_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.set_violations(sources.where("source <> 'src5'"), sources.where("source <> 'src3'"), "source", "source")
 
 
-@query("SELECT count(*) AS file_count, sum(length(text))::BIGINT AS size_bytes FROM documents")
+@query("""
+WITH f AS (SELECT '{"path":' || doc_id || ',"size_bytes":' || length(text) || '}' AS record, length(text) AS n FROM documents)
+SELECT count(*) AS file_count, sum(n)::BIGINT AS size_bytes, sha256(string_agg(record, chr(10) ORDER BY record)) AS identity_sha256 FROM f""")
 def manifest_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.length("text").cast("long").alias("size_bytes"))
-    return inventory.order_free_identity(files, ["path", "size_bytes"]).select("file_count", "size_bytes")
+    return inventory.order_free_identity(files, ["path", "size_bytes"])

@@ -178,6 +178,29 @@ def bad_scales(values: bytes) -> bool:
     return bool(((x == 0) | (x >= 0x7F80)).any())
 
 
+def offset_round_trip(values: bytes) -> bytes:
+    """16-bit brain floats after one is added and taken away again, rounded to the nearest (halves to even) each time."""
+    import numpy as np
+
+    def rounded(x: np.ndarray) -> np.ndarray:
+        bits = x.view("<u4").astype(np.uint64)
+        return ((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16).astype("<u2")
+
+    def wide(x: np.ndarray) -> np.ndarray:
+        return (x.astype("<u4") << 16).view("<f4")
+
+    moved = rounded(wide(np.frombuffer(values, "<u2")) + np.float32(1))
+    return rounded(wide(moved) - np.float32(1)).tobytes()
+
+
+def offset_round_trip_holds(source: bytes, output: bytes) -> bool:
+    """Whether `output` is the source's round trip and both are finite."""
+    import numpy as np
+
+    finite = lambda x: bool(((np.frombuffer(x, "<u2") & 0x7F80) != 0x7F80).all())
+    return finite(source) and finite(output) and offset_round_trip(source) == output
+
+
 def shard_facts(tensors: DataFrame) -> DataFrame:
     """(shard, size_bytes, header_bytes) of the shards that have tensors."""
     return tensors.groupBy("shard").agg(F.max("size_bytes").alias("size_bytes"), F.max("header_bytes").alias("header_bytes"))

@@ -63,12 +63,10 @@ def test_requests(spark, rows):
     assert rows(df, "seq", "rendered", "n_tokens", "context_tokens", "reserve") == [(1, "a b  c", 3, 2, 0), (2, "a b", 2, None, 256), (3, "a", 1, None, 7)]
     assert rows(requests.truncation_violations(df, 258), "key") == []
     assert rows(requests.truncation_violations(df, 3), "key") == [("t/1",), ("t/2",), ("t/3",)]
-    digest = hashlib.sha256()
-    for kind, text, n, reserve in (("loglikelihood", "a b  c", 3, 0), ("generate_until", "a b", 2, 256), ("generate_until", "a", 1, 7)):
-        for part in ("t", kind, text):
-            digest.update(part.encode() + b"\0")
-        digest.update(n.to_bytes(4, "big") + reserve.to_bytes(4, "big"))
-    assert rows(requests.stream_digest(df, ["task"])) == [("t", 3, 258, digest.hexdigest())]
+    own = [hashlib.sha256("".join(f"{len(x.encode())}:{x}" for x in ("t", kind, text, str(n), str(reserve))).encode()).hexdigest() for kind, text, n, reserve in (("loglikelihood", "a b  c", 3, 0), ("generate_until", "a b", 2, 256), ("generate_until", "a", 1, 7))]
+    fold = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    assert rows(requests.stream_digest(df, ["task"]), "task", "request_count", "maximum_tokens", "stream_sha256") == [("t", 3, 258, fold([fold(own)]))]
+    assert rows(requests.stream_digest(df, ["task"], block=2), "stream_sha256") == [(fold([fold(own[:1]), fold(own[1:])]),)]
     for bad in (("t", 1, 1, "loglikelihood", "", "c", None), ("t", 1, 1, "other", "a", "c", None)):
         with pytest.raises(Exception, match="empty context|unexpected request"):
             requests.encode_requests(spark.createDataFrame([bad], schema)).collect()
