@@ -8,9 +8,9 @@ whose presence depends on the grade: `least_texts` rated texts or more and chi-s
 three grades one bucket in twenty models passes by chance.
 
 The model is fitted on at most `most_ratings` ratings, those of the smallest hash of their id, so the
-sample is bounded, the same on each run, and drawn from all. Feature counts are summed on the executors;
-what reaches the driver is one count for each bucket and grade, then the sampled texts' selected
-features, six bytes each, which the fit reads block by block. Scoring is one pass over whole texts without a shuffle.
+sample is bounded, the same on each run, and drawn from all. Features are counted and tested on the executors; the
+sampled texts' selected features, six bytes each, meet in one task, which fits block by block, and the driver gets
+weights and thresholds. Scoring is one pass over whole texts without a shuffle.
 
 Nulls and oddities: a null text counts as empty; a text without selected features has score 0 and so
 the sample's prior grades. Ratings with a null id or grade, or whose id has no text, teach nothing; several ratings of
@@ -22,7 +22,6 @@ result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,20 +150,18 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings:
     sample = sample.orderBy(F.xxhash64("rated"), "rated", "grade").limit(most_ratings)
     rated = docs.select(F.col(id).alias("rated"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "rated").select("grade", "text")
     hashed = cut(rated.mapInArrow(_hashed, "grade int, buckets binary, counts binary"), "rated")
-    seen = hashed.mapInArrow(_presence(grades), "grade long, bucket long, texts long").groupBy("grade", "bucket").agg(F.sum("texts").alias("texts")).toArrow()
-    have = np.zeros((grades, 1 << BITS))
-    have[seen.column("grade").to_numpy(), seen.column("bucket").to_numpy()] = seen.column("texts").to_numpy()
     total = np.zeros(grades)
     for row in hashed.groupBy("grade").count().collect():
         total[row["grade"]] = row["count"]
-    every, n = have.sum(0), max(total.sum(), 1)
-    chi = np.zeros(1 << BITS)
-    for k in range(grades):
-        for got, expected in ((have[k], every * total[k] / n), (total[k] - have[k], (n - every) * total[k] / n)):
-            chi += (got - expected) ** 2 / np.maximum(expected, 1e-9)
-    buckets = np.flatnonzero((every >= least_texts) & (chi > least_chi))
-    del seen, have, chi
-    place = np.full(1 << BITS, -1)
+    n = max(total.sum(), 1)
+    seen = hashed.mapInArrow(_presence(grades), "grade long, bucket long, texts long").groupBy("bucket")
+    seen = seen.agg(F.sum("texts").cast("double").alias("every"), *(F.sum(F.when(F.col("grade") == k, F.col("texts")).otherwise(0)).cast("double").alias(f"g{k}") for k in range(grades)))
+    off = lambda got, expected: (got - expected) * (got - expected) / F.greatest(expected, F.lit(1e-9))
+    every = F.col("every")
+    chi = sum((off(F.col(f"g{k}"), every * float(t / n)) + off(float(t) - F.col(f"g{k}"), (float(n) - every) * float(t / n)) for k, t in enumerate(total)), F.lit(0.0))
+    chosen = seen.where((every >= least_texts) & (chi > least_chi)).select("bucket").toArrow()
+    buckets = np.sort(chosen.column("bucket").to_numpy())
+    place = np.full(1 << BITS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,21 +169,25 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings:
             out = []
             for b, c in zip(batch.column("buckets").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 b, c = place[np.frombuffer(b, np.int32)], np.frombuffer(c, np.int32)
-                out.append((b[b >= 0].astype(np.int32).tobytes(), np.minimum(c[b >= 0], 65535).astype(np.uint16).tobytes()))
-            key = [int.from_bytes(hashlib.blake2b(x + y, digest_size=8).digest(), "little", signed=True) for x, y in out]
-            yield pa.RecordBatch.from_pydict({"grade": batch.column("grade"), "key": pa.array(key, pa.int64()), "buckets": pa.array([x for x, _ in out], pa.binary()), "counts": pa.array([x for _, x in out], pa.binary())})
-
-    table = hashed.mapInArrow(select, "grade int, key long, buckets binary, counts binary").toArrow()
-    grade = table.column("grade").to_numpy().astype(np.int64)
-    order = np.lexsort((table.column("key").to_numpy(), grade))  # sums don't depend on the partitions' order
-    parts, sizes = {}, None
-    for name, kind in (("buckets", np.int32), ("counts", np.uint16)):
-        flat, at = text_bytes(table.column(name))
-        flat, at = flat.view(kind), at // np.dtype(kind).itemsize
-        parts[name] = np.concatenate([flat[at[k] : at[k + 1]] for k in order] or [flat[:0]])
-        table, sizes = table.drop_columns([name]), np.diff(at)[order]
-    del table, flat, at
-    weights, thresholds = _fit(grade[order], np.r_[0, np.cumsum(sizes)], parts["buckets"], parts["counts"], len(buckets), grades, max(l2, 1 / n), rounds, rate)
+                out.append((b[b >= 0].tobytes(), np.minimum(c[b >= 0], 65535).astype(np.uint16).tobytes()))
+            yield pa.RecordBatch.from_pydict({"grade": batch.column("grade"), "buckets": pa.array([x for x, _ in out], pa.binary()), "counts": pa.array([x for _, x in out], pa.binary())})
+
+    width, penalty = len(buckets), max(l2, 1 / n)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+        rows.sort()  # sums don't depend on the partitions' order
+        cuts = np.r_[0, np.cumsum([len(x[2]) // 2 for x in rows], dtype=np.int64)]
+        column = np.frombuffer(b"".join(x[1] for x in rows), np.int32)
+        count = np.frombuffer(b"".join(x[2] for x in rows), np.uint16)
+        grade = np.array([x[0] for x in rows], np.int64)
+        rows.clear()
+        weights, thresholds = _fit(grade, cuts, column, count, width, grades, penalty, rounds, rate)
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary()), "thresholds": pa.array([thresholds.tobytes()], pa.binary())})
+
+    sampled = hashed.mapInArrow(select, "grade int, buckets binary, counts binary").repartition(1)
+    model = sampled.mapInArrow(fit, "weights binary, thresholds binary").first()
+    weights, thresholds = (np.frombuffer(model[k]) for k in ("weights", "thresholds")) if model else _fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16), width, grades, penalty, 0, rate)
     return OrdinalModel(buckets, weights, thresholds)
 
 
