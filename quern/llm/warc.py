@@ -6,27 +6,30 @@ the smallest id is the response, the others revisit it: their record holds the H
 names the response in WARC-Refers-To. Equal payloads are found by SHA-1 and length; the smallest id is an
 aggregate joined back, so a payload that a third of the captures share is never one group. Archives are
 gzip files of Spark's text writer with the records' closing line ends as separator, at most
-`RECORDS` records each.
+`RECORDS` records each; that sets the size of files and bounds nothing else.
 
-Reading: each archive is one row of the binary reader, whose records are parsed as a stream. Transactions are
-assembled by joining records on the response's identifier: their own for responses and revisits, the
+Reading: a gzip archive comes through Spark's text reader, cut at the same line ends, and its records are parsed as
+a stream of such rows; so no archive is held whole, and memory goes with the longest record. An uncompressed archive,
+which that reader would split, is one row of the binary reader. Transactions are assembled by joining records on the response's identifier: their own for responses and revisits, the
 concurrent-to identifier for others, where one that names a request leads on to what the request names.
 
 Nulls and oddities: a null page is an empty payload. A null URL has no WARC-Target-URI; control
 characters in a URL are percent-encoded. A null id counts as the largest, and reads back null. Rows that
 repeat an id are captures of their own: record identifiers hold the row's number in the input. Requests and metadata
-whose response is missing make a row without one. Extra columns are ignored. An empty table makes no archive rows.
+whose response is missing make a row without one. Extra columns are ignored. An empty table makes no archive rows. A
+very long page is a record like others, whole. An archive that ends within a record is an error.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +96,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse(stream: Rows | io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, block) of each record of an uncompressed archive."""
     while True:
         line = stream.readline()
@@ -123,41 +126,83 @@ _RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url",
 _RECORD_SQL = "record_id string, type string, url string, date string, concurrent_to string, refers_to string, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
 
 
-def _read(with_payload: bool):
+class Rows:
+    """An archive as a stream, from its parts between separators: these are put back, but for one after the last part."""
+
+    def __init__(self, rows: Iterator[bytes]) -> None:
+        self.rows, self.held, self.at = rows, b"", 0
+        self.coming = next(rows, None)
+
+    def _more(self) -> bool:
+        if self.coming is None:
+            return False
+        row, self.coming = self.coming, next(self.rows, None)
+        self.held, self.at = self.held[self.at :] + row + (b"" if self.coming is None else END.encode()), 0
+        return True
+
+    def readline(self) -> bytes:
+        while not (end := self.held.find(b"\n", self.at) + 1) and self._more():
+            pass
+        end = end or len(self.held)
+        line, self.at = self.held[self.at : end], end
+        return line
+
+    def read(self, size: int) -> bytes:
+        parts, left = [], size
+        while left and (self.at < len(self.held) or self._more()):
+            parts.append(self.held[self.at : self.at + left])
+            self.at += len(parts[-1])
+            left -= len(parts[-1])
+        return b"".join(parts)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows | io.BufferedIOBase]:
+    for batch in batches:
+        for content in batch.column("content"):
+            yield io.BytesIO(content.as_py())
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows | io.BufferedIOBase]:
+    parts = (part for batch in batches for part in zip(batch.column("file").to_pylist(), batch.column("part").to_pylist(), strict=True))
+    for _, rows in groupby(parts, itemgetter(0)):
+        yield Rows(part for _, part in rows)
+
+
+def _read(archives, with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                content = content.as_py()
-                stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-                rows, held = [], 0
-                for fields, block in parse(io.BufferedReader(stream, 1 << 20)):
-                    kind, payload, about = fields.get("warc-type", ""), block, None
-                    size, digest = None, None
-                    if fields.get("content-type", "").startswith("application/http"):
-                        payload = block[block.index(END.encode()) + 4 :] if END.encode() in block else b""
-                    elif fields.get("content-type", "") == "application/warc-fields":
-                        about = [tuple(x.strip() for x in line.partition(":")[::2]) for line in block.decode("utf-8", "replace").splitlines() if ":" in line]
-                    if kind == "revisit":
-                        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    else:
-                        size, digest = len(payload), payload_digest(payload)
-                    if kind == "response" and (said := fields.get("warc-payload-digest", "")).startswith("sha1:") and said != f"sha1:{digest}":
-                        raise ValueError(f"the payload of {fields.get('warc-record-id')} doesn't have its digest")
-                    rows.append((fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), size, digest, about, payload if with_payload else None))
-                    held += len(payload) if with_payload else 64
-                    if held > 4 << 20 or len(rows) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
-                        rows, held = [], 0
-                if rows:
+        for stream in archives(batches):
+            rows, held = [], 0
+            for fields, block in parse(stream):
+                kind, payload, about = fields.get("warc-type", ""), block, None
+                size, digest = None, None
+                if fields.get("content-type", "").startswith("application/http"):
+                    payload = block[block.index(END.encode()) + 4 :] if END.encode() in block else b""
+                elif fields.get("content-type", "") == "application/warc-fields":
+                    about = [tuple(x.strip() for x in line.partition(":")[::2]) for line in block.decode("utf-8", "replace").splitlines() if ":" in line]
+                if kind == "revisit":
+                    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                else:
+                    size, digest = len(payload), payload_digest(payload)
+                if kind == "response" and (said := fields.get("warc-payload-digest", "")).startswith("sha1:") and said != f"sha1:{digest}":
+                    raise ValueError(f"the payload of {fields.get('warc-record-id')} doesn't have its digest")
+                rows.append((fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), size, digest, about, payload if with_payload else None))
+                held += len(payload) if with_payload else 64
+                if held > 4 << 20 or len(rows) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
 
     return run
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row for each record of the archives (*.gz, *.warc) under `path`."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(_read(with_payload), _RECORD_SQL)
+    # Files of one task come one after another, each in order; a hash of its path tells where the next begins.
+    parts = spark.read.format("text").option("lineSep", END).option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+    parts = parts.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("part"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").option("recursiveFileLookup", "true").load(path).select("content")
+    return parts.mapInArrow(_read(_streamed, with_payload), _RECORD_SQL).unionByName(plain.mapInArrow(_read(_whole, with_payload), _RECORD_SQL))
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -194,6 +194,22 @@ def test_foreign_archive(spark, tmp_path):
         list(warc.parse(io.BytesIO(b"junk\r\n")))
 
 
+def test_archives_as_parts(spark, tmp_path):
+    """Whatever stands in a block, the parts between separators give the archive back, several to a task and cut short too."""
+    blocks = [b"", b"\r\n\r\n", b"\r\r\n\r\n\r\n\r", b"a\r\n\r\nb", bytes(range(256)) * 5, b"\r\n" * 70_000, b"x" * 3_000_000]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(b)) + b + b"\r\n\r\n" for k, b in enumerate(blocks))
+    for cut in (0, 2, 4):
+        got = list(warc.parse(warc.Rows(iter((data[: len(data) - cut]).split(b"\r\n\r\n")))))
+        assert [b for _, b in got] == blocks
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.parse(warc.Rows(iter(data[:-5].split(b"\r\n\r\n")))))
+    for k in range(3):
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(data.replace(b"ID: <", b"ID: <%d-" % k)))
+    (tmp_path / "3.warc").write_bytes(data.replace(b"ID: <", b"ID: <3-"))
+    got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert got == {f"<{k}-{j}>": b for k in range(4) for j, b in enumerate(blocks)}
+
+
 def test_e8():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 8)) * 2
