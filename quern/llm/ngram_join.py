@@ -18,9 +18,14 @@ in the verification.
    components are families: a link never leaves a family.
 4. In a family, the class with the commonest n-grams leads. Partial overlaps of every class with
    its leader are counted by fragment and summed per pair.
-5. Classes that don't reach their leader are held against all of their family, in blocks, and
+5. Classes that don't reach their leader are held against all of their family, in pairs of blocks, and
    give the edges of a spanning forest. So the rows made grow with the classes, not with the
-   pairs of a family.
+   pairs of a family. A pair of blocks cuts the order of its n-grams into fragments too and sums the
+   partial overlaps of each pair.
+
+Where the number of links is asked for, step 5 takes all classes of a family in place of step 4, and each pair of
+blocks sends on a class's links as one number. So links are counted, not listed; work, though not rows, grows with the
+square of a family's classes.
 
 Exactness: overlaps are exact up to collisions of 62-bit hashes (about 1e-9 for 1e5 documents of
 500 words). Every step is complete: nothing is capped or sampled.
@@ -52,8 +57,10 @@ _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()),
 DOC, SEGMENTS, CANDIDATE, DIRECT, MARK, SIZE = range(6)
 #: Classes of one piece that share an n-gram and so know it to be shared, without asking its fragment.
 HOT = 32
-#: Classes of a block in step 5, of those without a link to their leader and of all.
-REST, BLOCK = 256, 512
+#: Classes of a block in step 5, of those without a link to their leader and of all; and a block's n-grams.
+REST, BLOCK, GRAMS = 256, 1024, 1 << 20
+#: N-grams of a fragment in step 5, and pairs with one of them that are listed at once.
+WIDTH, LISTED = 4096, 1 << 21
 #: Bytes of text treated at once.
 PIECE = 4 << 20
 #: Classes that share a leader's segment in one group of step 4.
@@ -277,37 +284,95 @@ def linked(common, n, m, percent: int):
     return 100 * common >= percent * (n + m - common)
 
 
-def _forest(percent: int):
-    """Links of the block's unattached classes, as a spanning forest."""
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams in order, and the set that each is of."""
+    x, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(y) for y in sets])
+    order = np.argsort(x, kind="stable")
+    return x[order], of[order]
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one: partial ones by fragment, summed per pair.
+
+    In a fragment, n-grams of many pairs are counted by a product of 0-1 matrices; pairs of others are listed and counted.
+    """
+    (x, r), (y, c) = _flat(left), _flat(right)
+    both = np.intersect1d(x, y)
+    common = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(both), WIDTH):
+        grams = both[at : at + WIDTH]
+        start, end = np.searchsorted(x, grams), np.searchsorted(x, grams, "right")
+        start2, end2 = np.searchsorted(y, grams), np.searchsorted(y, grams, "right")
+        n, m = end - start, end2 - start2
+        many = n * m * 64 > common.size
+        if many.any():
+            one, two = np.zeros((len(left), int(many.sum())), np.float32), np.zeros((len(right), int(many.sum())), np.float32)
+            one[r[_ranges(start[many], n[many])], np.repeat(np.arange(one.shape[1]), n[many])] = 1
+            two[c[_ranges(start2[many], m[many])], np.repeat(np.arange(two.shape[1]), m[many])] = 1
+            common += (one @ two.T).astype(np.int64)
+        few = np.flatnonzero(~many)
+        upto = np.cumsum(n[few] * m[few])
+        while len(few):
+            take = max(int(np.searchsorted(upto, LISTED, "right")), 1)
+            some, m_of = few[:take], np.repeat(m[few[:take]], n[few[:take]])
+            rows = r[_ranges(start[some], n[some])]
+            columns = c[_ranges(np.repeat(start2[some], n[some]), m_of)]
+            common += np.bincount(np.repeat(rows, m_of) * len(right) + columns, minlength=common.size).reshape(common.shape)
+            few, upto = few[take:], upto[take:] - upto[take - 1]
+    return common
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, `length` numbers for each."""
+    return np.arange(int(length.sum())) + np.repeat(start - np.cumsum(length) + length, length)
+
+
+def spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) of a spanning forest of a bipartite graph."""
+    edges: list[tuple[int, int]] = []
+    rows, columns = links.any(axis=1), np.ones(links.shape[1], bool)  # not reached yet
+    for first in np.flatnonzero(rows):
+        if not rows[first]:
+            continue
+        rows[first] = False
+        todo = [(int(first), True)]
+        while todo:
+            k, is_row = todo.pop()
+            new = np.flatnonzero(links[k] & columns if is_row else links[:, k] & rows).tolist()
+            (columns if is_row else rows)[new] = False
+            edges += [(k, j) if is_row else (j, k) for j in new]
+            todo += [(j, not is_row) for j in new]
+    return edges
+
+
+_LINKS_SQL = "u long, v long, links long"
+
+
+def _links(percent: int):
+    """Links of side 0 with side 1: as a spanning forest, and their number for each class, copies counted.
+
+    Both sides of a pair of different blocks hear of their number; in a block with itself, or with i and j not
+    numbering the same blocks, side 0 does.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        side, c, n, near = (table.column(k).to_numpy() for k in ("side", "c", "n", "near"))
+        side, c, n, copies = (table.column(k).to_numpy() for k in ("side", "c", "n", "copies"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shared").to_pylist()]
-        rest, all_ = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        edges: list[tuple[int, int]] = []
-        if len(rest) and len(all_):
-            flat = np.concatenate([sets[j] for j in all_])
-            start = np.r_[0, np.cumsum([len(sets[j]) for j in all_])[:-1]]
-            up: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while up.get(x, x) != x:
-                    up[x] = up.get(up[x], up[x])
-                    x = up[x]
-                return x
-
-            for r in rest:
-                own = sets[r]
-                at = np.searchsorted(own, flat)
-                at[at == len(own)] = 0
-                common = np.add.reduceat((own[at] == flat).astype(np.int64), start)
-                for j in np.flatnonzero(linked(common, n[r], n[all_], percent)):
-                    d = all_[j]
-                    a, b = root(int(c[r])), root(int(near[d]))
-                    if c[d] != c[r] and a != b:
-                        up[a] = b
-                        edges.append((int(c[r]), int(c[d])))
-        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        u, v, count = [], [], []
+        if len(one) and len(two):
+            found = linked(overlaps([sets[k] for k in one], [sets[k] for k in two]), n[one][:, None], n[two], percent) & (c[one][:, None] != c[two])
+            edges = spanning(found)
+            u, v, count = [int(c[one[a]]) for a, _ in edges], [int(c[two[b]]) for _, b in edges], [None] * len(edges)
+            told = [(one, found @ copies[two])]
+            if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+                told.append((two, copies[one] @ found))
+            for who, number in told:
+                some = number > 0
+                u += c[who][some].tolist()
+                v += [None] * int(some.sum())
+                count += number[some].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "links": pa.array(count, pa.int64())})
 
     return run
 
@@ -317,13 +382,9 @@ def _fragments(spark) -> int:
     return min(16, max(6, int(spark.conf.get("spark.sql.shuffle.partitions", "200")).bit_length()))
 
 
-def ngram_classes(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, c, component) of each row; component: null for an empty set, else its links' least class.
-
-    The class c names the set of n-grams; n is the set's size.
-    """
-    spark = docs.sparkSession
-    bits = _fragments(spark)
+def _members(docs: DataFrame, percent: int, size: int, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 to 3: (id, n, c) of each row, and the classes that may have links, with their family."""
+    bits = _fragments(docs.sparkSession)
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     packed = docs.mapInArrow(_segments(size, bits), _PACKED_SQL)
     shared = packed.repartitionById(1 << bits, F.col("place")).mapInArrow(_shared(bits), _PACKED_SQL)
@@ -334,7 +395,11 @@ def ngram_classes(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "
     least = posted.groupBy("gram").agg(F.min("c").alias("v"))
     families = components(posted.join(least, "gram").select(F.col("c").alias("u"), "v").where("u <> v").distinct())
     members = cands.join(families.withColumnRenamed("node", "c"), "c").select(F.col("component").alias("family"), "c", "n", "weight", "shared")
-    members = cut(members, "members")
+    return rows, cut(members, "members")
+
+
+def _leader_links(members: DataFrame, percent: int) -> DataFrame:
+    """(u, v): steps 4 and 5, edges that join the classes which links join."""
     heads = members.groupBy("family").agg(F.max_by("c", F.struct("weight", "c")).alias("leader"), F.count("*").alias("members"))
     heads = heads.withColumn("parts", F.ceil(F.col("members") / SPREAD))
 
@@ -348,28 +413,53 @@ def ngram_classes(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "
     # Only names and flags meet by family; the sets join by class, and only those of families with unattached classes.
     state = members.select("family", "c", "n").join(near, "c", "left").join(heads.select("family", F.col("leader").alias("head")), "family")
     state = state.select("family", "c", "n", F.coalesce("leader", "c").alias("near"), F.expr("leader is null and c <> head").alias("rest")).where("c <> near or rest")
-    plan = state.groupBy("family").agg(F.count_if("rest").alias("r"), F.count("*").alias("m")).where("r > 0 and m > 1")
-    plan = plan.select("family", F.ceil(F.col("r") / REST).alias("rs"), F.ceil(F.col("m") / BLOCK).alias("ms"))
-    state = state.join(plan, "family")
-    one = state.where("rest").select("family", F.expr("pmod(xxhash64(c), rs)").alias("i"), F.explode(F.expr("sequence(0L, ms - 1)")).alias("j"), F.lit(0).alias("side"), "c", "n", "near")
-    two = state.select("family", F.explode(F.expr("sequence(0L, rs - 1)")).alias("i"), F.expr("pmod(xxhash64(c, 1), ms)").alias("j"), F.lit(1).alias("side"), "c", "n", "near")
-    forest = one.unionByName(two).join(members.select("c", "shared"), "c").groupBy("family", "i", "j").applyInArrow(_forest(percent), "u long, v long")
-
-    links = near.select(F.col("c").alias("u"), F.col("leader").alias("v")).unionByName(forest)
-    found = components(links).withColumnRenamed("node", "c")
+    plan = state.groupBy("family").agg(F.count_if("rest").alias("r"), F.count("*").alias("m"), F.sum("n").alias("grams")).where("r > 0 and m > 1")
+    plan = plan.select("family", F.ceil(F.col("r") / REST).alias("rs"), F.ceil(F.greatest(F.col("m") / BLOCK, F.col("grams") / GRAMS)).alias("ms"))
+    state = state.join(plan, "family").withColumn("copies", F.lit(1).cast("long"))
+    one = state.where("rest").select("family", F.expr("pmod(xxhash64(c), rs)").alias("i"), F.explode(F.expr("sequence(0L, ms - 1)")).alias("j"), F.lit(0).alias("side"), "c", "n", "copies")
+    two = state.select("family", F.explode(F.expr("sequence(0L, rs - 1)")).alias("i"), F.expr("pmod(xxhash64(c, 1), ms)").alias("j"), F.lit(1).alias("side"), "c", "n", "copies")
+    forest = one.unionByName(two).join(members.select("c", "shared"), "c").groupBy("family", "i", "j").applyInArrow(_links(percent), _LINKS_SQL)
+    return near.select(F.col("c").alias("u"), F.col("leader").alias("v")).unionByName(forest.where("v is not null").select("u", "v"))
+
+
+def _all_links(members: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(u, v, links): edges as before, and with v null the number of links of class u in one pair of blocks."""
+    plan = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).where("m > 1")
+    plan = plan.select("family", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("grams") / GRAMS)).alias("ms"))
+    own = members.select("family", "c", "n", "shared").join(copies, "c").join(plan, "family").withColumn("own", F.expr("pmod(xxhash64(c), ms)"))
+    sent = own.withColumn("to", F.explode(F.expr("concat(transform(sequence(0L, ms - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j, if(x < own, 1, 0) AS side)), array(struct(own AS i, own AS j, 1 AS side)))")))
+    return cut(sent.select("family", "to.*", "c", "n", "copies", "shared").groupBy("family", "i", "j").applyInArrow(_links(percent), _LINKS_SQL), "links")
+
+
+def ngram_classes(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, c, component) of each row; component: null for an empty set, else its links' least class.
+
+    The class c names the set of n-grams; n is the set's size.
+    """
+    rows, members = _members(docs, percent, size, id, text)
+    found = components(_leader_links(members, percent)).withColumnRenamed("node", "c")
     return rows.join(found, "c", "left").select("id", "n", "c", F.when(F.col("n") > 0, F.coalesce("component", "c")).alias("component"))
 
 
 def ngram_components(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `docs`: id, n_shingles, component_id.
+    """One row for each row of `docs`: id, n_shingles, component_id, n_links.
 
     component_id is the least id among the rows that links reach, the row itself included; links
-    join sets whose Jaccard similarity is at least percent / 100. See the module for nulls.
+    join sets whose Jaccard similarity is at least percent / 100. n_links is the number of other rows that a link joins
+    to the row, copies among them. See the module for nulls.
     """
-    found = ngram_classes(docs, percent, size, id, text)
+    rows, members = _members(docs, percent, size, id, text)
+    copies = rows.where("n > 0").groupBy("c").agg(F.count("*").alias("copies"))
+    links = _all_links(members, copies, percent)
+    found = components(links.where("v is not null").select("u", "v")).withColumnRenamed("node", "c")
+    number = links.where("v is null").groupBy(F.col("u").alias("c")).agg(F.sum("links").alias("links"))
+    classes = copies.join(found, "c", "left").join(number, "c", "left")
+    classes = classes.select("c", F.coalesce("component", "c").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = rows.join(classes, "c", "left")
     named = found.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = found.join(named, "component", "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -55,7 +55,7 @@ def test_pipeline(spark):
     clean = labels[(labels.quality == 1) & (labels.toxic == 0)].doc_id
     assert len(set(clean) - set(good.doc_id)) <= 0.02 * len(clean) and set(good.doc_id) < set(raw.doc_id)
     pairs = list(good[["doc_id", "text"]].itertuples(index=False, name=None))
-    assert sorted(single.doc_id) == sorted({c for _, _, c in brute_components(pairs)})
+    assert sorted(single.doc_id) == sorted({c for _, _, c, _ in brute_components(pairs)})
     cut_ = {r[0]: r for r in brute_removal(list(single[["doc_id", "text"]].itertuples(index=False, name=None)), 200)}
     for r in short.itertuples():
         assert len(r.text.encode()) <= cut_[r.doc_id][1] - cut_[r.doc_id][2] and r.n_chars == len(r.text)

@@ -41,6 +41,11 @@ def test_words_and_sets():
     assert [len(s) for s in textvec.shingle_sets(pa.chunked_array([column.slice(2, 5)]))] == [len(shingles(t)) for t in TEXTS[2:7]]
 
 
+def brute_links(docs, percent=75):
+    sets = [shingles(t) for _, t in docs]
+    return [sum(bool(b) and k != j and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for k, a in enumerate(sets)]
+
+
 def brute_components(docs, percent=75):
     sets = [shingles(t) for _, t in docs]
     up = list(range(len(docs)))
@@ -53,13 +58,29 @@ def brute_components(docs, percent=75):
     for a, b in itertools.combinations(range(len(docs)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             up[root(a)] = root(b)
-    out = []
+    out, links = [], brute_links(docs, percent)
     for k, (i, _) in enumerate(docs):
         ids = [j for m, (j, _) in enumerate(docs) if root(m) == root(k) and j is not None]
-        out.append((i, len(sets[k]), min(ids) if ids and sets[k] else i))
+        out.append((i, len(sets[k]), min(ids) if ids and sets[k] else i, links[k]))
     return sorted(out, key=repr)
 
 
+def components_of(docs, percent=75):
+    """Sets of places that links join, of documents with words."""
+    sets = [shingles(t) for _, t in docs]
+    left, out = {k for k, x in enumerate(sets) if x}, []
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            k = todo.pop()
+            seen.add(k)
+            near = {j for j in left if 100 * len(sets[k] & sets[j]) >= percent * len(sets[k] | sets[j])}
+            left -= near
+            todo += near
+        out.append(seen)
+    return out
+
+
 def edited(rng, base, n):
     w = list(base)
     for _ in range(n):
@@ -92,7 +113,36 @@ def test_join_against_pairs(spark, rows, monkeypatch, seed, rest, block, spread,
     monkeypatch.setattr(ngram_join, "SPREAD", spread)
     docs = made_docs(seed)
     df = spark.createDataFrame([(i, t, "x", i) for i, t in docs], "doc_id long, text string, n string, id long").repartition(3)
-    assert rows(ngram_join.ngram_components(df), "doc_id", "n_shingles", "component_id") == brute_components(docs)
+    assert rows(ngram_join.ngram_components(df), "doc_id", "n_shingles", "component_id", "n_links") == brute_components(docs)
+    # The classes by way of leaders have the same components.
+    got = [(r["n"], r["component"]) for r in ngram_join.ngram_classes(df).collect() if r["n"]]
+    assert len({c for _, c in got}) == len(components_of(docs))
+
+
+@pytest.mark.parametrize("width,listed", [(4096, 1 << 21), (7, 5)])
+def test_overlaps_and_forest(monkeypatch, width, listed):
+    monkeypatch.setattr(ngram_join, "WIDTH", width)
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.r_[rng.integers(0, 60, 40), rng.integers(0, 5000, k)]).astype(np.uint64) for k in range(50)] + [np.zeros(0, np.uint64)]
+    left, right = sets[:20] + sets[-1:], sets[15:]
+    want = np.array([[len(np.intersect1d(a, b)) for b in right] for a in left])
+    assert (ngram_join.overlaps(left, right) == want).all()
+    for share in (0.0, 0.02, 0.1, 0.9):
+        links = rng.random((30, 40)) < share
+        edges = ngram_join.spanning(links)
+        assert all(links[a, b] for a, b in edges)
+        up = list(range(70))
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            assert root(a) != root(30 + b)  # a forest
+            up[root(a)] = root(30 + b)
+        assert all(root(a) == root(30 + b) for a, b in zip(*np.nonzero(links)))
 
 
 def test_join_boundary(spark, rows):
