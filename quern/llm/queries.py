@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.shared import new_path, ship
+from quern.llm.conversation_repair import damage, repair_conversations
 from quern.llm.exact_search import search_exact
 from quern.llm.html_text import extract_text
 from quern.llm.lattice_dedup import link_vectors
@@ -172,3 +173,8 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(_table(spark, sf_dir, "conversations")), lost="lost")
