@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.shared import new_path, ship
+from quern.llm.collocations import collocations
 from quern.llm.conversation_repair import damage, repair_conversations
 from quern.llm.exact_search import search_exact
 from quern.llm.html_text import extract_text
+from quern.llm.language_id import fit_languages, predict_languages
 from quern.llm.lattice_dedup import link_vectors
 from quern.llm.mixing import mix_sources
 from quern.llm.ngram_join import ngram_components
@@ -175,6 +177,50 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+@_query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM pieces
+  UNION ALL SELECT lang, 2, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i+1], ' '))) FROM pieces
+  UNION ALL SELECT lang, 3, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i+2], ' '))) FROM pieces),
+counts AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 10),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, i, array_to_string(c.w[:i], ' ') AS head, array_to_string(c.w[i+1:], ' ') AS tail
+  FROM counts c, (VALUES (1), (2)) AS places(i) WHERE i < c.k),
+scored AS (
+  SELECT c.lang, c.phrase, c.k, c.a, h.f AS l, t.f AS r, (1000000::HUGEINT * c.a * c.a) // (h.f::HUGEINT * t.f) AS score, i
+  FROM cuts c JOIN counts h ON c.lang = h.lang AND c.head = h.phrase JOIN counts t ON c.lang = t.lang AND c.tail = t.phrase),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+covered AS (
+  SELECT lang, phrase, max(f) AS above FROM (
+    SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM counts WHERE k = 3)
+  GROUP BY lang, phrase),
+ranked AS (
+  SELECT l.lang, l.phrase, l.a, l.l, l.r, l.score,
+         row_number() OVER (PARTITION BY l.lang ORDER BY l.score DESC, l.a DESC, l.phrase) AS rank
+  FROM lowest l LEFT JOIN covered c ON l.lang = c.lang AND l.phrase = c.phrase AND l.k = 2
+  WHERE c.above IS NULL OR 100 * c.above < 50 * l.a)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score::BIGINT AS score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000
+"""
+
+
+@_query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return predict_languages(docs, fit_languages(docs.where(~held_out)), keep={"held_out": held_out})
+
+
 @_query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(_table(spark, sf_dir, "conversations")), lost="lost")
