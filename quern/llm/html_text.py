@@ -1,11 +1,13 @@
 """Main text of HTML pages by composite text density.
 
 A page is read by a tolerant scanner into a tree of elements; what never holds an article (scripts,
-styles, menus and the like, and what is hidden) is left out of it, and so are forms and elements whose class, id or
-role says advert, notice, sidebar, reader comment and so on, unless they hold the article or main with the most text,
-or, in it or where there is none, over half of the page's text outside links; 90 % for names of comments and
-notices. Its nodes are the block-level elements; inline
-tags only count, as they would split a paragraph's density. For every node, with C characters and T
+styles, menus and the like, and what is hidden) is left out of it. So are forms and elements that a class, id or role names as
+advert, sidebar, reader comment, notice and so on: a name's token counts by its first or last word (`comment-list`,
+`left-sidebar`, not `content-sidebar-wrap` or `has-comments`). In an article, paragraphs, list items, quotations, cells and
+headings don't go for their names, and in main only for a name of one word. Wrappers of the article or main with the
+most text outside of reader comments stay, and, where what is left holds no prose at all, or the page's only h1 was in one,
+so do elements named as noise, but never reader comments or notices. The other nodes are the block-level
+elements; inline tags only count, as they would split a paragraph's density. For every node, with C characters and T
 tags below it, of which LC and LT in links, the composite density is
 
     C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
@@ -13,10 +15,11 @@ tags below it, of which LC and LT in links, the composite density is
 with the body's LCb and Cb, a missing count taken as 1; where the page has no links the base is 1 and
 the factor is left out. The element whose children's densities sum to the most is the article. The threshold is
 the least density on its path to the body: siblings on that path that reach it, with less than 30 % of their
-characters in links, belong to the article too, as does a headline h1. So do, of the elements between it and the
-article or main that holds it, headings and the text that stands in them directly, links left out; where none holds
-it, such text of the elements on the path, if it reaches the threshold. Lists and containers in it
-whose text stands in links, 80 % of it in two or more, are menus and go.
+characters in links, belong to the article too, as does a headline h1. Where the path leads through an article or main, or
+the subtree holds the page's only one, with a heading if it is an article, that element bounds the article: of its siblings only an h1 and others of its kind belong to it, and all in it
+does, however short, but for menus: lists of over three links and other containers of two or more, with 80 % of
+their text in links (in lists, of less than 40 characters each). Where nothing bounds it, menus are lists of two or more, and paragraphs, headings, quotations and
+preformatted text beside the path belong to it, and text that stands in its elements directly, if it reaches the threshold.
 
 Text runs between block-level elements are blocks. Character references are decoded, white space in a
 block becomes one space, blocks are joined in page order by two line feeds. Nothing is capped.
@@ -59,33 +62,48 @@ _NOISE = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup signin login search widget widgets "
     "skip copyright paywall toc tags outbrain taboola hidden".split()
 )
-#: Such text is often longer than the article, so its elements are spared only as wrappers of almost the whole page.
+#: Elements of such names hold readers' or the site's words, never the article.
 _READERS = frozenset("comment comments commentlist commenter disqus reply replies respond discussion notice notices notification cookie cookies consent gdpr alert disclaimer".split())
+#: First words that turn a name's last word to its opposite or to a mere property.
+_PROPERTIES = frozenset("has no with without is not single".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Such elements, where over 80 % of the text stands in two or more links, are menus.
-_HOLDERS = frozenset("ul ol div section table dl".split())
+#: Such elements, where over 80 % of the text stands in links, are menus: lists of over three, others of two or more.
+_LISTS, _HOLDERS = frozenset("ul ol dl".split()), frozenset("ul ol div section table dl".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements of running text.
+_PROSE = frozenset("p li blockquote pre td th dd dt figcaption caption tr figure".split())
 #: What may stand in a head; anything else ends it.
 _HEAD = _RAW | frozenset("base basefont bgsound link meta".split())
 _P_FENCES = frozenset("caption td th table".split())
 _ROOTS = frozenset(("html", "body", "main"))
 
 
-def _noisy(tag: str, attributes: str, inside: bool) -> int:
-    """What speaks against an element: 0 nothing, 1 its name in class, id or role, or a form; 2 a name of reader comments or notices; 3 it never holds an article. inside: in an article or main."""
-    if tag in _NEVER or tag == "header" and not inside:
+def _named(token: str, whole: bool) -> int:
+    """What one token of a class or id says: 0 nothing, 1 noise, 2 reader comments or notices. whole: only names of one word count."""
+    words = [w.lower() for w in _SPLIT.split(token) if w]
+    if not words or whole and len(words) > 1:
+        return 0
+    said = {words[0]} if words[0] in _PROPERTIES else {words[0], words[-1]}
+    return 2 if said & _READERS else int(bool(said & _NOISE))
+
+
+def _noisy(tag: str, attributes: str, main: bool, article: bool) -> int:
+    """What speaks against an element: 0 nothing, 1 its name in class, id or role, or a form; 2 a name of reader comments or notices; 3 it never holds an article. main, article: it is in one."""
+    if tag in _NEVER or tag == "header" and not main and not article:
         return 3
     found = int(tag in _FORMS)
     if not attributes or tag in _ROOTS:
         return found
+    text, inline = tag in _PROSE or tag in _HEADINGS, tag not in _BLOCK
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = {w.lower() for w in _SPLIT.split(unescape(value))}
-            if words & _NOISE:
-                found = max(found, 2 if words & _READERS else 1)
-            elif "header" in words and not inside and not words & {"article", "entry", "post", "content"}:
-                found = max(found, 1)
+            if article and text:
+                continue
+            for token in unescape(value).split():
+                found = max(found, _named(token, text and main or inline and (article or main)))
+                if not found and not main and not article and not text and "header" in (words := {w.lower() for w in _SPLIT.split(token)}) and not words & {"article", "entry", "post", "content"}:
+                    found = 1
         elif name == "role" and value.lower() in _ROLES:
             found = max(found, 1)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -104,20 +122,19 @@ class _Tree:
         self.texts: list[tuple[int, str, int, bool]] = []  # (element, text, number of its block, in a link)
 
     def read(self, page: str) -> None:
-        open_, at, block, inside, link = [0], 0, 0, 0, False
+        open_, at, block, link = [0], 0, 0, False
         where: dict[str, list[int]] = {"html": [0]}  # places of the open elements of each kind
         inlines = [0]  # and of inline ones
         # No tag ends beyond the last ">": without that bound, many openings without an end would each be read to the end.
         find, end, last = _TAG.search, len(page), page.rfind(">") + 1
 
         def close(down_to: int) -> None:
-            nonlocal inside, link
+            nonlocal link
             while len(open_) > down_to:
                 k = open_.pop()
                 where[self.tag[k]].pop()
                 if self.inline[k]:
                     inlines.pop()
-                inside -= self.tag[k] in ("article", "main")
                 link = False
 
         while at < end:
@@ -168,7 +185,7 @@ class _Tree:
                 self.tags[open_[-1]] += 1
                 self.breaks[open_[-1]] += tag == "br"
                 continue
-            noise = _noisy(tag, attributes, inside > 0)
+            noise = _noisy(tag, attributes, bool(where.get("main")), bool(where.get("article")))
             if noise and (attributes or "").endswith("/"):
                 continue
             # An inline element is a node while it may be left out, and so are those of its kind in it, for their end tags.
@@ -190,7 +207,6 @@ class _Tree:
             if self.inline[-1]:
                 inlines.append(len(open_))
             open_.append(len(self.tag) - 1)
-            inside += tag in ("article", "main")
 
     def prune(self) -> None:
         """Leave out what speaks against itself, unless it holds the page's article; inline elements merge with their parents."""
@@ -202,24 +218,49 @@ class _Tree:
             up = self.parent[k]
             hard[k] = hard[up] or self.noise[k] == 3
             mark[k] = mark[up] or self.noise[up] > 0
-        plain = [0] * size
+        reader, prose, heading = [False] * size, [False] * size, [False] * size  # in such an element, itself included
+        for k in range(1, size):
+            up = self.parent[k]
+            reader[k] = reader[up] or self.noise[k] == 2
+            prose[k] = prose[up] or self.tag[k] in _PROSE
+            heading[k] = heading[up] or self.tag[k] in _HEADINGS
+        plain, title = [0] * size, [False] * size
         for element, text, _, link in self.texts:
             if not link and not hard[element]:
                 plain[element] += len(" ".join(text.split()))
+        own = list(plain)
         for k in range(size - 1, 0, -1):
             plain[self.parent[k]] += plain[k]
-        spared = set()
+            title[k] = title[k] or self.tag[k] == "h1" and plain[k] > 0
+            title[self.parent[k]] = title[self.parent[k]] or title[k]
         # The article or main with the most text; one that is named as noise counts only outside of other such elements.
-        holders = [k for k in range(1, size) if self.tag[k] in ("article", "main") and plain[k] and not (self.noise[k] and mark[k])]
+        holders = [k for k in range(1, size) if self.tag[k] in ("article", "main") and plain[k] and not (self.noise[k] and mark[k]) and (not reader[k] or self.tag[k] == "main" or title[k])]
         k = holder = max(holders, key=lambda k: plain[k]) if holders else 0
+        spared = set()
         while k:
             spared.add(k)
             k = self.parent[k]
-        gone, within = [False] * size, [holder == 0] * size  # beside the article a long text is still noise
+        # Elements with the article's marks; beside an article or main all noise is noise.
+        within = [holder == 0] * size
+        left = {True: 0, False: 0}  # text in prose and elsewhere that no noise holds
+        any_prose = titled = False
+        above = [False] * size  # noise stands above the element, in the article if there is one
+        for k in range(1, size):
+            up = self.parent[k]
+            within[k] = within[up] or k == holder
+            above[k] = up != holder and (above[up] or self.noise[up] > 0)
+            if within[k] and not hard[k] and not reader[k]:
+                clean = k in spared or not self.noise[k] and not above[k]
+                any_prose |= prose[k] and own[k] > 0
+                titled |= clean and self.tag[k] == "h1" and plain[k] > 0
+                if clean and not heading[k]:
+                    left[prose[k]] += own[k]
+        left[False] += own[holder]
+        bare = left[True] == 0 if any_prose else left[False] == 0
+        gone = [False] * size
         for k in range(1, size):
-            within[k] = within[self.parent[k]] or k == holder
-            most = within[k] and plain[k] > (0.9 if self.noise[k] == 2 else 0.5) * plain[0]
-            gone[k] = gone[self.parent[k]] or self.noise[k] == 3 or self.noise[k] > 0 and k not in spared and not most
+            kept = k in spared or within[k] and self.noise[k] == 1 and (bare or not titled and title[k])
+            gone[k] = gone[self.parent[k]] or self.noise[k] > 0 and not kept or self.noise[k] == 3
         owner = list(range(size))
         for k in range(1, size):
             self.parent[k] = up = owner[self.parent[k]]
@@ -288,32 +329,48 @@ def main_text(page: str | None) -> str:
         sums[tree.parent[k]] += density[k]
     body = next((k for k, tag in enumerate(tree.tag) if tag == "body"), 0)
     best = max(range(len(sums)), key=lambda k: (sums[k], -k))
+    end = list(range(1, len(density) + 1))  # an element's descendants are those up to here
+    for k in range(len(density) - 1, 0, -1):
+        end[tree.parent[k]] = max(end[tree.parent[k]], end[k])
+    alone, titled = [], set()  # outermost articles or mains in it, and those with a heading
+    for k in range(best + 1, end[best]):
+        if tree.chars[k] and tree.tag[k] in ("article", "main") and not (alone and k < end[alone[-1]]):
+            alone.append(k)
+        elif tree.chars[k] and tree.tag[k] in _HEADINGS and alone and k < end[alone[-1]]:
+            titled.add(alone[-1])
+    if len(alone) == 1 and (tree.tag[alone[0]] == "main" or alone[0] in titled) and tree.tag[best] not in ("article", "main"):
+        best = alone[0]
     path = [best]
     while path[-1] > 0 and path[-1] != body:
         path.append(tree.parent[path[-1]])
     threshold = min(density[k] for k in path)
     taken = [False] * len(density)
-    taken[best] = True
     on_path = set(path)
-    holder = next((i for i, k in enumerate(path) if tree.tag[k] in ("article", "main")), None)
+    holder = next((k for k in reversed(path) if tree.tag[k] in ("article", "main")), None)
+    taken[best if holder is None else holder] = True
     if holder is None:  # nothing says where the article ends: text that stands in them must be as dense as a sibling
         own = tree.own_densities()
         around = {k for k in path[1:] if own[k] >= threshold}
     else:
-        around = set(path[1 : holder + 1])  # their own text belongs to the article, as do headings in them
+        around = set()
     for k in range(1, len(density)):
-        up = tree.parent[k]
-        if k in on_path:
+        up, c = tree.parent[k], tree.chars[k]
+        if taken[k]:
             continue
         if taken[up]:
-            taken[k] = not (tree.tag[k] in _HOLDERS and tree.link_tags[k] > 1 and tree.link_chars[k] > 0.8 * tree.chars[k])
-        elif up in on_path:
-            c = tree.chars[k]
-            heading = tree.tag[k] == "h1" or tree.tag[k] in _HEADINGS and up in around
-            taken[k] = heading and c > 0 or c > 0 and density[k] >= threshold and tree.link_chars[k] < 0.3 * c
+            menu = tree.tag[k] in _HOLDERS and tree.link_chars[k] > 0.8 * c
+            lines = holder is not None and tree.tag[k] in _LISTS
+            taken[k] = not (menu and tree.link_tags[k] > (3 if lines else 1) and not (lines and tree.link_chars[k] >= 40 * tree.link_tags[k]))
+        elif up in on_path and k not in on_path and c > 0:
+            prose = holder is None and (tree.tag[k] in ("p", "blockquote", "pre") or tree.tag[k] in _HEADINGS)
+            dense = density[k] >= threshold and (holder is None or tree.tag[k] in ("article", "main"))
+            taken[k] = tree.tag[k] == "h1" or (prose or dense) and tree.link_chars[k] < 0.3 * c
     blocks: dict[int, list[str]] = {}
+    # Beside the subtree a block that is nothing but links is a menu.
+    bounds = set() if holder is None else set(path[1 : path.index(holder) + 1])
+    prose = {block for element, text, block, link in tree.texts if not link and text.strip()}
     for element, text, block, link in tree.texts:
-        if taken[element] or element in around and not link:
+        if taken[element] and not (element in bounds and block not in prose) or element in around and not link:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(line for line in lines if line)
