@@ -87,14 +87,30 @@ def conversation_messages(turns: DataFrame, key: str = "conv_id", order: str = "
     return turns.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("m")).select(key, F.transform("m", lambda x: x["message"]).cast(MESSAGES).alias("messages"))
 
 
+def rendered_messages(messages: Column, opening: str = "<|{role}|>", closing: str = "<|end|>") -> Column:
+    """The text of each message in a plain chat template: role mark, content, tool calls as JSON, end mark."""
+    before, _, after = opening.partition("{role}")
+    calls = lambda m: F.when(F.size(m["tool_calls"]) > 0, F.to_json(m["tool_calls"])).otherwise("")
+    return F.transform(messages, lambda m: F.concat(F.lit(before), m["role"], F.lit(after + "\n"), F.coalesce(m["content"], F.lit("")), F.coalesce(calls(m), F.lit("")), F.lit(closing + "\n")))
+
+
+def rendered_tools(tools: Column, opening: str = "<|{role}|>", closing: str = "<|end|>") -> Column:
+    """The text of a row's tool definitions before its messages; empty where it has none."""
+    before, _, after = opening.partition("{role}")
+    return F.when(tools.isNotNull(), F.concat(F.lit(before + "tools" + after + "\n"), tools, F.lit(closing + "\n"))).otherwise("")
+
+
 def render_template(messages: Column, tools: Column | None = None, opening: str = "<|{role}|>", closing: str = "<|end|>") -> Column:
-    """Messages by a plain chat template: role mark, content, tool calls as JSON, end mark; tools first if given.
+    """Messages by a plain chat template; tools first if given.
 
     The model's own template isn't available here; another one is another opening and closing, or a pandas UDF over the
     same messages.
     """
-    before, _, after = opening.partition("{role}")
-    calls = lambda m: F.when(F.size(m["tool_calls"]) > 0, F.to_json(m["tool_calls"])).otherwise("")
-    body = F.transform(messages, lambda m: F.concat(F.lit(before), m["role"], F.lit(after + "\n"), F.coalesce(m["content"], F.lit("")), F.coalesce(calls(m), F.lit("")), F.lit(closing + "\n")))
-    text = F.array_join(body, "")
-    return text if tools is None else F.concat(F.when(tools.isNotNull(), F.concat(F.lit(before + "tools" + after + "\n"), tools, F.lit(closing + "\n"))).otherwise(""), text)
+    text = F.array_join(rendered_messages(messages, opening, closing), "")
+    return text if tools is None else F.concat(rendered_tools(tools, opening, closing), text)
+
+
+def raw_messages(messages: Column) -> Column:
+    """Messages with the fields that raw rows have and normalised ones don't, empty."""
+    none = F.lit(None).cast("string")
+    return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["tool_calls"].alias("tool_calls"), m["tool_call_id"].alias("tool_call_id"), m["name"].alias("name"), none.alias("function_call"), none.alias("reasoning"), none.alias("reasoning_content"))).cast(RAW_MESSAGES)

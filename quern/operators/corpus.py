@@ -80,9 +80,9 @@ def attention_mask(ids: Column) -> Column:
 
 
 def examined(rows: DataFrame, cap: int, id: str, by: list[str], seed: int = 42) -> DataFrame:
-    """The first `cap` rows of each source in seeded order: a cap on what is looked at, before other filters."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(shuffled_key(F.col(id), seed), id))
-    return rows.withColumn("examined_rank", rank).where(F.col("examined_rank") <= cap).drop("examined_rank")
+    """The first `cap` rows of each source in seeded order, with their `place` from 0: a cap on what is looked at, before other filters."""
+    keyed = rows.withColumn("key__", shuffled_key(F.col(id), seed)).withColumn("one__", F.lit(1))
+    return budget_take(keyed, cap, "one__", [F.col("key__"), F.col(id)], by, key=F.col("key__")).withColumnRenamed("tokens_before", "place").drop("key__", "one__")
 
 
 def budget_take(rows: DataFrame, target: Column | int, tokens: str, order: list[Column], by: list[str], buckets: int = 256, key: Column | None = None) -> DataFrame:
@@ -96,9 +96,12 @@ def budget_take(rows: DataFrame, target: Column | int, tokens: str, order: list[
     cut = rows.withColumn("range__", F.conv(F.substring(key, 1, 2), 16, 10).cast("int"))
     sums = cut.groupBy(*by, "range__").agg(F.sum(tokens).alias("sum__"))
     before = F.sum("sum__").over(Window.partitionBy(*by).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("before__", F.coalesce(before, F.lit(0))).drop("sum__")
+    sums = sums.select(*[F.col(c).alias(f"by__{c}") for c in by], F.col("range__").alias("at__"), F.coalesce(before, F.lit(0)).alias("before__"))
     goal = F.lit(target) if not isinstance(target, Column) else target
-    cut = cut.join(sums, [*by, "range__"]).where(F.col("before__") < goal)
+    same = F.col("range__") == F.col("at__")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"by__{c}"))
+    cut = cut.join(sums, same).where(F.col("before__") < goal).drop("at__", *[f"by__{c}" for c in by])
     own = F.sum(tokens).over(Window.partitionBy(*by, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     cut = cut.withColumn("tokens_before", F.col("before__") + F.coalesce(own, F.lit(0)))
     return cut.where(F.col("tokens_before") < goal).drop("range__", "before__")

@@ -1,9 +1,12 @@
-"""Two-budget corpus selection: an ordered fold over candidates, whose expensive parts are computed before.
+"""Two-budget corpus selection: an ordered greedy choice over candidates, as a fixed point over its sources.
 
-Whether a row is accepted depends on the rows before it: on the budgets left, on tasks seen and on prompts near
-to it. So tokens, prefix lengths, identities, classes of equal prompts and their near-duplicate pairs are computed in parallel, and one fold
-over slim rows (no texts) decides, source by source in the sources' order. Its rows are one small record for each
-candidate that fits a bucket at all, which the examination cap bounds for each source.
+Whether a row is accepted depends on the rows before it: on the budgets left in its source, on tasks seen and on prompts
+near to it. So tokens, prefix lengths, identities, classes of equal prompts and their near-duplicate pairs are computed in
+parallel, and the choice is made from slim rows (no texts). Budgets don't cross sources; only tasks and prompts
+do. Every source therefore chooses by itself, all at once, from the rows that no accepted row of an earlier source refuses;
+what the sources accept then refuses later sources' rows anew, by joins on the task and on the class, until nothing changes.
+After round k the first k sources are right, so there are as many rounds as sources at most, and two or three
+where few tasks are shared. A source's rows are those examined, at most `most_examined`: no task holds more.
 """
 
 from __future__ import annotations
@@ -11,9 +14,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.shared import cut
+from quern.operators import chat, corpus, dedup
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -24,54 +30,121 @@ class Budget:
     long: int
 
 
-def fold(candidates: pd.DataFrame, budgets: list[Budget], near: dict | None = None) -> pd.DataFrame:
-    """Accepted rows (row_id, bucket, tokens) of candidates in order.
+def fold(candidates: pd.DataFrame, budget: Budget, near: dict) -> pd.DataFrame:
+    """Accepted rows of one source's candidates, in the order of their places.
 
-    `candidates`: source, place (order in the source), row_id, identity, short_tokens and long_tokens (null: no
-    fit), class_id (rows whose prompts are equal sets share it). `near`: classes near to each class. A row is
-    rejected if its class is accepted, or near an accepted one.
+    `candidates`: place, row_id, identity, short_tokens and long_tokens (null: no fit), class_id (rows whose prompts are
+    equal sets share it). `near`: classes near to each class. A row is rejected if its class is accepted, or near an
+    accepted one.
     """
-    near = near or {}
-    taken: list[tuple] = []
-    tasks: set[str] = set()
-    accepted: set = set()
-    for budget in budgets:
-        target = {"short": budget.short, "long": budget.long}
-        spent = {"short": 0, "long": 0}
-        own = candidates[candidates["source"] == budget.source].sort_values("place")
-        for row in own.itertuples(index=False):
-            open_ = [b for b in target if spent[b] < target[b]]
-            if not open_:
-                break
-            if row.identity in tasks or row.class_id in accepted or not accepted.isdisjoint(near.get(row.class_id, ())):
-                continue
-            fits = {b: t for b, t in (("short", row.short_tokens), ("long", row.long_tokens)) if b in open_ and not pd.isna(t)}
-            if not fits:
-                continue
-            bucket = max(fits, key=lambda b: (target[b] - spent[b]) / target[b])  # the first of equals: short
-            spent[bucket] += int(fits[bucket])
-            tasks.add(row.identity)
-            accepted.add(row.class_id)
-            taken.append((row.row_id, bucket, int(fits[bucket])))
-    return pd.DataFrame(taken, columns=["row_id", "bucket", "tokens"])
-
-
-def select_corpus(candidates: DataFrame, pairs: DataFrame, budgets: list[Budget]) -> DataFrame:
-    """(row_id, bucket, tokens) of the accepted rows.
-
-    `candidates`: source, place, row_id, identity, short_tokens, long_tokens, and class_id where rows share prompts,
-    else each row is a class of its own. `pairs`: left_id, right_id of near classes; a class's pairs are sent once,
-    not with each of its rows.
+    target, spent = {"short": budget.short, "long": budget.long}, {"short": 0, "long": 0}
+    tasks, accepted, taken = set(), set(), []
+    for row in candidates.sort_values(["place", "row_id"]).itertuples(index=False):
+        open_ = [b for b in target if spent[b] < target[b]]
+        if not open_:
+            break
+        if row.identity in tasks or row.class_id in accepted or not accepted.isdisjoint(near.get(row.class_id, ())):
+            continue
+        fits = {b: t for b, t in (("short", row.short_tokens), ("long", row.long_tokens)) if b in open_ and not pd.isna(t)}
+        if not fits:
+            continue
+        bucket = max(fits, key=lambda b: (target[b] - spent[b]) / target[b])  # the first of equals: short
+        spent[bucket] += int(fits[bucket])
+        tasks.add(row.identity)
+        accepted.add(row.class_id)
+        taken.append((row.row_id, row.identity, row.class_id, bucket, int(fits[bucket])))
+    return pd.DataFrame(taken, columns=["row_id", "identity", "class_id", "bucket", "tokens"])
+
+
+def select_corpus(candidates: DataFrame, pairs: DataFrame, budgets: list[Budget], most_examined: int = 100_000) -> DataFrame:
+    """(row_id, source, bucket, tokens) of the accepted rows.
+
+    `candidates`: source, place (from 0, in the order of examination), row_id, identity, short_tokens, long_tokens, and
+    class_id where rows share prompts, else each row is a class of its own. Rows of places from `most_examined` on aren't
+    looked at. `pairs`: left_id, right_id of near classes. Sources without a budget give nothing; a null identity is
+    one task.
     """
     if "class_id" not in candidates.columns:
         candidates = candidates.withColumn("class_id", F.col("row_id"))
+    order = {b.source: k for k, b in enumerate(budgets)}
+    if len(order) < len(budgets):
+        raise ValueError("a source has two budgets")
+    kinds = {k: candidates.schema[k].dataType.simpleString() for k in ("row_id", "class_id", "identity")}
+    spark = candidates.sparkSession
+    sources = F.broadcast(spark.createDataFrame(list(order.items()), "source string, turn int"))  # one row a budget
+    rows = candidates.where("short_tokens is not null or long_tokens is not null").where(F.col("place") < most_examined).join(sources, "source")
+    rows = cut(rows.select("turn", "place", "row_id", F.coalesce(F.col("identity").cast("string"), F.lit("")).alias("identity"), F.col("short_tokens").cast("double"), F.col("long_tokens").cast("double"), "class_id"), "candidates")
     both = pairs.select(F.col("left_id").alias("class_id"), F.col("right_id").alias("other")).unionByName(pairs.select(F.col("right_id").alias("class_id"), F.col("left_id").alias("other")))
-    near = both.groupBy("class_id").agg(F.collect_list("other").alias("near")).withColumn("all", F.lit(1))
-    kind = candidates.schema["row_id"].dataType.simpleString()
-    rows = candidates.where("short_tokens is not null or long_tokens is not null")
-    rows = rows.select("source", "place", "row_id", "identity", F.col("short_tokens").cast("double"), F.col("long_tokens").cast("double"), "class_id", F.lit(1).alias("all"))
+    both = cut(both.distinct(), "near")
+    # Pairs of one source's own classes go with its rows; the others meet between rounds.
+    classes = rows.select("turn", "class_id").distinct()
+    own = both.join(classes, "class_id").join(classes.withColumnRenamed("class_id", "other"), ["turn", "other"])
+    near = cut(own.groupBy("turn", "class_id").agg(F.collect_list("other").alias("near")), "near-own")
+
+    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        turn = int((right if left.empty else left)["turn"].iloc[0])
+        found = fold(left, budgets[turn], dict(zip(right["class_id"], right["near"], strict=True)))
+        found.insert(0, "turn", turn)
+        return found.astype(object)
+
+    def chosen(free: DataFrame) -> DataFrame:
+        return free.groupBy("turn").cogroup(near.groupBy("turn")).applyInPandas(choose, f"turn int, row_id {kinds['row_id']}, identity string, class_id {kinds['class_id']}, bucket string, tokens long")
+
+    accepted, seen = cut(chosen(rows), "accepted"), None
+    for _ in range(len(budgets) + 1):
+        state = accepted.agg(F.count("*"), F.sum(F.xxhash64("row_id", "bucket").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+        tasks = accepted.groupBy("identity").agg(F.min("turn").alias("task_turn"))
+        prompts = accepted.select("class_id", "turn").unionByName(accepted.join(both, "class_id").select(F.col("other").alias("class_id"), "turn")).groupBy("class_id").agg(F.min("turn").alias("class_turn"))
+        free = rows.join(tasks, "identity", "left").join(prompts, "class_id", "left").where("coalesce(task_turn, turn) >= turn and coalesce(class_turn, turn) >= turn")
+        accepted = cut(chosen(free.select(*rows.columns)), "accepted")
+    return accepted.join(F.broadcast(spark.createDataFrame([(k, s) for s, k in order.items()], "turn int, source string")), "turn").select("row_id", "source", "bucket", "tokens")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return fold(left, budgets, dict(zip(right["class_id"], right["near"], strict=True)))
 
-    return rows.groupBy("all").cogroup(near.groupBy("all")).applyInPandas(run, f"row_id {kind}, bucket string, tokens long")
+def admissible_prefix(messages: Column, sizes: Column, low: int, high: int, before: Column | int = 0) -> Column:
+    """(tokens, prefix): the longest coherent prefix of low to high tokens before the first beyond high; null if none.
+
+    `sizes` are the tokens of each message; `before` those that stand before the first.
+    """
+    first = F.lit(before).cast("long") if isinstance(before, int) else before.cast("long")
+    whole = F.transform(chat.coherent_ends(messages), lambda e: F.struct(F.aggregate(F.slice(sizes, 1, e), first, lambda a, x: a + x).alias("tokens"), e.alias("prefix")))
+    return F.array_max(F.filter(whole, lambda p: p["tokens"].between(low, high)))
+
+
+def chat_selection(
+    rows: DataFrame, budgets: list[Budget], count, windows: dict[str, tuple[int, int]], id: str = "conv_id", source: str = "source", messages: str = "messages",
+    tasks: tuple[str, ...] = (), tools: str | None = None, most_examined: int = 100_000, percent: int = 85, seed: int = 42,
+) -> DataFrame:
+    """The corpus builder as one chain: one row for each accepted conversation, with its prefix rendered.
+
+    Rows (id, source, messages as in raw chat rows, columns `tasks` of task names, JSON text of tools) are examined in
+    seeded order, `most_examined` of each source. Their messages are normalised, refused rows go. A row's task is the first
+    present one of `tasks` or its prompt's digest. The short bucket leaves system messages and tools out; of each
+    bucket's coherent prefixes the longest counts whose rendered text has tokens within its window (`windows`: "short",
+    "long"). `count` gives the tokens of an array of texts; the template's marks end tokens, so a prefix has the sum of
+    its messages' tokens. Prompts of `percent` Jaccard of five-word shingles with an accepted one are refused.
+    Returns id, source, task, bucket, tokens, prefix_length, prompt_sha256, rendered.
+    """
+    own = rows.select(F.col(id).alias("row_id"), F.col(source).alias("source"), F.col(messages).alias("raw"), *[F.col(t).cast("string").alias(f"task_{t}") for t in tasks], (F.col(tools) if tools else F.lit(None)).cast("string").alias("tools"))
+    own = own.where(F.col("source").isin([b.source for b in budgets]))
+    own = corpus.examined(own, most_examined, "row_id", ["source"], seed).withColumn("messages", chat.normalize(F.col("raw"))).where(F.size("messages") > 0).drop("raw")
+    own = own.withColumn("prompt", chat.first_prompt(F.col("messages")))
+    own = own.withColumn("identity", corpus.task_identity(F.col("source"), [F.col(f"task_{t}") for t in tasks] or [F.lit(None)], F.col("prompt")))
+    own = own.withColumn("short_view", chat.bucket_view(F.col("messages"), F.lit("short")))
+    sized = own.withColumn("long_sizes", count(F.concat(F.array(chat.rendered_tools(F.col("tools"))), chat.rendered_messages(F.col("messages")))))
+    sized = sized.withColumn("tool_size", F.element_at("long_sizes", 1)).withColumn("long_sizes", F.slice("long_sizes", 2, F.size("messages") + 1))
+    # A message has as many tokens in either view.
+    sized = sized.withColumn("short_sizes", F.transform(F.filter(F.arrays_zip("messages", "long_sizes"), lambda x: x["messages"]["role"] != "system"), lambda x: x["long_sizes"]))
+    sized = sized.withColumn("short", admissible_prefix(F.col("short_view"), F.col("short_sizes"), *windows["short"])).withColumn("long", admissible_prefix(F.col("messages"), F.col("long_sizes"), *windows["long"], before=F.col("tool_size")))
+    sized = cut(sized.where("short is not null or long is not null").select("row_id", "source", "place", "identity", "prompt", "messages", "tools", "short", "long"), "sized")
+    classes = cut(dedup.shingle_classes(sized, "row_id", "prompt"), "prompt-classes")
+    pairs = dedup.similar_pairs(classes, "row_id", percent)
+    slim = sized.select("source", "place", "row_id", "identity", F.col("short.tokens").alias("short_tokens"), F.col("long.tokens").alias("long_tokens")).join(classes.select("row_id", "class_id"), "row_id")
+    accepted = select_corpus(slim, pairs, budgets, most_examined)
+    found = accepted.join(sized.drop("source"), "row_id")
+    prefix = F.when(F.col("bucket") == "short", F.col("short.prefix")).otherwise(F.col("long.prefix"))
+    view = F.slice(chat.bucket_view(F.col("messages"), F.col("bucket")), 1, F.col("prefix_length"))
+    rendered = F.concat(F.when(F.col("bucket") == "long", chat.rendered_tools(F.col("tools"))).otherwise(""), F.array_join(chat.rendered_messages(view), ""))
+    return found.withColumn("prefix_length", prefix).select(F.col("row_id").alias(id), "source", F.col("identity").alias("task"), "bucket", "tokens", "prefix_length", F.sha2("prompt", 256).alias("prompt_sha256"), rendered.alias("rendered"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.shared import ship
+from quern.functions.shared import cut, ship
 from quern.functions.text import bytes_label, fold_ids, regex_tokens, shingled, shuffled_key, token_ids_digest
+from quern.functions.vocabulary import token_counts
 from quern.operators import chat, contracts, corpus, dedup, evalstats, inventory, logs, overlap, requests, selection, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,13 +326,29 @@ def neardup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corpus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tokens(table(spark, sf_dir, "documents"))
+    docs = corpus.examined(tokens(table(spark, sf_dir, "documents")), 100_000, "doc_id", ["source"])
     fit = lambda low, high: F.when(F.col("n_tokens").between(low, high), F.col("n_tokens"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(shuffled_key(F.col("doc_id")), "doc_id"))
-    rows = docs.select("source", place.alias("place"), F.col("doc_id").alias("row_id"), F.sha2("text", 256).alias("identity"), fit(64, 511).alias("short_tokens"), fit(512, 2048).alias("long_tokens"))
-    classes = dedup.shingle_classes(docs, "doc_id", "text")
-    rows = rows.join(classes.select(F.col("doc_id").alias("row_id"), "class_id"), "row_id")
-    return selection.select_corpus(rows, dedup.similar_pairs(classes, "doc_id"), [selection.Budget(f"src{k}", 2000, 3000) for k in range(20)])
+    docs = docs.select("source", "place", F.col("doc_id").alias("row_id"), "text", fit(64, 511).alias("short_tokens"), fit(512, 2048).alias("long_tokens"))
+    docs = docs.where("short_tokens is not null or long_tokens is not null")  # the others can't be accepted
+    classes = cut(dedup.shingle_classes(docs, "row_id", "text"), "classes")
+    rows = docs.withColumn("identity", F.sha2("text", 256)).drop("text").join(classes.select("row_id", "class_id"), "row_id")
+    return selection.select_corpus(rows, dedup.similar_pairs(classes, "row_id"), [selection.Budget(f"src{k}", 2000, 3000) for k in range(20)]).drop("source")
+
+
+def vocabulary() -> str:
+    """The vocabulary that counts tokens in `chat_corpus_selection`; every machine has it at its own place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def chat_corpus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.conversation_messages(table(spark, sf_dir, "conversations"))
+    rows = rows.select("conv_id", F.concat(F.lit("src"), F.pmod("conv_id", F.lit(4)).cast("string")).alias("source"), chat.raw_messages(F.col("messages")).alias("messages"))
+    path = vocabulary()
+    found = selection.chat_selection(rows, [selection.Budget(f"src{k}", 4000 + 1000 * k, 12000 - 1000 * k) for k in range(4)], lambda texts: token_counts(texts, path), {"short": (128, 1024), "long": (768, 4096)})
+    return found.withColumn("rendered_sha256", F.sha2("rendered", 256)).drop("rendered")
 
 
 @query(
