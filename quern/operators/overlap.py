@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import fold_ids, shingled, words
-
-#: Needles searched at once; more are searched in several passes.
-NEEDLES = 100_000
+from quern.functions.minimizers import minimized
+from quern.functions.shared import cut
+from quern.functions.text import fold_ids, shingled
 
 
 def grams(rows: DataFrame, id: str, text: str, size: int = 5) -> DataFrame:
@@ -36,21 +32,19 @@ def containment(corpus: DataFrame, cases: DataFrame, id: str = "doc_id", text: s
 def exact_containment(corpus: DataFrame, cases: DataFrame, id: str = "doc_id", text: str = "text", case_id: str = "item_id", case_text: str = "text", least_chars: int = 40) -> DataFrame:
     """(id, case_id) where the case's stripped text of 40 characters or more stands in the row's, case ignored.
 
-    A row that holds the text holds all of its words but the first and last as words of its own, so rows and cases
-    meet on one such word, the longest, and the text is compared after. Cases without an inner word are few
-    and long-worded; they are compared with every row.
+    A row that holds the text has all of its minimizers, so rows and cases meet on one of them, the one that fewest rows have,
+    and the texts are compared after. Rows' minimizers that no case has go first. Null texts match nothing.
     """
-    held = cases.select(F.col(case_id).alias("case__"), F.lower(F.trim(F.col(case_text))).alias("needle")).where(F.length("needle") >= least_chars)
-    inner = F.slice(words(F.col("needle")), 2, F.greatest(F.size(words(F.col("needle"))) - 2, F.lit(0)))
-    held = held.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     rows = corpus.select(F.col(id).alias("row__"), F.lower(F.col(text)).alias("text__"))
-    anchors = held.where("anchor is not null")
-    # Only words that are anchors leave the rows, with no text attached; the text joins back for the pairs found.
-    met = rows.select("row__", F.explode(F.array_distinct(words(F.col("text__")))).alias("anchor")).join(anchors.select("case__", "anchor"), "anchor").select("row__", "case__")
-    found = met.join(rows, "row__").join(held.select("case__", "needle"), "case__").where(F.contains("text__", F.col("needle"))).select("row__", "case__")
-    rest = held.where("anchor is null").select("case__", "needle")
-    found = found.unionByName(rows.join(rest, F.contains(rows["text__"], rest["needle"])).select("row__", "case__")).distinct()
-    return found.select(F.col("row__").alias(id), F.col("case__").alias(case_id))
+    held = cases.select(F.col(case_id).alias("case__"), F.lower(F.trim(F.col(case_text))).alias("needle")).where(F.length("needle") >= least_chars)
+    marks = cut(minimized(held.withColumn("both__", F.struct("case__", F.xxhash64("needle").alias("body"))), "both__", "needle", least_chars), "marks")
+    own = cut(minimized(rows, "row__", "text__", least_chars).join(marks.select("key").distinct(), "key", "left_semi"), "rows-of-marks")
+    often = own.groupBy("key").agg(F.count("*").alias("n"))
+    # A case that has a minimizer which no row has stands in none.
+    rarest = marks.join(often, "key", "left").groupBy("both__").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("best")).where("best.n > 0")
+    met = own.join(rarest.select("both__", F.col("best.key").alias("key")), "key").select("row__", "both__")
+    found = rows.join(met, "row__").join(held.select(F.struct("case__", F.xxhash64("needle").alias("body")).alias("both__"), "needle"), "both__").where(F.contains("text__", F.col("needle")))
+    return found.select(F.col("row__").alias(id), F.col("both__.case__").alias(case_id)).distinct()
 
 
 def overlap_matches(corpus: DataFrame, cases: DataFrame, id: str = "doc_id", text: str = "text", case_id: str = "item_id", case_text: str = "text") -> DataFrame:
@@ -60,29 +54,37 @@ def overlap_matches(corpus: DataFrame, cases: DataFrame, id: str = "doc_id", tex
     return exact.join(lexical, [id, case_id], "full").withColumn("exact_text", F.coalesce("exact_text", F.lit(False)))
 
 
-def needle_matches(rows: DataFrame, needles: list[str], id: str, text: str) -> DataFrame:
-    """(id, needle): folded identifiers found anywhere in the folded text; one that folds to nothing matches nothing."""
-    folded = sorted({n for n in needles if n})
-    spark = rows.sparkSession
-    found = spark.createDataFrame([], f"{id} {rows.schema[id].dataType.simpleString()}, needle string")
-    for a in range(0, len(folded), NEEDLES):
-        part = folded[a : a + NEEDLES]
-
-        def search(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            tree = ahocorasick.Automaton()
-            for needle in part:
-                tree.add_word(needle, needle)
-            tree.make_automaton()
-            for batch in batches:
-                hits = [(i, n) for i, t in zip(batch["id__"], batch["text__"], strict=True) for n in sorted({n for _, n in tree.iter(t or "")})]
-                yield pd.DataFrame({"id__": pd.Series([h[0] for h in hits], dtype=batch["id__"].dtype), "needle": pd.Series([h[1] for h in hits], dtype=object)})
-
-        source = rows.select(F.col(id).alias("id__"), fold_ids(F.col(text)).alias("text__"))
-        got = source.mapInPandas(search, f"id__ {rows.schema[id].dataType.simpleString()}, needle string")
-        found = found.unionByName(got.withColumnRenamed("id__", id))
-    return found
+#: By the least length of a needle: the length of its grams and their distance in rows. A row's grams from every
+#: `step`-th character on and any `step` neighbouring grams of a needle share one where the needle stands in the row.
+_GRAMS = ((16, 8, 8), (8, 4, 4), (4, 3, 2), (3, 3, 1), (2, 2, 1), (1, 1, 1))
+
+
+def needle_matches(rows: DataFrame, needles: DataFrame, id: str, text: str, needle: str = "needle") -> DataFrame:
+    """(id, needle): folded identifiers found anywhere in the folded text; one that folds to nothing matches nothing.
+
+    `needles` is a table of any size. An inverted index holds, of each needle, the run of neighbouring grams that is
+    rarest among the rows' grams; what meets in it is compared. Lengths are taken in classes, each with its own grams.
+    """
+    wanted = needles.select(fold_ids(F.col(needle)).alias("needle")).where("needle <> ''").distinct()
+    wanted = cut(wanted.withColumn("class", F.coalesce(*[F.when(F.length("needle") >= low, low) for low, _, _ in _GRAMS])), "needles")
+    source = rows.select(F.col(id).alias("id__"), fold_ids(F.col(text)).alias("text__"))
+    used, met = {r["class"] for r in wanted.select("class").distinct().collect()}, None
+    for low, size, step in _GRAMS:
+        if low not in used:
+            continue
+        own = wanted.where(F.col("class") == low).select("needle", F.posexplode(F.expr(f"transform(sequence(1, length(needle) - {size - 1}), i -> xxhash64(substring(needle, i, {size})))")).alias("place", "key"))
+        grams = F.explode(F.regexp_extract_all("text__", F.lit(f"(?s)(?=(.{{{size}}})).{{{step}}}"), F.lit(1)))
+        held = source.select("id__", grams.alias("gram")).select("id__", F.xxhash64("gram").alias("key")).join(own.select("key").distinct(), "key", "left_semi").distinct()
+        held = cut(held, "grams-met")
+        often = held.groupBy("key").agg(F.count("*").alias("n"))
+        run = Window.partitionBy("needle").orderBy("place").rowsBetween(0, step - 1)  # a needle's own grams
+        runs = own.join(often, "key", "left").select("needle", "place", F.sum(F.coalesce("n", F.lit(0))).over(run).alias("n"), F.count("*").over(run).alias("wide"), F.collect_list("key").over(run).alias("keys"))
+        best = runs.where(F.col("wide") == step).groupBy("needle").agg(F.min(F.struct("n", "place", "keys")).alias("best")).where("best.n > 0")
+        found = held.join(best.select("needle", F.explode("best.keys").alias("key")).distinct(), "key").select("id__", "needle")
+        met = found if met is None else met.unionByName(found)
+    if met is None:
+        return source.where("false").select(F.col("id__").alias(id), F.lit("").alias("needle"))
+    return source.join(met.distinct(), "id__").where(F.contains("text__", F.col("needle"))).select(F.col("id__").alias(id), "needle").distinct()
 
 
 def exclusions(*reports: DataFrame) -> DataFrame:

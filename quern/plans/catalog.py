@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.shared import cut, ship
-from quern.functions.text import bytes_label, fold_ids, regex_tokens, shingled, shuffled_key, token_ids_digest
+from quern.functions.text import bytes_label, regex_tokens, shingled, shuffled_key, token_ids_digest
 from quern.functions.vocabulary import token_counts
 from quern.operators import chat, contracts, corpus, dedup, evalstats, inventory, logs, overlap, requests, selection, telemetry
 
@@ -300,8 +300,8 @@ WITH needles AS (SELECT DISTINCT regexp_replace(lower(x), '[^a-z0-9]', '', 'g')
 SELECT doc_id, needle FROM documents JOIN needles ON needle <> '' AND contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), needle)"""
 )
 def id_needle_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = [r["n"] for r in spark.createDataFrame([(n,) for n in _NEEDLES], "n string").select(fold_ids(F.col("n")).alias("n")).collect()]
-    return overlap.needle_matches(table(spark, sf_dir, "documents"), folded, "doc_id", "text")
+    needles = spark.createDataFrame([(n,) for n in _NEEDLES], "needle string")
+    return overlap.needle_matches(table(spark, sf_dir, "documents"), needles, "doc_id", "text")
 
 
 @query(

@@ -30,12 +30,53 @@ def test_exact_rule(spark, rows):
 
 def test_needles_and_exclusion(spark, rows):
     docs = spark.createDataFrame([(1, "See Fix-Git_42!"), (2, "nothing"), (3, None)], "doc_id long, text string")
-    found = overlap.needle_matches(docs, ["fixgit42", "", "git"], "doc_id", "text")
+    needles = spark.createDataFrame([("fixgit42",), ("",), ("git",), (None,), ("-!",), ("Fix-Git 42",)], "needle string")
+    found = overlap.needle_matches(docs, needles, "doc_id", "text")
     assert rows(found) == [(1, "fixgit42"), (1, "git")]
+    assert overlap.needle_matches(docs, needles.limit(0), "doc_id", "text").count() == 0 == overlap.needle_matches(docs.limit(0), needles, "doc_id", "text").count()
     gone = overlap.exclusions(found.select("doc_id"), docs.where("doc_id = 2").select("doc_id"))
     assert rows(overlap.exclude(docs, gone, "doc_id"), "doc_id") == [(3,)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_rule_by_minimizers(spark, rows):
+    """Long words, cases that begin alike, copies of cases, wide characters and rows just too short, against a plain search."""
+    rng = random.Random(2)
+    word = "q" * 20 + "".join(rng.choice("abc") for _ in range(40))  # one word of 60 letters
+    head = "the same instructions stand before each of the cases in this suite: "
+    cases = [(1, word), (2, word), (2, head + "two"), (3, head + "three"), (4, "ÄÖÜ" * 14), (5, None), (6, " " * 50), (7, "x" * 40), (8, "short"), (9, "y" * 39 + "z"), (None, head + "two")]
+    docs = [(k, t) for k, t in enumerate([f"a{word}b", word[1:], head + "TWO and three", head + "three", "äöü" * 14, "äöü" * 13 + "äö", None, "", "x" * 40, "x" * 39, "y" * 5000 + "z", (head + "two ") * 50, " ".join(rng.choice("abc") for _ in range(3000))])]
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    right = spark.createDataFrame(cases, "item_id long, text string")
+    found = overlap.exact_containment(left, right)
+    held = {(c, t.strip(" ").lower()) for c, t in cases if t and len(t.strip(" ")) >= 40}
+    assert rows(found) == sorted({(i, c) for i, t in docs if t for c, n in held if n in t.lower()}, key=repr)
+    assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
+    assert overlap.exact_containment(left, right.limit(0)).count() == 0 == overlap.exact_containment(left.limit(0), right).count()
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text("ab", max_size=60), max_size=12), st.lists(st.text("ab", min_size=1, max_size=40), max_size=12))
+def test_needles_against_plain(spark, texts, needles):
+    left = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = overlap.needle_matches(left, spark.createDataFrame([(n,) for n in needles], "needle string"), "doc_id", "text")
+    assert {tuple(r) for r in found.collect()} == {(i, n) for i, t in enumerate(texts) for n in needles if n in t}
+
+
+def test_many_needles_without_python(spark):
+    needle = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    needles = spark.range(100_000).selectExpr("if(id % 5 = 0, substring(md5(string(id)), 1, 10), md5(string(id))) AS needle")
+    wanted = [0, 7, 99_999, 50_000, 1_234]
+    texts = [(k, f"Trajectory-{needle(i)[:16]}_{needle(i)[16:]}/log ") for k, i in enumerate(wanted)] + [(9, needle(100_001) * 3)]
+    found = overlap.needle_matches(spark.createDataFrame(texts, "doc_id long, text string"), needles, "doc_id", "text")
+    assert {(k, n) for k, n in found.collect()} >= {(k, needle(i)[: 10 if i % 5 == 0 else 32]) for k, i in enumerate(wanted)}
+    assert all(n in t.replace("-", "").replace("_", "").lower() for k, n in found.collect() for j, t in texts if j == k)
+    assert not re.search("Python|Arrow|Pandas|NestedLoop|Cartesian", plan_of(found))
+
+
 def brute_keep(texts, percent=85):
     sets, kept, out = {}, [], {}
     for i, t in texts:
