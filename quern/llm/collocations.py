@@ -11,8 +11,9 @@ sums of them are exact for that question, and a task sends `2^bits` bytes at mos
 The driver gets and broadcasts bitmaps of `2^bits` bits (2 MB by default), whatever the data. Words, phrases and
 counts stay in tables.
 
-A phrase's score comes from its lowest cut. Counts of parts are joined with each part's row in `SALTS` copies, so that a
-word that begins a third of all phrases is dealt to as many tasks. A phrase goes if a longer candidate that contains it is
+A task adds up its phrases before they leave it. A phrase's score comes from its lowest cut; each part's count is
+joined by the part, one row a part, so a word that begins a third of all phrases makes a skewed join, which Spark splits, and
+no more rows than phrases. A phrase goes if a longer candidate that contains it is
 frequent enough beside it: longer ones send their count to each phrase inside, maxima are taken before the shuffle.
 The first of each language are taken from `SALTS` parts first. Arithmetic is in decimals of 38 digits, exact for
 counts under 10^16.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.batches import pieces
-from quern.functions.shared import cut
+from quern.functions.shared import cut, cut_to, drop_path, new_path
 from quern.functions.textvec import _LOWER, hash_spans, mix, shingle_hashes, spans_of_words, text_bytes
 
 #: Buckets are 2^BITS; counters travel in blocks of 2^BLOCK.
@@ -43,6 +44,8 @@ _STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _SOLID = ~_STOP
 _SOLID[[0x20, 0x09]] = False
 _MOST_BYTES = 2 << 20
+#: Different phrases that a task holds before it adds them up and lets them go.
+_HELD = 1 << 20
 _EMITTED = "lang string, phrase string, f long, slot int, block binary"
 
 
@@ -122,6 +125,35 @@ def _emitted(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({name: batch.column(name) if name in batch.schema.names else pa.nulls(len(batch), kind) for name, kind in kinds.items()})
 
 
+class Tally:
+    """Phrases of a task with their counts, added up by hash; phrases whose second hashes differ stay apart."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.rows = 0
+
+    def add(self, own: np.ndarray, check: np.ndarray, number: np.ndarray, lang: pa.Array, phrase: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.parts.append((own, check, number, lang, phrase))
+        self.rows += len(own)
+        if self.rows > _HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        own, check, number = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        lang, phrase = (pa.concat_arrays([p[i] for p in self.parts]) for i in (3, 4))
+        self.parts, self.rows = [], 0
+        order = np.argsort(own, kind="stable")
+        fresh = np.ones(len(own), bool)
+        np.logical_or(own[order][1:] != own[order][:-1], check[order][1:] != check[order][:-1], out=fresh[1:])
+        first = np.flatnonzero(fresh)
+        sums = np.add.reduceat(number[order], first)
+        for at in range(0, len(first), 1 << 17):
+            some = pa.array(order[first[at : at + (1 << 17)]])
+            yield _emitted(pa.RecordBatch.from_pydict({"lang": lang.take(some), "phrase": phrase.take(some), "f": pa.array(sums[at : at + (1 << 17)])}))
+
+
 def _cut_long(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A text of its own in parts of about `_MOST_BYTES` that end where a piece ends; other batches as they are."""
     data, _ = text_bytes(batch.column("text"))
@@ -148,7 +180,7 @@ def _pass(k: int, last: bool, bits: int, least: int, parts_bitmap, bucket_bitmap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if parts_bitmap is None else np.frombuffer(parts_bitmap.value, np.uint8)
         hashed = None if bucket_bitmap is None else np.frombuffer(bucket_bitmap.value, np.uint8)
-        counters = None if last else Counters(bits, least)
+        counters, tally = None if last else Counters(bits, least), Tally()
         for batch in batches:
             for part in (p for x in pieces(batch, "text", _MOST_BYTES) for p in _cut_long(x)):
                 words = Words(part.column("text"), part.column("lang"))
@@ -174,7 +206,8 @@ def _pass(k: int, last: bool, bits: int, least: int, parts_bitmap, bucket_bitmap
                 np.logical_or(own[at][1:] != own[at][:-1], check[1:] != check[:-1], out=fresh[1:])
                 first = np.flatnonzero(fresh)
                 number = np.diff(np.r_[first, len(at)])
-                yield _emitted(pa.RecordBatch.from_pydict({"lang": part.column("lang").take(pa.array(words.doc[at[first]])), "phrase": words.phrases(at[first], k), "f": pa.array(number)}))
+                yield from tally.add(own[at[first]], check[first], number, part.column("lang").take(pa.array(words.doc[at[first]])), words.phrases(at[first], k))
+        yield from tally.flush()
         if counters:
             yield from map(_emitted, counters.blocks())
 
@@ -238,43 +271,37 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, bits: int
     found, known, hashed, totals = [], None, None, None
     for k in range(1, longest + 1):
         last = k == longest
-        raw = cut(rows.mapInArrow(_pass(k, last, bits, least, known, hashed), _EMITTED), f"phrases-{k}")
+        path = new_path(docs.sparkSession, f"phrases-{k}")
+        raw = cut_to(rows.mapInArrow(_pass(k, last, bits, least, known, hashed), _EMITTED), path)
         if k == 1:
-            totals = raw.where("slot is null and phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
+            totals = cut(raw.where("slot is null and phrase is null").groupBy("lang").agg(F.sum("f").alias("n")), "totals")
         counts = raw.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         counts = cut(counts, f"counts-{k}")
         found.append(counts)
         if not last:
             known = _bitmap(counts.select("lang", "phrase").mapInArrow(_marked(k, bits), "slot int, block binary"), bits, 1)
             hashed = _bitmap(raw.where("slot is not null"), bits, least)
+        drop_path(docs.sparkSession, path)
     return found, totals
 
 
-def _head(words: Column, k: int) -> Column:
-    return F.array_join(F.slice(words, 1, k), " ")
-
-
-def _count(phrases: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
-    """`phrases` with the count of the phrase in the column `part`, which has one."""
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
-    copies = counts.select(F.col("lang"), F.col("phrase").alias(part), F.col("f").alias(name), F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt"))
-    return phrases.withColumn("salt", salt).join(copies, ["lang", part, "salt"]).drop("salt", part)
+def _counted(phrases: DataFrame, counts: DataFrame, part: Column, name: str) -> DataFrame:
+    """`phrases` with the count of a part of each, which has one."""
+    return phrases.withColumn("part", part).join(counts.select("lang", F.col("phrase").alias("part"), F.col("f").alias(name)), ["lang", "part"]).drop("part")
 
 
 def _scored(counts: list[DataFrame]) -> DataFrame:
     """(lang, phrase, k, a, l, r, score) of the phrases of two words or more, by their lowest cut."""
     out = None
     for k in range(2, len(counts) + 1):
-        rows = counts[k - 1].select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
-        cuts = None
+        rows, w, cuts = counts[k - 1].select("lang", "phrase", F.col("f").alias("a")), F.split("phrase", " "), []
         for i in range(1, k):
-            parts = rows.select("lang", "phrase", "a", _head(F.col("w"), i).alias("head"), F.array_join(F.slice("w", i + 1, k - i), " ").alias("tail"))
-            parts = _count(_count(parts, counts[i - 1], "head", "l"), counts[k - i - 1], "tail", "r")
-            score = F.expr("(1000000BD * cast(a as decimal(16,0)) * cast(a as decimal(16,0))) div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))")
-            parts = parts.select("lang", "phrase", "a", F.struct(score.alias("score"), F.lit(i).alias("i"), "l", "r").alias("cut"))
-            cuts = parts if cuts is None else cuts.unionByName(parts)
-        lowest = cuts.groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut")) if k > 2 else cuts
-        scored = lowest.select("lang", "phrase", F.lit(k).alias("k"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
+            rows = _counted(rows, counts[i - 1], F.array_join(F.slice(w, 1, i), " "), f"l{i}")
+            rows = _counted(rows, counts[k - i - 1], F.array_join(F.slice(w, i + 1, k - i), " "), f"r{i}")
+            score = F.expr(f"(1000000BD * cast(a as decimal(16,0)) * cast(a as decimal(16,0))) div (cast(l{i} as decimal(16,0)) * cast(r{i} as decimal(16,0)))")
+            cuts.append(F.struct(score.alias("score"), F.lit(i).alias("i"), F.col(f"l{i}").alias("l"), F.col(f"r{i}").alias("r")))
+        lowest = rows.select("lang", "phrase", F.lit(k).alias("k"), "a", F.array_min(F.array(*cuts)).alias("cut"))
+        scored = lowest.select("lang", "phrase", "k", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
         out = scored if out is None else out.unionByName(scored)
     return out
 
