@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.median import exact_median, with_groups
+from quern.functions.shared import cut
 from quern.functions.text import first_present, let, regex_tokens, shuffled_key
 
 #: Licences a source with licences may have.
@@ -93,18 +95,18 @@ def budget_take(rows: DataFrame, target: Column | int, tokens: str, order: list[
     which the budget ends are ordered.
     """
     key = order[0] if key is None else key
-    cut = rows.withColumn("range__", F.conv(F.substring(key, 1, 2), 16, 10).cast("int"))
-    sums = cut.groupBy(*by, "range__").agg(F.sum(tokens).alias("sum__"))
+    ranged = rows.withColumn("range__", F.conv(F.substring(key, 1, 2), 16, 10).cast("int"))
+    sums = ranged.groupBy(*by, "range__").agg(F.sum(tokens).alias("sum__"))
     before = F.sum("sum__").over(Window.partitionBy(*by).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*[F.col(c).alias(f"by__{c}") for c in by], F.col("range__").alias("at__"), F.coalesce(before, F.lit(0)).alias("before__"))
     goal = F.lit(target) if not isinstance(target, Column) else target
     same = F.col("range__") == F.col("at__")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"by__{c}"))
-    cut = cut.join(sums, same).where(F.col("before__") < goal).drop("at__", *[f"by__{c}" for c in by])
+    ranged = ranged.join(sums, same).where(F.col("before__") < goal).drop("at__", *[f"by__{c}" for c in by])
     own = F.sum(tokens).over(Window.partitionBy(*by, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.withColumn("tokens_before", F.col("before__") + F.coalesce(own, F.lit(0)))
-    return cut.where(F.col("tokens_before") < goal).drop("range__", "before__")
+    ranged = ranged.withColumn("tokens_before", F.col("before__") + F.coalesce(own, F.lit(0)))
+    return ranged.where(F.col("tokens_before") < goal).drop("range__", "before__")
 
 
 def source_summary(rows: DataFrame, source: str, tokens: str) -> DataFrame:
@@ -116,7 +118,9 @@ def source_summary(rows: DataFrame, source: str, tokens: str) -> DataFrame:
 
 def length_statistics(rows: DataFrame, tokens: str, cap: int, by: list[str] | None = None) -> DataFrame:
     """Count, shortest, longest, mean and exact median length, and how many are at the cap."""
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("sample_count"), F.min(tokens).alias("minimum"), F.max(tokens).alias("maximum"), F.avg(tokens).alias("mean"), F.median(tokens).alias("median"), F.count_if(F.col(tokens) == cap).alias("at_maximum"))
+    slim = cut(rows.select(*(by or []), tokens), "lengths")
+    found = slim.groupBy(*(by or [])).agg(F.count("*").alias("sample_count"), F.min(tokens).alias("minimum"), F.max(tokens).alias("maximum"), F.avg(tokens).alias("mean"), F.count_if(F.col(tokens) == cap).alias("at_maximum"))
+    return with_groups(found, exact_median(slim, tokens, by or []), by or []).select(*(by or []), "sample_count", "minimum", "maximum", "mean", "median", "at_maximum")
 
 
 def bucket_pivot(rows: DataFrame, source: str, tokens: str, buckets: dict[str, tuple[int, int]]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.median import exact_median, with_groups
+from quern.functions.shared import cut
+
 #: The sampled series, tab-separated and without a header.
 TELEMETRY = "ts string, stage string, mem_kib long, swap_growth_kib long, rss_kib long, vmswap_kib long, gpus string, disk_bytes long, psi_some long, psi_full long, pswpin long, pswpout long"
 PAGE_BYTES = 4096
@@ -37,16 +40,36 @@ def series_rollup(rows: DataFrame, by: str, value: str, order: list[str]) -> Dat
     return rows.groupBy(by).agg(F.count("*").alias("samples"), F.min_by(value, at).alias("first_value"), F.max_by(value, at).alias("last_value"), F.min(value).alias("minimum"), F.max(value).alias("maximum"), (F.max_by(value, at) - F.min_by(value, at)).alias("delta"))
 
 
-def _islands(rows: DataFrame, by: str, order: list[str], breach: Column) -> DataFrame:
-    """Runs of breaching samples: the number of samples before that recovered names the run."""
-    window = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _scanned(rows: DataFrame, by: str, time: str | None, order: list[str], breach: Column) -> DataFrame:
+    """Breaching samples with `island`, the number of samples of the series before that recovered, and, given `time`, `started`, when the run began.
+
+    A series isn't one group. Samples are cut to ranges of (series, order); a range's summary is the number of its
+    recoveries and when the run that is open at its end began. Summaries are added up along each series, one row a range, and
+    give each range the number of recoveries before it and the start of the run that reaches into it; so each range
+    is scanned alone.
+    """
     marked = rows.withColumn("breach__", F.coalesce(breach, F.lit(False)))
-    return marked.withColumn("island", F.sum((~F.col("breach__")).cast("int")).over(window)).where("breach__")
+    marked = cut(marked.repartitionByRange(by, *order).withColumn("range__", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(by, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("local__", F.sum((~F.col("breach__")).cast("long")).over(own))
+    at = F.col(time) if time else F.lit(None).cast("timestamp")
+    runs = marked.groupBy(by, "range__", "local__").agg(F.min(F.when(F.col("breach__"), at)).alias("began"))
+    ends = runs.groupBy(by, "range__").agg(F.max("local__").alias("resets"), F.max_by("began", "local__").alias("began"))
+    before = Window.partitionBy("by__").orderBy("range__")
+    ends = ends.withColumnRenamed(by, "by__").withColumn("offset__", F.coalesce(F.sum("resets").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = ends.withColumn("open", F.min("began").over(Window.partitionBy("by__", F.col("offset__") + F.col("resets")).orderBy("range__")))
+    ends = ends.select("by__", F.col("range__").alias("range_of"), "offset__", F.lag("open").over(before).alias("carried__"))
+    found = marked.join(ends, F.col(by).eqNullSafe(F.col("by__")) & (F.col("range__") == F.col("range_of"))).where("breach__")
+    found = found.withColumn("island", F.col("offset__") + F.col("local__"))
+    if time:
+        first = F.min(time).over(Window.partitionBy(by, "range__", "local__"))
+        found = found.withColumn("started", F.when(F.col("local__") == 0, F.least(first, F.col("carried__"))).otherwise(first))
+    return found.drop("by__", "range__", "range_of", "offset__", "carried__", "local__", "breach__")
 
 
 def consecutive_breaches(rows: DataFrame, by: str, order: list[str], breach: Column, least: int = 5) -> DataFrame:
     """(by, island, samples) of runs of `least` breaching samples or more; one that recovers starts over."""
-    return _islands(rows, by, order, breach).groupBy(by, "island").agg(F.count("*").alias("samples")).where(F.col("samples") >= least)
+    return _scanned(rows, by, None, order, breach).groupBy(by, "island").agg(F.count("*").alias("samples")).where(F.col("samples") >= least)
 
 
 def sustained_breaches(rows: DataFrame, by: str, time: str, order: list[str], reasons: dict[str, Column], seconds: float) -> DataFrame:
@@ -58,8 +81,7 @@ def sustained_breaches(rows: DataFrame, by: str, time: str, order: list[str], re
     any_of = F.lit(False)
     for v in held.values():
         any_of = any_of | v
-    runs = _islands(rows.withColumn("reasons", F.concat_ws("+", *[F.when(v, k) for k, v in held.items()])), by, order, any_of)
-    runs = runs.withColumn("started", F.min(time).over(Window.partitionBy(by, "island")))
+    runs = _scanned(rows.withColumn("reasons", F.concat_ws("+", *[F.when(v, k) for k, v in held.items()])), by, time, order, any_of)
     at = lambda c: F.col(c).cast("timestamp").cast("double")
     late = runs.where(at(time) - at("started") >= seconds)
     return late.groupBy(by, "island").agg(F.min("started").alias("started"), F.min(time).alias("raised_at"), F.min_by("reasons", F.struct(*order)).alias("reasons"))
@@ -77,7 +99,9 @@ def resource_limits(min_mem_available_gib: int = 8, max_swap_growth_gib: int = 3
 def distribution(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Count, exact median, mean, extremes and population standard deviation."""
     v = F.col(value)
-    return rows.groupBy(*(by or [])).agg(F.count(v).alias("count"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.stddev_pop(v).alias("population_standard_deviation"))
+    found = rows.groupBy(*(by or [])).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.stddev_pop(v).alias("population_standard_deviation"))
+    found = with_groups(found, exact_median(rows, value, by or []), by or [])
+    return found.select(*(by or []), "count", "median", "mean", "minimum", "maximum", "population_standard_deviation")
 
 
 def stream_timings(chunks: DataFrame, key: str = "request_id") -> DataFrame:
