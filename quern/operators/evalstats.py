@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.shared import cut
+
 #: Schema of a sample: the metric's value of one document of one task.
 SAMPLES = "task string, doc_id long, doc_hash string, value double"
 
@@ -78,6 +82,72 @@ def bootstrap(deltas: DataFrame, group: list[str], stratum: str, order: str, rep
     return deltas.select(*group, stratum, order, F.col("delta").cast("double").alias("delta")).groupBy(*group).applyInPandas(run, f"{types}, low double, high double, documents long")
 
 
+def _stream(seed: int, stratum: int, node: int, chunk: int) -> np.random.Generator:
+    """A stream of random numbers of its own for each (stratum, node, chunk of replicates): counters, not a state that is passed on."""
+    return np.random.Generator(np.random.Philox(key=np.array([stratum & (2**64 - 1), (seed << 40) ^ node], np.uint64), counter=[0, 0, 0, chunk]))
+
+
+def block_sums(values: np.ndarray, total: int, path: list[tuple[int, int, bool]], stratum: int, block: int, chunk: int, size: int, seed: int) -> np.ndarray:
+    """Sums over one block of `size` replicates' draws from its stratum.
+
+    `total` draws fall on the blocks as if one by one: at each node of a binary tree of blocks, given from the root down in
+    `path` as (rows of the left child, rows of the node, whether this block is on the left), a binomial number of those that
+    reach it goes left. Nodes have the numbers of a heap, so all blocks below one agree on it.
+    """
+    left, node = np.full(size, total, np.int64), 1
+    for on_left, whole, goes_left in path:
+        part = _stream(seed, stratum, node, chunk).binomial(left, on_left / whole) if whole else left * 0
+        left = part if goes_left else left - part
+        node = 2 * node + (not goes_left)
+    rng = _stream(seed, stratum, (1 << 39) | block, chunk)
+    return np.array([values[rng.integers(0, len(values), n)].sum() if n else 0.0 for n in left.tolist()])
+
+
+def bootstrap_in_blocks(deltas: DataFrame, group: list[str], stratum: str, order: str, replicates: int = 10_000, seed: int = 42, block_rows: int = 1 << 16, chunk: int = 500) -> DataFrame:
+    """As `bootstrap`, for strata of any size and replicates over all tasks; its random streams are its own.
+
+    A stratum is cut by a hash of `order` to 2^k blocks of about `block_rows` rows, and replicates to chunks. A task has one
+    block and one chunk at a time: it draws how many of a replicate's draws fall on its block and which rows they are, from
+    streams counted by stratum, node and chunk, and adds them up. Sums of blocks meet for each replicate, one row a task,
+    and quantiles are taken of those.
+    """
+    key = F.xxhash64(*group, stratum)
+    rows = deltas.select(*group, key.alias("stratum__"), F.col(order).alias("order__"), F.col("delta").cast("double").alias("delta"))
+    sizes = rows.groupBy("stratum__").agg(F.count("*").alias("total__"))
+    sizes = sizes.withColumn("bits__", F.greatest(F.ceil(F.log2(F.col("total__") / block_rows)), F.lit(0)).cast("int"))
+    rows = cut(rows.join(sizes, "stratum__").withColumn("block__", F.when(F.col("bits__") > 0, F.expr("shiftrightunsigned(xxhash64(order__), 64 - bits__)")).otherwise(F.lit(0))), "blocks")
+    most = rows.agg(F.max("bits__")).first()[0] or 0
+    blocks = rows.groupBy(*group, "stratum__", "total__", "bits__", "block__").agg(F.transform(F.array_sort(F.collect_list(F.struct("order__", "delta"))), lambda x: x["delta"]).alias("values__"))
+    paths = rows.groupBy("stratum__", "bits__", "block__").agg(F.count("*").alias("n")).withColumn("path__", F.array().cast("array<struct<l:bigint,n:bigint,left:boolean>>"))
+    for level in range(most):
+        # Nodes of this level: the leading bits of the block; the next bit says which child.
+        up = paths.withColumn("node", F.expr(f"shiftright(block__, greatest(bits__ - {level}, 0))")).withColumn("bit", F.expr(f"shiftright(block__, greatest(bits__ - {level + 1}, 0)) & 1"))
+        whole = up.where(f"bits__ > {level}").groupBy("stratum__", "node").agg(F.sum("n").alias("whole"), F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("l"))
+        step = F.struct("l", F.col("whole").alias("n"), (F.col("bit") == 0).alias("left"))
+        paths = cut(up.join(whole, ["stratum__", "node"], "left").withColumn("path__", F.when(F.col("bits__") > level, F.concat("path__", F.array(step))).otherwise(F.col("path__"))).drop("node", "bit", "whole", "l"), "paths")
+    work = blocks.join(paths.select("stratum__", "block__", "path__"), ["stratum__", "block__"]).withColumn("chunk__", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // chunk) - 1))))
+    work = work.repartition("stratum__", "block__", "chunk__")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                size = min(chunk, replicates - row["chunk__"] * chunk)
+                path = [(p["l"], p["n"], p["left"]) for p in row["path__"]]
+                own = block_sums(np.asarray(row["values__"], np.float64), int(row["total__"]), path, int(row["stratum__"]), int(row["block__"]), int(row["chunk__"]), size, seed)
+                at = (*(row[g] for g in group), row["chunk__"])
+                sums[at] = sums[at] + own if at in sums else own
+        for at, own in sums.items():
+            yield pd.DataFrame({**{g: pd.Series([at[i]] * len(own), dtype=object) for i, g in enumerate(group)}, "replicate": at[-1] * chunk + np.arange(len(own)), "sum": own})
+
+    types = ", ".join(f"{g} {deltas.schema[g].dataType.simpleString()}" for g in group)
+    sums = work.mapInPandas(run, f"{types}, replicate long, sum double").groupBy(*group, "replicate").agg(F.sum("sum").alias("sum"))
+    counts = rows.groupBy(*group).agg(F.count("*").alias("documents"))
+    drawn = sums.groupBy(*group).agg(F.percentile("sum", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    both = counts.join(drawn, group)
+    return both.select(*group, (F.get("q", F.lit(0)) / F.col("documents")).alias("low"), (F.get("q", F.lit(1)) / F.col("documents")).alias("high"), "documents")
+
+
 def outcome_table(pairs: DataFrame, left: str, right: str, by: list[str] | None = None) -> DataFrame:
     """Counts of both, only left, only right and neither passing."""
     l, r = F.col(left) > 0, F.col(right) > 0  # noqa: E741

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.shared import cut
+
 #: Bytes of each element type of a tensor file.
 DTYPE_BYTES = {"BOOL": 1, "U8": 1, "I8": 1, "F8_E4M3": 1, "F8_E5M2": 1, "I16": 2, "U16": 2, "F16": 2, "BF16": 2, "I32": 4, "U32": 4, "F32": 4, "I64": 8, "U64": 8, "F64": 8}
 #: Endings of the names of linear weights.
@@ -164,6 +166,50 @@ def manifest_changes(before: DataFrame, after: DataFrame, key: str = "model") ->
     return b.join(a, key, "full").where(~F.col("expected").eqNullSafe(F.col("observed"))).select(F.lit("manifest_identity").alias("rule"), F.col(key).alias("key"), "expected", "observed")
 
 
+def manifest_tree(files: DataFrame, columns: list[str], key: str = "path", depth: int = 4, step: int = 2) -> DataFrame:
+    """(level, node, records, sha256): a hash tree over a manifest's records, from the root (level 0, node '') down.
+
+    A leaf holds the records whose key's SHA-256 begins with its name of `depth` hexadecimal digits, and its digest covers them
+    in order; a node's covers its children's names and digests. So no task holds more than a leaf of a 16^depth-th of
+    the records, and equal manifests have equal roots, whatever the order of their rows.
+    """
+    record = F.to_json(F.struct(*columns))
+    leaf = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256), 1, depth)
+    level = files.select(leaf.alias("node"), record.alias("record")).groupBy("node").agg(F.count("*").alias("records"), F.sha2(F.array_join(F.array_sort(F.collect_list("record")), "\n"), 256).alias("sha256"))
+    out, at = level.select(F.lit(depth).alias("level"), "node", "records", "sha256"), depth
+    while at > 0:
+        at = max(0, at - step)
+        child = F.concat_ws(":", "node", "sha256")
+        level = level.groupBy(F.substring("node", 1, at).alias("up")).agg(F.sum("records").alias("records"), F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256).alias("sha256")).withColumnRenamed("up", "node")
+        out = out.unionByName(level.select(F.lit(at).alias("level"), "node", "records", "sha256"))
+    return out
+
+
+def file_changes(before: DataFrame, after: DataFrame, columns: list[str], key: str = "path", depth: int = 4, step: int = 2, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(rule, key, expected, observed) of the files that two manifests don't share: changed_file, missing_file, extra_file.
+
+    The manifests' trees (`trees`, where they are stored) are compared from the root down, and only below nodes that differ;
+    only the records of leaves that differ are joined. Several records of one key are compared as a whole.
+    """
+    one, two = trees or (manifest_tree(before, columns, key, depth, step), manifest_tree(after, columns, key, depth, step))
+    one, two = cut(one, "tree"), cut(two, "tree")
+    open_, at = None, 0
+    while True:
+        left, right = (t.where(F.col("level") == at).select("node", F.col("sha256").alias(side)) for t, side in ((one, "b"), (two, "a")))
+        if open_ is not None:
+            left, right = (x.withColumn("up", F.substring("node", 1, above)).join(open_, "up", "left_semi").drop("up") for x in (left, right))
+        open_ = cut(left.join(right, "node", "full").where("not (b <=> a)").select(F.col("node").alias("up")), "differing")
+        if at == depth or open_.isEmpty():
+            break
+        above, at = at, depth - ((depth - at - 1) // step) * step
+    leaf = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256), 1, depth)
+    own = lambda t, side: t.withColumn("up", leaf).join(open_, "up", "left_semi").groupBy(F.col(key).cast("string").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*columns)))), "\n").alias(side), F.lit(True).alias(f"in_{side}"))
+    left, right = own(before, "expected").withColumnRenamed("key", "left_key"), own(after, "observed")
+    both = left.join(right, F.col("left_key").eqNullSafe(F.col("key")), "full")
+    rule = F.when(F.col("in_observed").isNull(), "missing_file").when(F.col("in_expected").isNull(), "extra_file").when(F.col("expected") != F.col("observed"), "changed_file")
+    return both.select(rule.alias("rule"), F.coalesce("left_key", "key").alias("key"), "expected", "observed").where("rule is not null")
+
+
 def select_targets(names: DataFrame, suffixes: DataFrame, pattern: str) -> DataFrame:
     """(name, suffix): names that match the pattern whole and end, after a dot, in a known suffix; the longest one.
 

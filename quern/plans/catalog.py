@@ -424,6 +424,12 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalstats.bootstrap(deltas, ["suite"], "task", "doc_id")
 
 
+@query()
+def bootstrap_ci_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deltas = evalstats.paired_deltas(*_raters(spark, sf_dir)).withColumn("suite", F.lit("labels"))
+    return evalstats.bootstrap_in_blocks(deltas, ["suite"], "task", "doc_id")
+
+
 @query(
     """
 WITH o AS (SELECT d.lang, count_if(quality = 1 AND toxic = 1) AS b, count_if(quality = 0 AND toxic = 0) AS c FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang),
@@ -669,3 +675,26 @@ SELECT count(*) AS file_count, sum(n)::BIGINT AS size_bytes, sha256(string_agg(r
 def manifest_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.length("text").cast("long").alias("size_bytes"))
     return inventory.order_free_identity(files, ["path", "size_bytes"])
+
+
+@query("""
+WITH f AS (SELECT '{"path":"' || doc_id || '","size_bytes":' || length(text) || '}' AS record, substr(sha256(doc_id::VARCHAR), 1, 2) AS node FROM documents),
+l2 AS (SELECT node, count(*) AS records, sha256(string_agg(record, chr(10) ORDER BY record)) AS sha256 FROM f GROUP BY node),
+l1 AS (SELECT substr(node, 1, 1) AS node, sum(records)::BIGINT AS records, sha256(string_agg(node || ':' || sha256, chr(10) ORDER BY node)) AS sha256 FROM l2 GROUP BY 1),
+l0 AS (SELECT '' AS node, sum(records)::BIGINT AS records, sha256(string_agg(node || ':' || sha256, chr(10) ORDER BY node)) AS sha256 FROM l1)
+SELECT 2 AS level, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0""")
+def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.length("text").cast("long").alias("size_bytes"))
+    return inventory.manifest_tree(files, ["path", "size_bytes"], depth=2, step=1)
+
+
+@query("""
+WITH b AS (SELECT doc_id, '{"path":"' || doc_id || '","size_bytes":' || length(text) || '}' AS r FROM documents WHERE lang <> 'fr'),
+a AS (SELECT doc_id, '{"path":"' || doc_id || '","size_bytes":' || length(regexp_replace(text, '[|$%&#*]', '', 'g')) || '}' AS r FROM documents WHERE lang <> 'de')
+SELECT CASE WHEN a.r IS NULL THEN 'missing_file' WHEN b.r IS NULL THEN 'extra_file' ELSE 'changed_file' END AS rule, coalesce(b.doc_id, a.doc_id)::VARCHAR AS key, b.r AS expected, a.r AS observed
+FROM b FULL JOIN a ON a.doc_id = b.doc_id WHERE b.r IS DISTINCT FROM a.r""")
+def manifest_file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", "lang")
+    before = docs.where("lang <> 'fr'").select("path", F.length("text").cast("long").alias("size_bytes"))
+    after = docs.where("lang <> 'de'").select("path", F.length(F.regexp_replace("text", "[|$%&#*]", "")).cast("long").alias("size_bytes"))
+    return inventory.file_changes(before, after, ["path", "size_bytes"])
