@@ -10,7 +10,7 @@ all gains less than one language's price, none is added. The prediction is the l
 share, or, where the set is one language, its posterior among single languages.
 
 Training takes the texts of at most `most_texts` documents of each language, those of the least hash of their id, text
-and language, so the sample is bounded, the same in each run, and drawn from all; ranks are cut before the shuffle. Counts
+and language, so the sample is bounded, the same in each run, and drawn from all. Counts
 are summed by Spark; the driver gets and sends one table of languages x 2^BITS floats (0.5 MB a language).
 Prediction is one pass over whole texts without a shuffle, in blocks of documents, each a bounded number of n-grams.
 
@@ -86,24 +86,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(names[key >> BITS].tolist(), pa.string()), "bucket": pa.array((key & ((1 << BITS) - 1)).astype(np.int32)), "n": pa.array(np.bincount(place, number).astype(np.int64))})
 
 
-def sample_of(docs: DataFrame, most_texts: int, id: str, text: str, lang: str) -> DataFrame:
-    """(lang, text): prepared texts of at most `most_texts` documents of each language.
+def sample_of(docs: DataFrame, most_texts: int, id: str, text: str, lang: str) -> tuple[DataFrame, dict[str, int]]:
+    """((lang, text): prepared texts of at most `most_texts` documents of each language; the number of texts of each).
 
-    Slim keys choose the rows, of which each language's last key is broadcast; rows alike in id, text and language
-    count once.
+    A first cut by the hash of id, text and language leaves about four times as many of each language, so ranking takes a
+    bounded task for each; rows alike in all three count once.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text), F.col(lang)).alias("key"))
+    texts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, 4 * most_texts / n)) for x, n in texts.items()], "lang string, share double")
+    near = rows.join(F.broadcast(shares), "lang").where((F.col("key") / F.lit(2.0**64) + 0.5) < F.col("share")).drop("share")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = rows.select("lang", "key").distinct().withColumn("place", place).where(F.col("place") <= most_texts).groupBy("lang").agg(F.max("key").alias("limit"))
-    kept = rows.join(F.broadcast(chosen), "lang").where("key <= limit").dropDuplicates(["lang", "key"])
-    return kept.select("lang", letters(F.col("text")).alias("text"))
+    chosen = near.select("lang", "key").distinct().withColumn("place", place).where(F.col("place") <= most_texts).groupBy("lang").agg(F.max("key").alias("limit"))
+    kept = near.join(F.broadcast(chosen), "lang").where("key <= limit").dropDuplicates(["lang", "key"])
+    return kept.select("lang", letters(F.col("text")).alias("text")), texts
 
 
 def fit_languages(docs: DataFrame, most_texts: int = 1000, smooth: float = 200.0, id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fit on the rows of `docs` whose `lang` isn't null."""
-    sample = sample_of(docs, most_texts, id, text, lang)
+    sample, texts = sample_of(docs, most_texts, id, text, lang)
     counts = sample.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    texts = {r["lang"]: r["count"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().collect()}
     languages = sorted(set(counts.column("lang").to_pylist()), key=str.encode)
     table = np.zeros((1 << BITS, len(languages)))
     place = {x: i for i, x in enumerate(languages)}

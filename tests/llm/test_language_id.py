@@ -44,10 +44,11 @@ def test_fit_and_predict(spark, model):
 
 def test_sample_is_bounded(spark):
     rows = [(i, EN if i < 80 else DE, "en" if i < 80 else "de") for i in range(100)] + [(1, EN, "en")] * 50
-    found = {r["lang"]: r["count"] for r in li.sample_of(docs_of(spark, rows), 30, "doc_id", "text", "lang").groupBy("lang").count().collect()}
-    assert found == {"en": 30, "de": 20}
-    plan = li.sample_of(docs_of(spark, rows), 30, "doc_id", "text", "lang")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    sample, texts = li.sample_of(docs_of(spark, rows), 30, "doc_id", "text", "lang")
+    assert {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()} == {"en": 30, "de": 20} and texts == {"en": 130, "de": 20}
+    many = spark.range(20_000).selectExpr("id AS doc_id", "'ein text' AS text", "if(id % 10 = 0, 'xx', 'de') AS lang")
+    sample, _ = li.sample_of(many, 100, "doc_id", "text", "lang")
+    assert {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()} == {"xx": 100, "de": 100}
 
 
 def plain_grams(text):
