@@ -45,6 +45,35 @@ def test_resume(spark, tmp_path):
     assert resume.run_stages(spark, root, stages(seen), {"corpus": "a"}, resume=True).collect() == [(40,)] and seen[-1] == "third" and len(seen) == 3
 
 
+def test_one_writer(spark, tmp_path):
+    """A second run is refused before it works; a stale lease can be taken over, and its slow owner then can't swap the pointer."""
+    root, seen = f"file://{tmp_path}/run", []
+
+    def slow(session, _):
+        seen.append("slow")
+        with pytest.raises(resume.Refused):
+            resume.run_stages(session, root, stages(seen), {})
+        assert seen == ["slow"]
+        assert resume.run_stages(session, root, stages(seen), {"run": 2}, take_over=True).collect() == [(40,)]
+        return session.range(3)
+
+    with pytest.raises(resume.Refused, match="taken over"):
+        resume.run_stages(spark, root, [("slow", slow)], {})
+    pointer = json.loads((tmp_path / "run/current.json").read_text())
+    assert pointer["identity"] == {"run": 2} and pointer["fence"] == 2 and not list((tmp_path / "run").glob("writer-*"))
+    assert resume.run_stages(spark, root, stages(seen), {"run": 2}, resume=True).collect() == [(40,)]
+    first = resume.take_lease(spark, root)
+    with pytest.raises(resume.Refused):
+        resume.take_lease(spark, root)
+    second = resume.take_lease(spark, root, stale_after=0.0)
+    with pytest.raises(resume.Refused):
+        first.renew()
+    first.give_back()
+    second.renew()
+    second.give_back()
+    assert not list((tmp_path / "run").glob("writer-*"))
+
+
 def test_resume_checks_files(spark, tmp_path):
     root = f"file://{tmp_path}/run"
     with pytest.raises(resume.Interrupted):
