@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.shared import cut
 from quern.functions.text import shingled
+from quern.functions.textvec import among
 
 
 def shingle_classes(rows: DataFrame, id: str, text: str, size: int = 5) -> DataFrame:
@@ -17,27 +22,100 @@ def shingle_classes(rows: DataFrame, id: str, text: str, size: int = 5) -> DataF
     return own.join(first, "name", "left").select(F.col("id__").alias(id), F.coalesce("class_id", "id__").alias("class_id"), F.size("grams").alias("n_grams"), "grams")
 
 
+#: Grams taken for common, at most; they only order the sets, so a wrong guess costs work and no pair.
+COMMON = 1 << 16
+#: Buckets of a set's profile.
+PROFILE = 256
+
+
+def _common_grams(heads: DataFrame) -> np.ndarray:
+    """Grams that occur often in a 64th of the sets, sorted, the most frequent `COMMON` of them."""
+    some = heads.where(F.pmod(F.xxhash64("id__", "n"), F.lit(64)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df >= 8")
+    return np.sort(some.orderBy(F.desc("df"), "gram").limit(COMMON).select("gram").toArrow().column("gram").to_numpy())
+
+
+def _rows(column) -> tuple[np.ndarray, np.ndarray]:
+    """(values, cuts) of a list column."""
+    array = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    offsets = array.offsets.to_numpy()
+    return array.values.to_numpy(), offsets
+
+
+def _prefixes(common: np.ndarray, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, cuts = _rows(batch.column("grams"))
+            taken, out = [], []
+            for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                own = values[a:b]
+                often = among(own, common)
+                n = b - a
+                first = np.concatenate([own[~often], own[often]])[: n - -(-n * percent // 100) + 1]
+                out.append(first)
+                taken.append(len(first))
+            at = pa.array(np.repeat(np.arange(len(batch)), taken))
+            yield pa.RecordBatch.from_arrays([batch.column("id__").take(at), batch.column("n").take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *out]))], names=["id__", "n", "gram"])
+
+    return run
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, cuts = _rows(batch.column("grams"))
+        place = (values.view(np.uint64) >> np.uint64(56)).astype(np.int64)
+        owner = np.repeat(np.arange(len(batch)), np.diff(cuts))
+        inside = (np.arange(len(values)) >= cuts[0]) & (np.arange(len(values)) < cuts[-1])
+        counts = np.bincount(owner * PROFILE + place[inside], minlength=len(batch) * PROFILE).reshape(-1, PROFILE).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("id__"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["id__", "profile"])
+
+
+def _may_reach(percent: int):
+    """Pairs whose profiles allow the threshold: sets share no more grams than the lesser counts of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, PROFILE) for c in ("one", "two"))
+            most = np.minimum(one, two).sum(1)
+            sizes = one.sum(1) + two.sum(1)
+            keep = pa.array(100 * most >= percent * (sizes - most))
+            yield batch.select(["left_id", "right_id"]).filter(keep)
+
+    return run
+
+
+def _overlaps(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, lcuts = _rows(batch.column("one"))
+            right, rcuts = _rows(batch.column("two"))
+            common, n, m = np.zeros(len(batch), np.int64), np.diff(lcuts), np.diff(rcuts)
+            for i in range(len(batch)):
+                common[i] = among(left[lcuts[i] : lcuts[i + 1]], right[rcuts[i] : rcuts[i + 1]]).sum()
+            keep = pa.array(100 * common >= percent * (n + m - common))
+            yield pa.RecordBatch.from_arrays([batch.column("left_id"), batch.column("right_id"), pa.array(common), pa.array(common / np.maximum(n + m - common, 1))], names=["left_id", "right_id", "common", "jaccard"]).filter(keep)
+
+    return run
+
+
 def similar_pairs(classes: DataFrame, id: str, percent: int = 85) -> DataFrame:
     """(left_id, right_id, common, jaccard) of class representatives at or over the threshold, left < right.
 
-    Representatives meet on the rarest of their shingles only: two sets with Jaccard t share one of the first
-    n - ceil(t n) + 1 of each in any common order, here by frequency. Overlaps are counted for the pairs that meet.
+    Two sets with Jaccard t share one of the first n - ceil(t n) + 1 grams of each in any common order; here that of hashes,
+    common grams last, so a set sends a seventh of its grams at 85 %. Pairs that meet are compared by profiles first, the
+    numbers of their grams in 256 ranges of hashes, which bound the overlap from above; whole sets are only sent for
+    pairs that may reach the threshold.
     """
-    heads = classes.where((F.col(id) == F.col("class_id")) & (F.col("n_grams") > 0))
-    grams = heads.select(F.col(id).alias("id__"), F.col("n_grams").alias("n"), F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    shared = grams.join(often, "gram")
-    place = F.row_number().over(Window.partitionBy("id__").orderBy("df", "gram"))
-    total = F.count("*").over(Window.partitionBy("id__"))
-    least = F.ceil(F.col("n") * F.lit(percent) / 100)
-    shared = cut(shared.withColumn("place", place).withColumn("total", total).where(F.col("total") >= least), "grams")
-    prefix = shared.where(F.col("place") <= F.col("total") - least + 1).select("id__", "n", "gram")
+    kind = classes.schema[id].dataType.simpleString()
+    heads = classes.where((F.col(id) == F.col("class_id")) & (F.col("n_grams") > 0)).select(F.col(id).alias("id__"), F.col("n_grams").cast("int").alias("n"), "grams")
+    heads = cut(heads.withColumn("grams", F.array_sort("grams")), "heads")
+    prefix = heads.mapInArrow(_prefixes(_common_grams(heads), percent), f"id__ {kind}, n int, gram long")
     right = prefix.toDF("right_id", "m", "gram")
-    met = prefix.toDF("left_id", "n", "gram").join(right, "gram").where("left_id < right_id").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("left_id", "right_id", "n", "m").distinct()
-    one, two = shared.select(F.col("id__").alias("left_id"), "gram"), shared.select(F.col("id__").alias("right_id"), "gram")
-    common = met.join(one, "left_id").join(two, ["right_id", "gram"]).groupBy("left_id", "right_id", "n", "m").agg(F.count("*").alias("common"))
-    found = common.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common")))
-    return found.select("left_id", "right_id", "common", (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("jaccard"))
+    met = prefix.toDF("left_id", "n", "gram").join(right, "gram").where("left_id < right_id").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("left_id", "right_id").distinct()
+    profiles = cut(heads.mapInArrow(_profiles, f"id__ {kind}, profile binary"), "profiles")
+    both = met.join(profiles.toDF("right_id", "two"), "right_id").join(profiles.toDF("left_id", "one"), "left_id")
+    near = cut(both.mapInArrow(_may_reach(percent), f"left_id {kind}, right_id {kind}"), "may-reach")
+    sets = near.join(heads.select(F.col("id__").alias("right_id"), F.col("grams").alias("two")), "right_id").join(heads.select(F.col("id__").alias("left_id"), F.col("grams").alias("one")), "left_id")
+    return sets.mapInArrow(_overlaps(percent), f"left_id {kind}, right_id {kind}, common long, jaccard double")
 
 
 def greedy_keep(rows: DataFrame, id: str, text: str, percent: int = 85, size: int = 5, most_rounds: int = 1000) -> DataFrame:
