@@ -25,13 +25,16 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query(spark, duck, name):
     found = queries.QUERIES[name](spark, SF)
-    if name in queries.ORACLES:
-        same(found, sorted(found.columns), duck.sql(queries.ORACLES[name]))
-    else:
-        assert found.count() >= 0
+    same(found, sorted(found.columns), duck.sql(queries.ORACLES[name]))
+
+
+def test_every_other_query_has_a_plain_test():
+    """Queries without SQL are held against plain Python: op3 and op5 here, the others in modules of their own."""
+    held = {"op1_quality_classifier", "op3_ngram_jaccard_join", "op4_embedding_near_dedup", "op5_suffix_array_dedup", "op6_warc", "op7_packing", "op9_html_extraction", "op12_language_id", "op13_conversation_repair"}
+    assert set(queries.QUERIES) - set(queries.ORACLES) == held
 
 
 def test_op3_and_op5_against_brute_force(spark, rows):
