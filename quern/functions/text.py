@@ -17,6 +17,8 @@ from quern.functions.textvec import shingle_sets
 
 #: A word is a run of letters, digits and underscores in any script; Spark's and DuckDB's \w are ASCII.
 WORD = r"[\p{L}\p{N}_]+"
+#: A default token: a word or a single other visible character.
+TOKEN = WORD + r"|[^\s\p{L}\p{N}_]"
 
 
 def let(value: Column, body) -> Column:
@@ -31,7 +33,7 @@ def words(text: Column) -> Column:
 
 def regex_tokens(text: Column) -> Column:
     """Default tokens: words and single other visible characters, case kept."""
-    return F.regexp_extract_all(text, F.lit(WORD + r"|[^\s\p{L}\p{N}_]"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def shingle_set(text: Column, size: int = 5) -> Column:

@@ -16,6 +16,7 @@ MARKERS = {
     "native_kernel_not_observed": "Selected CutlassInt8ScaledMMLinearKernel for CompressedTensorsW8A8Int8",
     "text_only_not_observed": "running in text-only mode.",
 }
+#: How a start reports its cache and its chunks.
 CAPACITY = r"GPU KV cache size:\s*([0-9,]+) tokens"
 CHUNK = r"Chunked prefill is enabled with max_num_batched_tokens=([0-9,]+)\."
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import regex_tokens
+from quern.functions.text import TOKEN
 
 
 def split_pair(context: Column, continuation: Column) -> tuple[Column, Column]:
@@ -20,8 +20,8 @@ def encode_requests(rows: DataFrame, default_reserve: int = 256) -> DataFrame:
     like, made = F.col("request_type") == "loglikelihood", F.col("request_type") == "generate_until"
     context, continuation = split_pair(F.when(like, F.col("context")).otherwise(F.lit("-")), F.col("continuation"))
     rendered = F.when(like, F.concat(context, continuation)).when(made, F.col("context")).otherwise(F.raise_error(F.concat(F.lit("unexpected request type: "), F.coalesce("request_type", F.lit("null")))))
-    out = rows.withColumn("rendered", rendered).withColumn("n_tokens", F.size(regex_tokens(F.col("rendered"))))
-    out = out.withColumn("context_tokens", F.when(like, F.size(regex_tokens(context))))
+    out = rows.withColumn("rendered", rendered).withColumn("n_tokens", F.regexp_count("rendered", F.lit(TOKEN)))
+    out = out.withColumn("context_tokens", F.when(like, F.regexp_count(context, F.lit(TOKEN))))
     return out.withColumn("reserve", F.when(like, 0).otherwise(F.coalesce("max_gen_toks", F.lit(default_reserve))))
 
 

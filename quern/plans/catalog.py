@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.shared import cut, ship
-from quern.functions.text import bytes_label, regex_tokens, shingled, shuffled_key, token_ids_digest
+from quern.functions.text import TOKEN, bytes_label, shingled, shuffled_key, token_ids_digest
 from quern.functions.vocabulary import token_counts
 from quern.operators import chat, contracts, corpus, dedup, evalstats, inventory, logs, overlap, requests, selection, telemetry
 
@@ -55,7 +55,7 @@ matches AS (
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_tokens", F.size(regex_tokens(F.col("text"))))
+    return docs.withColumn("n_tokens", corpus.token_count(F.col("text")))
 
 
 # Corpus construction
@@ -140,9 +140,10 @@ def shuffled_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.frozen_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50).select("doc_id", "place")
 
 
-@query("SELECT item_id, item_id % 8 = 0 OR item_id = 39 AS due FROM (SELECT unnest(generate_series(1, 39)) AS item_id)")
+@query("WITH n AS (SELECT greatest(1, ceil(floor(count(*) * 0.2 * 1000) / 1000))::BIGINT AS every, count(*) AS total FROM benchmark) SELECT item_id, (item_id + 1) % every = 0 OR item_id + 1 = total AS due FROM benchmark, n")
 def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.due_marks(spark.range(1, 40).withColumnRenamed("id", "item_id"), "item_id", 39)
+    items = table(spark, sf_dir, "benchmark")
+    return corpus.due_marks(items.select("item_id", (F.col("item_id") + 1).alias("place")), "place", items.count()).select("item_id", "due")
 
 
 @query("SELECT CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'licensed' ELSE 'open' END AS kind, count(*) AS n FROM (SELECT source, CASE doc_id % 3 WHEN 0 THEN 'MIT' WHEN 1 THEN 'GPL' END AS license FROM documents) WHERE source NOT IN ('src0', 'src1', 'src2') OR license = 'MIT' GROUP BY 1")
@@ -159,19 +160,10 @@ def task_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", corpus.task_identity(F.concat(F.lit("repo/"), F.col("source")), [named], F.col("text")).alias("identity"))
 
 
-@query("SELECT place, i AS source_place FROM (SELECT unnest(generate_series(0, 24)) AS place), LATERAL (SELECT place % 4 AS i)")
+@query("SELECT place, n.n_name AS name FROM (SELECT unnest(generate_series(0, (SELECT count(*) FROM supplier) - 1)) AS place) p JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) n ON n.i = place % (SELECT count(*) FROM nation)")
 def cyclic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.repeat_cyclic(spark.range(4).withColumnRenamed("id", "source_place"), 25, "source_place").select("place", "source_place")
-
-
-@query("SELECT r AS row, list_transform(generate_series(0, 15), lambda p: (1 + (r * 17 + p) % 480)::INTEGER) AS input_ids FROM (SELECT unnest(generate_series(0, 63)) AS r)")
-def synthetic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.synthetic_ids(spark, 64, 16)
-
-
-@query("SELECT t AS target, (t - 3) // 2 AS units, 3 + 2 * ((t - 3) // 2) AS tokens FROM (SELECT unnest([16, 33, 64]) AS t)")
-def prompt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.prompt_sizes(spark, [16, 33, 64], "more data ", "Read this now ")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    return corpus.repeat_cyclic(nations, table(spark, sf_dir, "supplier").count(), "n_nationkey").select("place", "name")
 
 
 @query(
@@ -218,7 +210,7 @@ SELECT conv_id, max(total)::BIGINT AS n_tokens FROM p WHERE role = 'assistant' A
 )
 def longest_admissible_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.conversation_messages(table(spark, sf_dir, "conversations")).withColumn("view", chat.bucket_view(F.col("messages"), F.lit("short")))
-    sizes = F.transform("view", lambda m: F.size(regex_tokens(m["content"])))
+    sizes = F.transform("view", lambda m: F.regexp_count(m["content"], F.lit(TOKEN)))
     rows = rows.withColumn("sizes", sizes).withColumn("ends", chat.coherent_ends(F.col("view")))
     lengths = F.transform("ends", lambda e: F.aggregate(F.slice("sizes", 1, e), F.lit(0).cast("long"), lambda a, x: a + x))
     return rows.withColumn("lengths", lengths).select("conv_id", corpus.longest_prefix(F.col("lengths"), 32, 512).alias("n_tokens")).where("n_tokens is not null")
@@ -353,18 +345,20 @@ def chat_corpus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH reports(name, corpus_digest, status, expected_status, unresolved_overlaps) AS (
-  VALUES ('public', 'c', 'clear', 'clear', 0), ('agents', 'x', 'clear', 'clear', 0), ('origin', 'c', 'review', 'clear', 2)),
-cases(suite, expected, observed) AS (VALUES ('a', 10, 10), ('b', 10, 9))
-SELECT 'corpus_digest' AS rule, name AS key, 'c' AS expected, corpus_digest AS observed FROM reports WHERE corpus_digest <> 'c'
-UNION ALL SELECT 'status', name, expected_status, status FROM reports WHERE status <> expected_status
-UNION ALL SELECT 'unresolved_overlaps', name, '0', unresolved_overlaps::VARCHAR FROM reports WHERE unresolved_overlaps > 0
+WITH own AS (SELECT count(*)::VARCHAR AS d FROM documents),
+reports AS (SELECT source AS name, CASE WHEN source = 'src1' THEN 'x' ELSE (SELECT d FROM own) END AS corpus_digest, CASE WHEN source = 'src2' THEN 'review' ELSE 'clear' END AS status, sum((n_chars > 20000)::INTEGER)::BIGINT AS n FROM documents GROUP BY source),
+cases AS (SELECT lang AS suite, count(*) AS expected, count(DISTINCT text) AS observed FROM documents GROUP BY lang)
+SELECT 'corpus_digest' AS rule, name AS key, d AS expected, corpus_digest AS observed FROM reports, own WHERE corpus_digest <> d
+UNION ALL SELECT 'status', name, 'clear', status FROM reports WHERE status <> 'clear'
+UNION ALL SELECT 'unresolved_overlaps', name, '0', n::VARCHAR FROM reports WHERE n > 0
 UNION ALL SELECT 'suite_cases', suite, expected::VARCHAR, observed::VARCHAR FROM cases WHERE expected <> observed"""
 )
 def clearance_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([("c",)], "corpus_digest string")
-    reports = spark.createDataFrame([("public", "c", "clear", "clear", 0), ("agents", "x", "clear", "clear", 0), ("origin", "c", "review", "clear", 2)], "name string, corpus_digest string, status string, expected_status string, unresolved_overlaps long")
-    cases = spark.createDataFrame([("a", 10, 10), ("b", 10, 9)], "suite string, expected long, observed long")
+    docs = table(spark, sf_dir, "documents")
+    own = docs.agg(F.count("*").cast("string").alias("corpus_digest"))
+    reports = docs.groupBy(F.col("source").alias("name")).agg(F.count_if(F.col("n_chars") > 20000).alias("unresolved_overlaps")).crossJoin(F.broadcast(own))  # one row
+    reports = reports.withColumn("corpus_digest", F.when(F.col("name") == "src1", "x").otherwise(F.col("corpus_digest"))).withColumn("status", F.when(F.col("name") == "src2", "review").otherwise("clear")).withColumn("expected_status", F.lit("clear"))
+    cases = docs.groupBy(F.col("lang").alias("suite")).agg(F.count("*").alias("expected"), F.countDistinct("text").alias("observed"))
     return overlap.clearance(own, reports, cases)
 
 
@@ -568,70 +562,83 @@ def stream_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Inventories, logs and contracts: inline rows
 
 
-def _tensors(spark: SparkSession) -> DataFrame:
-    rows = []
-    for k in range(60):
-        for name, shape in ((f"model.layers.{k}.mlp.up_proj.weight", [64, 32]), (f"model.layers.{k}.self_attn.q_proj.weight", [32, 32]), (f"model.layers.{k}.input_layernorm.weight", [32]), (f"model.layers.{k}.linear_attn.conv1d.weight", [32, 1, 4])):
-            size = 2
-            for x in shape:
-                size *= x
-            rows.append((name, f"s{k % 3}", "BF16", shape, 1000 * k, 1000 * k + size + (2 if k == 7 else 0)))
-    rows += [("lm_head.weight", "s0", "F32", [10, 10], 0, 400), ("mtp.fc.weight", "s1", "BF16", [4, 4], 0, 32), ("model.visual.patch_embed.proj.weight", "s2", "BF16", [4], 0, 8), ("model.embed_tokens.weight", "s2", "XX", [], 0, 8)]
-    return spark.createDataFrame(rows, inventory.TENSORS)
+def _tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    module = F.element_at(F.array(*map(F.lit, ("mlp.up_proj", "self_attn.q_proj", "input_layernorm", "linear_attn.conv1d"))), (k % 4 + 1).cast("int"))
+    one = F.lit(1).cast("long")
+    shape = F.when(k % 4 == 0, F.array(64 * size, 32 * one)).when(k % 4 == 1, F.array(32 * one, size)).when(k % 4 == 2, F.array(size)).otherwise(F.array(size, one, 4 * one))
+    dtype = F.when(F.col("p_brand") == "Brand#13", "F32").when(F.col("p_brand") == "Brand#5", "XX").otherwise("BF16")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("model.layers."), F.floor(k / 4).cast("string"), F.lit("."), module, F.lit(".weight")).alias("name"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("shard"), dtype.alias("dtype"), shape.alias("shape"), (1000 * k).cast("long").alias("start"), k.alias("k"), "p_size")
+    return rows.withColumn("end", F.col("start") + inventory.elements(F.col("shape")) * F.when(F.col("dtype") == "F32", 4).otherwise(2) + F.when(F.col("k") % 100 == 7, 2).otherwise(0))
+
+
+_TENSORS = """
+t AS (
+  SELECT *, 'model.layers.' || k // 4 || '.' || module || '.weight' AS name, n * width + CASE WHEN k % 100 = 7 THEN 2 ELSE 0 END AS bytes FROM (
+    SELECT p_partkey AS k, p_size, 's' || p_partkey % 3 AS shard,
+           (['mlp.up_proj', 'self_attn.q_proj', 'input_layernorm', 'linear_attn.conv1d'])[p_partkey % 4 + 1] AS module,
+           p_size::BIGINT * ([2048, 32, 1, 4])[p_partkey % 4 + 1] AS n,
+           CASE p_brand WHEN 'Brand#13' THEN 'F32' WHEN 'Brand#5' THEN 'XX' ELSE 'BF16' END AS dtype, CASE p_brand WHEN 'Brand#13' THEN 4 ELSE 2 END AS width FROM part))"""
 
 
 @query(
-    """
-WITH t AS (
-  SELECT unnest(['mlp', 'attn', 'norm', 'conv']) AS c, k FROM (SELECT unnest(generate_series(0, 59)) AS k)),
-b AS (SELECT c, CASE c WHEN 'mlp' THEN 4096 WHEN 'attn' THEN 2048 WHEN 'norm' THEN 64 ELSE 256 END + CASE WHEN k = 7 THEN 2 ELSE 0 END AS bytes FROM t),
-l AS (
-  SELECT 'BF16' AS dtype, CASE c WHEN 'norm' THEN 'Normalization' WHEN 'conv' THEN 'Depthwise Conv1d' ELSE 'Linear' END AS kind, CASE c WHEN 'mlp' THEN 'text_mlp' WHEN 'attn' THEN 'full_attention' WHEN 'norm' THEN 'normalization' ELSE 'recurrent_gdn' END AS component, bytes FROM b
-  UNION ALL VALUES ('F32', 'Linear (lm_head)', 'lm_head', 400), ('BF16', 'Linear', 'mtp', 32), ('BF16', 'Vision patch projection', 'vision', 8), ('XX', 'Embedding', 'embeddings', 8))
+    f"""
+WITH {_TENSORS},
+l AS (SELECT dtype, bytes, CASE module WHEN 'input_layernorm' THEN 'Normalization' WHEN 'linear_attn.conv1d' THEN 'Depthwise Conv1d' ELSE 'Linear' END AS kind,
+        CASE module WHEN 'mlp.up_proj' THEN 'text_mlp' WHEN 'self_attn.q_proj' THEN 'full_attention' WHEN 'input_layernorm' THEN 'normalization' ELSE 'recurrent_gdn' END AS component FROM t)
 SELECT 'dtype' AS "grouping", dtype AS label, count(*) AS tensors, sum(bytes)::BIGINT AS bytes FROM l GROUP BY dtype
 UNION ALL SELECT 'kind', kind, count(*), sum(bytes)::BIGINT FROM l GROUP BY kind UNION ALL SELECT 'component', component, count(*), sum(bytes)::BIGINT FROM l GROUP BY component"""
 )
 def tensor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.tensor_rollup(_tensors(spark))
+    return inventory.tensor_rollup(_tensors(spark, sf_dir))
 
 
 @query(
-    """
-SELECT * FROM (VALUES ('missing_tensor', 'gone.weight', 's9', NULL), ('unindexed_tensor', 'lm_head.weight', NULL, 's0'),
-  ('mapping_mismatch', 'mtp.fc.weight', 's2', 's1'), ('duplicate_tensor', 'model.embed_tokens.weight', '1', '2')) AS v(rule, key, expected, observed)"""
+    f"""
+WITH {_TENSORS}
+SELECT 'missing_tensor' AS rule, 'gone.' || k AS key, 's9' AS expected, NULL AS observed FROM t WHERE p_size = 4
+UNION ALL SELECT 'unindexed_tensor', name, NULL, shard FROM t WHERE p_size = 2
+UNION ALL SELECT 'mapping_mismatch', name, 's9', shard FROM t WHERE p_size = 3
+UNION ALL SELECT 'duplicate_tensor', name, '1', '2' FROM t WHERE p_size = 1"""
 )
 def inventory_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = _tensors(spark)
-    twice = there.unionByName(there.where("name = 'model.embed_tokens.weight'"))
-    index = there.where("name <> 'lm_head.weight'").select("name", F.when(F.col("name") == "mtp.fc.weight", "s2").otherwise(F.col("shard")).alias("shard"))
-    return inventory.reconcile(index.unionByName(spark.createDataFrame([("gone.weight", "s9")], "name string, shard string")), twice)
+    there = _tensors(spark, sf_dir)
+    index = there.where("p_size <> 2").select("name", F.when(F.col("p_size") == 3, "s9").otherwise(F.col("shard")).alias("shard"))
+    gone = there.where("p_size = 4").select(F.concat(F.lit("gone."), F.col("k").cast("string")).alias("name"), F.lit("s9").alias("shard"))
+    return inventory.reconcile(index.unionByName(gone), there.unionByName(there.where("p_size = 1")))
 
 
-@query("SELECT 'tensor_bytes' AS rule, 'model.layers.7.' || n AS key, b::VARCHAR AS expected, (b + 2)::VARCHAR AS observed FROM (VALUES ('mlp.up_proj.weight', 4096), ('self_attn.q_proj.weight', 2048), ('input_layernorm.weight', 64), ('linear_attn.conv1d.weight', 256)) AS v(n, b)")
+@query(f"WITH {_TENSORS} SELECT 'tensor_bytes' AS rule, name AS key, (n * width)::VARCHAR AS expected, bytes::VARCHAR AS observed FROM t WHERE dtype <> 'XX' AND k % 100 = 7")
 def tensor_byte_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.byte_violations(_tensors(spark))
+    return inventory.byte_violations(_tensors(spark, sf_dir))
 
 
-@query("SELECT 'model.layers.' || k || '.mlp.up_proj' AS name, 'mlp.up_proj' AS suffix FROM (SELECT unnest(generate_series(0, 59)) AS k)")
+@query(f"WITH {_TENSORS} SELECT 'model.layers.' || k // 4 || '.mlp.up_proj' AS name, 'mlp.up_proj' AS suffix FROM t WHERE k % 4 = 0")
 def selected_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _tensors(spark).select(F.regexp_replace("name", r"\.weight$", "").alias("name"))
+    names = _tensors(spark, sf_dir).select(F.regexp_replace("name", r"\.weight$", "").alias("name"))
     suffixes = spark.createDataFrame([("up_proj",), ("mlp.up_proj",), ("fc",)], "suffix string")
     return inventory.select_targets(names, suffixes, r"model\.layers\.\d+\..+")
 
 
-@query("SELECT shard, count(*) AS n FROM (SELECT 's' || k % 3 AS shard FROM (SELECT unnest(generate_series(0, 59)) AS k), range(4) UNION ALL VALUES ('s0'), ('s1'), ('s2'), ('s2')) GROUP BY shard")
+@query(f"WITH {_TENSORS} SELECT shard, count(*) AS n FROM t GROUP BY shard")
 def shard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.names_by_shard(_tensors(spark)).select("shard", F.size("names").cast("long").alias("n"))
+    return inventory.names_by_shard(_tensors(spark, sf_dir)).select("shard", F.size("names").cast("long").alias("n"))
 
 
-@query("SELECT pattern, n::BIGINT AS n_matched, n = 0 AND pattern NOT LIKE 're:^mtp%' AS unresolved FROM (VALUES ('lm_head.weight', 1), ('re:.*layernorm.*', 60), ('up_proj.weight', 60), ('re:^mtp.x', 0), ('none', 0)) AS v(pattern, n)")
+@query(
+    f"""
+WITH {_TENSORS}
+SELECT pattern, n AS n_matched, n = 0 AND pattern NOT LIKE 're:^mtp%' AS unresolved FROM (
+  SELECT 'model.layers.0.mlp.up_proj.weight' AS pattern, count_if(k = 0)::BIGINT AS n FROM t UNION ALL SELECT 're:.*layernorm.*', count_if(k % 4 = 2)::BIGINT FROM t
+  UNION ALL SELECT 'up_proj.weight', count_if(k % 4 = 0)::BIGINT FROM t UNION ALL SELECT 're:^mtp.x', 0 UNION ALL SELECT 'none', 0)"""
+)
 def policy_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.resolve_policy(_tensors(spark), ["lm_head.weight", "re:.*layernorm.*", "up_proj.weight", "re:^mtp.x", "none"])[1]
+    return inventory.resolve_policy(_tensors(spark, sf_dir), ["model.layers.0.mlp.up_proj.weight", "re:.*layernorm.*", "up_proj.weight", "re:^mtp.x", "none"])[1]
 
 
-@query("SELECT (60 * 2048)::BIGINT AS weights, (60 * 2048 // 2)::BIGINT AS packed_bytes, (60 * 2048 // 128 * 2)::BIGINT AS scale_bytes, (1000000 - 2 * 60 * 2048 + 60 * 2048 // 2 + 60 * 2048 // 128 * 2)::BIGINT AS checkpoint_bytes")
+@query(f"WITH {_TENSORS}, w AS (SELECT sum(n)::BIGINT AS w FROM t WHERE k % 4 = 0) SELECT w AS weights, (w + 1) // 2 AS packed_bytes, (w + 127) // 128 * 2 AS scale_bytes, 1000000000 - 2 * w + (w + 1) // 2 + (w + 127) // 128 * 2 AS checkpoint_bytes FROM w")
 def storage_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.storage_estimate(_tensors(spark).where("contains(name, 'up_proj')"), 1_000_000)
+    return inventory.storage_estimate(_tensors(spark, sf_dir).where("contains(name, 'up_proj')"), 1_000_000_000)
 
 
 @query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.2f B', n) WHEN n < 1048576 THEN printf('%.2f KiB', n / 1024) ELSE printf('%.2f MiB', n / 1048576) END AS size FROM (SELECT doc_id, n_chars * 997.0::DOUBLE / 3 AS n FROM documents)")
@@ -639,20 +646,30 @@ def byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", bytes_label(F.col("n_chars") * 997.0 / 3).alias("size"))
 
 
-_LOGS = [("oom", "WARNING: OOM seen\nleft truncated"), ("error", "x\nValueError: bad"), ("error2", "ERROR in y: an exception"), ("cut", "prompt exceeds model's max length"), ("clean", "INFO all good"), ("traceback", "Traceback (benign)")]
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    head = F.when(kind == "error", F.concat(F.lit("ERROR of user "), F.col("user_id").cast("string"), F.lit(": an exception\n"))).when(kind == "signup", "WARNING: OOM seen\nleft truncated\n").when(kind == "purchase", "prompt exceeds model's max length\n").otherwise("Traceback (benign)\n")
+    text = F.concat(head, F.lit(f"{logs.MARKERS['native_kernel_not_observed']}\n"), F.when(kind == "view", "-").otherwise("running in text-only mode."), F.lit("\nChunked prefill is enabled with max_num_batched_tokens=2,048.\nGPU KV cache size: "), F.format_number(F.floor(F.col("value") * 200), 0), F.lit(" tokens"))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("log"))
+
 
+_FAILURES = "CASE event_type WHEN 'error' THEN 'runtime_exception_detected' WHEN 'signup' THEN 'allocator_oom_warning_detected' WHEN 'purchase' THEN 'runtime_truncation_detected' END"
 
-@query("SELECT * FROM (VALUES ('oom', 'allocator_oom_warning_detected'), ('error', 'runtime_exception_detected'), ('error2', 'runtime_exception_detected'), ('cut', 'runtime_truncation_detected'), ('clean', NULL), ('traceback', NULL)) AS v(name, failure)")
+
+@query(f"SELECT event_id, {_FAILURES} AS failure FROM events")
 def log_failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_LOGS, "name string, log string").select("name", logs.failure_class(F.col("log")).alias("failure"))
+    return _logs(spark, sf_dir).select("event_id", logs.failure_class(F.col("log")).alias("failure"))
 
 
-@query("SELECT * FROM (VALUES ('kv_capacity', 'low', '20992', '16000'), ('text_only_not_observed', 'low', 'running in text-only mode.', NULL)) AS v(rule, key, expected, observed)")
+@query(
+    f"""
+WITH l AS (SELECT event_id::VARCHAR AS key, event_type, {_FAILURES} AS failure, floor(value * 200)::BIGINT AS capacity FROM events)
+SELECT failure AS rule, key, NULL AS expected, NULL AS observed FROM l WHERE failure IS NOT NULL
+UNION ALL SELECT 'text_only_not_observed', key, 'running in text-only mode.', NULL FROM l WHERE event_type = 'view'
+UNION ALL SELECT 'kv_capacity', key, '20992', capacity::VARCHAR FROM l WHERE capacity < 20992"""
+)
 def log_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = f"{logs.MARKERS['native_kernel_not_observed']}\nrunning in text-only mode.\nChunked prefill is enabled with max_num_batched_tokens=2,048.\nGPU KV cache size: 20,992 tokens"
-    low = good.replace("20,992", "16,000").replace("running in text-only mode.", "-")
-    rows = spark.createDataFrame([("good", good), ("low", low)], "name string, log string")
-    return logs.log_violations(rows, "name", "log", 2048, 20992)
+    return logs.log_violations(_logs(spark, sf_dir), "event_id", "log", 2048, 20992)
 
 
 @query("SELECT 'split_count' AS rule, 'corpus/' || lang || '/train' AS key, n::VARCHAR AS expected, (n + 1)::VARCHAR AS observed FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) WHERE lang = 'fr' UNION ALL SELECT 'split_count', 'corpus/xx/train', '5', NULL")
