@@ -11,6 +11,7 @@ from quern.functions.shared import cut, ship
 from quern.functions.text import TOKEN, bytes_label, shingled, shuffled_key, token_ids_digest
 from quern.functions.vocabulary import token_counts
 from quern.operators import chat, contracts, corpus, dedup, evalstats, inventory, logs, overlap, requests, selection, telemetry
+from quern.operators.templates import compile_template
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,6 +217,66 @@ def longest_admissible_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("lengths", lengths).select("conv_id", corpus.longest_prefix(F.col("lengths"), 32, 512).alias("n_tokens")).where("n_tokens is not null")
 
 
+#: Two templates of common kinds: marked turns with tools and calls, and bracketed turns with the system message in the first.
+MARKED = """\
+{%- if tools %}
+    {{- '<|im_start|>system\\n' }}
+    {%- if messages[0].role == 'system' %}
+        {{- (messages[0].content | trim) + '\\n\\n' }}
+    {%- endif %}
+    {{- '# Tools\\n' }}
+    {%- for tool in tools %}
+        {{- tool + '\\n' }}
+    {%- endfor %}
+    {{- '<|im_end|>\\n' }}
+{%- elif messages[0].role == 'system' %}
+    {{- '<|im_start|>system\\n' + (messages[0].content | trim) + '<|im_end|>\\n' }}
+{%- endif %}
+{%- for message in messages %}
+    {%- if message.role == 'tool' %}
+        {{- '<|im_start|>user\\n<result id=' + message.tool_call_id + '>\\n' + message.content + '\\n</result><|im_end|>\\n' }}
+    {%- elif not (message.role == 'system' and loop.first) %}
+        {{- '<|im_start|>' + message.role + '\\n' + message.content }}
+        {%- for call in message.tool_calls %}
+            {%- if message.content or not loop.first %}{{- '\\n' }}{%- endif %}
+            {{- '<call>' + (call.function | tojson) + '</call>' }}
+        {%- endfor %}
+        {{- '<|im_end|>\\n' }}
+    {%- endif %}
+{%- endfor %}
+{%- if add_generation_prompt %}
+    {{- '<|im_start|>assistant\\n' }}
+{%- endif %}"""
+BRACKETS = """\
+{{- '<s>' }}
+{%- for message in messages %}
+    {%- if message['role'] == 'user' %}
+        {{- '[INST] ' }}
+        {%- if messages[0]['role'] == 'system' and messages[0]['content'] and loop.index0 == 1 %}{{- '<<SYS>>\\n' + messages[0]['content'] + '\\n<</SYS>>\\n\\n' }}{%- endif %}
+        {{- (message['content'] | trim) + ' [/INST]' }}
+    {%- elif message['role'] == 'assistant' %}
+        {{- ' ' + (message['content'] | trim) + '</s>' }}{{- '' if loop.last else '<s>' }}
+    {%- endif %}
+{%- endfor %}"""
+
+
+@query(
+    r"""
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+             first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS role1, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS text1,
+             regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations)
+SELECT conv_id,
+  string_agg('<|im_start|>' || role || chr(10) || CASE WHEN k = 1 AND role = 'system' THEN t ELSE coalesce(text, '') END || '<|im_end|>' || chr(10), '' ORDER BY turn) AS marked,
+  '<s>' || string_agg(CASE role WHEN 'user' THEN '[INST] ' || CASE WHEN role1 = 'system' AND text1 <> '' AND k = 2 THEN '<<SYS>>' || chr(10) || text1 || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END || t || ' [/INST]'
+    WHEN 'assistant' THEN ' ' || t || '</s>' || CASE WHEN k = n THEN '' ELSE '<s>' END ELSE '' END, '' ORDER BY turn) AS brackets
+FROM m GROUP BY conv_id"""
+)
+def chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.conversation_messages(table(spark, sf_dir, "conversations"))
+    names = {"messages": (F.col("messages"), rows.schema["messages"].dataType)}
+    return rows.select("conv_id", compile_template(MARKED, names).alias("marked"), compile_template(BRACKETS, names).alias("brackets"))
+
+
 # Decontamination
 
 
