@@ -68,8 +68,3 @@ def sustained_alarms(samples: DataFrame, by: str, time: str, reasons: str, secon
 def running_extremes(samples: DataFrame, by: str, value: str) -> DataFrame:
     """Least and largest value and the number of samples so far; written in update or complete mode."""
     return samples.groupBy(by).agg(F.min(value).alias("minimum"), F.max(value).alias("maximum"), F.count("*").alias("samples"))
-
-
-def assembled_responses(chunks: DataFrame, by: str = "request_id", time: str = "ts") -> DataFrame:
-    """First text time, last time and chunks so far of each streamed response; update or complete mode."""
-    return chunks.groupBy(by).agg(F.min(F.when(F.coalesce("text", F.lit("")) != "", F.col(time))).alias("first_text_at"), F.max(time).alias("last_at"), F.count("*").alias("chunks"))
