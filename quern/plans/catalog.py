@@ -530,6 +530,14 @@ def request_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.task_maxima(_requests(spark, sf_dir))
 
 
+@query("SELECT 'document_count' AS rule, d.lang AS task, d.n AS expected, l.n AS observed FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) d FULL JOIN (SELECT lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang) l ON d.lang = l.lang WHERE d.n IS DISTINCT FROM l.n")
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rated = table(spark, sf_dir, "documents"), _raters(spark, sf_dir)[0]
+    expected = docs.groupBy(F.col("lang").alias("task")).agg(F.count("*").alias("expected"))
+    observed = rated.groupBy("task").agg(F.count("*").alias("observed"))
+    return requests.group_count_violations(observed, expected, "task").withColumnRenamed("key", "task")
+
+
 @query(f"WITH {_REQUESTS} SELECT 'truncation' AS rule, task || '/' || doc_id AS key, CASE WHEN ll THEN 1499 ELSE 1500 END AS expected, n + reserve AS observed FROM r WHERE n + reserve > CASE WHEN ll THEN 1499 ELSE 1500 END")
 def request_truncations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.truncation_violations(_requests(spark, sf_dir), 1500)
