@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 #: Lists that `work_tables` fills, the innermost last.
@@ -101,3 +102,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a work table that no plan reads any more."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def sized(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """`df`, a work table of slim rows, to be broadcast if it has so many rows at most; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -87,6 +87,16 @@ def examined(rows: DataFrame, cap: int, id: str, by: list[str], seed: int = 42)
     return budget_take(keyed, cap, "one__", [F.col("key__"), F.col(id)], by, key=F.col("key__")).withColumnRenamed("tokens_before", "place").drop("key__", "one__")
 
 
+def within_examination(rows: DataFrame, examined_rows: DataFrame, id: str, by: str, seed: int = 42) -> DataFrame:
+    """Those of `rows` that `examined_rows`, the result of `examined` on their slim columns, has.
+
+    Each source's last examined key is broadcast, one row a source, so wide rows aren't shuffled.
+    """
+    key = F.struct(shuffled_key(F.col(id), seed).alias("key"), F.col(id).alias("id"))
+    last = examined_rows.groupBy(F.col(by).alias("by__")).agg(F.max(key).alias("last__"))
+    return rows.join(F.broadcast(last), F.col(by).eqNullSafe(F.col("by__"))).where(key <= F.col("last__")).drop("by__", "last__")
+
+
 def budget_take(rows: DataFrame, target: Column | int, tokens: str, order: list[Column], by: list[str], buckets: int = 256, key: Column | None = None) -> DataFrame:
     """Rows in order while the sum of those before is under the target; the one that crosses it is taken.
 
@@ -167,7 +177,8 @@ def repeat_cyclic(rows: DataFrame, count: int, order: str) -> DataFrame:
     """`count` rows: those of a tiny table again and again, with their place."""
     numbered = rows.withColumn("k", F.row_number().over(Window.orderBy(order)) - 1)
     n = numbered.select(F.count("*").over(Window.partitionBy()).alias("n"), "*")
-    places = n.withColumn("place", F.explode(F.sequence(F.col("k").cast("long"), F.lit(count - 1).cast("long"), F.col("n").cast("long"))))
+    last = F.greatest(F.lit(count - 1), F.col("k")).cast("long")  # of fewer rows than the table has
+    places = n.withColumn("place", F.explode(F.sequence(F.col("k").cast("long"), last, F.col("n").cast("long"))))
     return places.where(F.col("place") < count).drop("n", "k")
 
 

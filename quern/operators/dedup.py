@@ -9,16 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.shared import cut
+from quern.functions.shared import cut, sized
 from quern.functions.text import shingled
 from quern.functions.textvec import among
 
 
 def shingle_classes(rows: DataFrame, id: str, text: str, size: int = 5) -> DataFrame:
-    """(id, class_id, n_grams, grams): rows with equal shingle sets share the least id; empty sets stay alone."""
+    """(id, class_id, n_grams, grams): rows with equal shingle sets share the least id; empty sets stay alone.
+
+    Sets are written once and compared by 128 bits of hashes; only classes of several rows are joined back, so sets travel
+    only where there are too many of those to broadcast.
+    """
     own = cut(shingled(rows, id, text, size).withColumnRenamed(id, "id__"), "sets")
-    own = own.withColumn("name", F.when(F.size("grams") > 0, F.md5(F.to_json("grams"))))
-    first = own.where("name is not null").groupBy("name").agg(F.min("id__").alias("class_id"))
+    own = own.withColumn("name", F.when(F.size("grams") > 0, F.struct(F.xxhash64("grams").alias("a"), F.xxhash64("grams", F.lit(1)).alias("b"))))
+    first = own.where("name is not null").groupBy("name").agg(F.min("id__").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = sized(cut(first, "equal-sets"))
     return own.join(first, "name", "left").select(F.col("id__").alias(id), F.coalesce("class_id", "id__").alias("class_id"), F.size("grams").alias("n_grams"), "grams")
 
 
@@ -31,14 +36,13 @@ PROFILE = 256
 def _common_grams(heads: DataFrame) -> np.ndarray:
     """Grams that occur often in a 64th of the sets, sorted, the most frequent `COMMON` of them."""
     some = heads.where(F.pmod(F.xxhash64("id__", "n"), F.lit(64)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df >= 8")
-    return np.sort(some.orderBy(F.desc("df"), "gram").limit(COMMON).select("gram").toArrow().column("gram").to_numpy())
+    return np.sort(some.orderBy(F.desc("df"), "gram").limit(COMMON).select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
 
 
 def _rows(column) -> tuple[np.ndarray, np.ndarray]:
-    """(values, cuts) of a list column."""
+    """(values, cuts) of a list column of hashes; each list is sorted as unsigned numbers."""
     array = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    offsets = array.offsets.to_numpy()
-    return array.values.to_numpy(), offsets
+    return array.values.to_numpy().view(np.uint64), array.offsets.to_numpy()
 
 
 def _prefixes(common: np.ndarray, percent: int):
@@ -54,7 +58,7 @@ def _prefixes(common: np.ndarray, percent: int):
                 out.append(first)
                 taken.append(len(first))
             at = pa.array(np.repeat(np.arange(len(batch)), taken))
-            yield pa.RecordBatch.from_arrays([batch.column("id__").take(at), batch.column("n").take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *out]))], names=["id__", "n", "gram"])
+            yield pa.RecordBatch.from_arrays([batch.column("id__").take(at), batch.column("n").take(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))], names=["id__", "n", "gram"])
 
     return run
 
@@ -62,22 +66,26 @@ def _prefixes(common: np.ndarray, percent: int):
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values, cuts = _rows(batch.column("grams"))
-        place = (values.view(np.uint64) >> np.uint64(56)).astype(np.int64)
+        place = (values >> np.uint64(56)).astype(np.int64)
         owner = np.repeat(np.arange(len(batch)), np.diff(cuts))
         inside = (np.arange(len(values)) >= cuts[0]) & (np.arange(len(values)) < cuts[-1])
-        counts = np.bincount(owner * PROFILE + place[inside], minlength=len(batch) * PROFILE).reshape(-1, PROFILE).astype(np.int32)
+        counts = np.bincount(owner * PROFILE + place[inside], minlength=len(batch) * PROFILE).reshape(-1, PROFILE)
+        counts = np.minimum(counts, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([batch.column("id__"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["id__", "profile"])
 
 
 def _may_reach(percent: int):
-    """Pairs whose profiles allow the threshold: sets share no more grams than the lesser counts of each bucket."""
+    """Pairs whose profiles allow the threshold: sets share no more grams than the lesser counts of each bucket.
+
+    A count of 255 may be any larger one; such pairs stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, PROFILE) for c in ("one", "two"))
-            most = np.minimum(one, two).sum(1)
-            sizes = one.sum(1) + two.sum(1)
-            keep = pa.array(100 * most >= percent * (sizes - most))
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PROFILE) for c in ("one", "two"))
+            most = np.minimum(one, two).sum(1, dtype=np.int64)
+            sizes = one.sum(1, dtype=np.int64) + two.sum(1, dtype=np.int64)
+            keep = pa.array((100 * most >= percent * (sizes - most)) | (one.max(1, initial=0) == 255) | (two.max(1, initial=0) == 255))
             yield batch.select(["left_id", "right_id"]).filter(keep)
 
     return run
@@ -107,17 +115,23 @@ def similar_pairs(classes: DataFrame, id: str, percent: int = 85) -> DataFrame:
     """
     kind = classes.schema[id].dataType.simpleString()
     heads = classes.where((F.col(id) == F.col("class_id")) & (F.col("n_grams") > 0)).select(F.col(id).alias("id__"), F.col("n_grams").cast("int").alias("n"), "grams")
-    heads = cut(heads.withColumn("grams", F.array_sort("grams")), "heads")
     prefix = heads.mapInArrow(_prefixes(_common_grams(heads), percent), f"id__ {kind}, n int, gram long")
     right = prefix.toDF("right_id", "m", "gram")
     met = prefix.toDF("left_id", "n", "gram").join(right, "gram").where("left_id < right_id").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("left_id", "right_id").distinct()
-    profiles = cut(heads.mapInArrow(_profiles, f"id__ {kind}, profile binary"), "profiles")
+    met = cut(met, "met")
+    profiles = cut(heads.select("id__", "grams").join(_ends(met), "id__", "left_semi").mapInArrow(_profiles, f"id__ {kind}, profile binary"), "profiles")
     both = met.join(profiles.toDF("right_id", "two"), "right_id").join(profiles.toDF("left_id", "one"), "left_id")
     near = cut(both.mapInArrow(_may_reach(percent), f"left_id {kind}, right_id {kind}"), "may-reach")
-    sets = near.join(heads.select(F.col("id__").alias("right_id"), F.col("grams").alias("two")), "right_id").join(heads.select(F.col("id__").alias("left_id"), F.col("grams").alias("one")), "left_id")
+    some = cut(heads.select("id__", "grams").join(_ends(near), "id__", "left_semi"), "sets-of-pairs")
+    sets = near.join(some.toDF("right_id", "two"), "right_id").join(some.toDF("left_id", "one"), "left_id")
     return sets.mapInArrow(_overlaps(percent), f"left_id {kind}, right_id {kind}, common long, jaccard double")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of pairs."""
+    return sized(cut(pairs.select(F.col("left_id").alias("id__")).unionByName(pairs.select(F.col("right_id").alias("id__"))).distinct(), "ends"))
+
+
 def greedy_keep(rows: DataFrame, id: str, text: str, percent: int = 85, size: int = 5, most_rounds: int = 1000) -> DataFrame:
     """(id, kept): each row in order of id is kept unless a kept earlier one is near it.
 

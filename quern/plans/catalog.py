@@ -379,12 +379,13 @@ def neardup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corpus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.examined(tokens(table(spark, sf_dir, "documents")), 100_000, "doc_id", ["source"])
+    docs = tokens(table(spark, sf_dir, "documents"))
+    slim = cut(corpus.examined(docs.select("source", "doc_id", "n_tokens", F.sha2("text", 256).alias("identity")), 100_000, "doc_id", ["source"]), "examined")
     fit = lambda low, high: F.when(F.col("n_tokens").between(low, high), F.col("n_tokens"))
-    docs = docs.select("source", "place", F.col("doc_id").alias("row_id"), "text", fit(64, 511).alias("short_tokens"), fit(512, 2048).alias("long_tokens"))
-    docs = docs.where("short_tokens is not null or long_tokens is not null")  # the others can't be accepted
-    classes = cut(dedup.shingle_classes(docs, "row_id", "text"), "classes")
-    rows = docs.withColumn("identity", F.sha2("text", 256)).drop("text").join(classes.select("row_id", "class_id"), "row_id")
+    rows = slim.select("source", "place", F.col("doc_id").alias("row_id"), "identity", fit(64, 511).alias("short_tokens"), fit(512, 2048).alias("long_tokens"))
+    fitting = corpus.within_examination(docs, slim, "doc_id", "source").where("n_tokens between 64 and 2048")  # the others can't be accepted
+    classes = dedup.shingle_classes(fitting, "doc_id", "text").withColumnRenamed("doc_id", "row_id")
+    rows = rows.join(classes.select("row_id", "class_id"), "row_id")
     return selection.select_corpus(rows, dedup.similar_pairs(classes, "row_id"), [selection.Budget(f"src{k}", 2000, 3000) for k in range(20)]).drop("source")
 
 
