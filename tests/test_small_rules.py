@@ -57,3 +57,13 @@ def test_readers(spark, rows, tmp_path):
     for k in range(2):
         sinks.append_telemetry(spark.createDataFrame([(f"t{k}", k)], "ts string, n int"), path)
     assert spark.read.option("sep", "\t").csv(path).count() == 2
+
+
+def test_made_inputs(spark, rows):
+    """Operators that make rows from nothing have no query."""
+    ids = {r["row"]: r["input_ids"] for r in corpus.synthetic_ids(spark, 40, 16).collect()}
+    assert ids == {r: [1 + (r * 17 + p) % 480 for p in range(16)] for r in range(40)}
+    assert set(rows(corpus.prompt_sizes(spark, [16, 33, 64, 2], "more data ", "Read this now "))) == {(2, 0, 0), (16, 6, 15), (33, 15, 33), (64, 30, 63)}
+    few = spark.range(5).withColumnRenamed("id", "k0")
+    assert rows(corpus.repeat_cyclic(few, 12, "k0"), "place", "k0") == sorted(((p, p % 5) for p in range(12)), key=repr)
+    assert rows(corpus.repeat_cyclic(few, 3, "k0"), "place", "k0") == [(p, p) for p in range(3)]
