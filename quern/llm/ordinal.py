@@ -175,17 +175,20 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, grades: int, most_ratings:
     width, penalty = len(buckets), max(l2, 1 / n)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
-        rows.sort()  # sums don't depend on the partitions' order
-        cuts = np.r_[0, np.cumsum([len(x[2]) // 2 for x in rows], dtype=np.int64)]
-        column = np.frombuffer(b"".join(x[1] for x in rows), np.int32)
-        count = np.frombuffer(b"".join(x[2] for x in rows), np.uint16)
-        grade = np.array([x[0] for x in rows], np.int64)
-        rows.clear()
+        # The rows come sorted, so that sums don't depend on the partitions' order; each batch goes once it is copied.
+        grades_, sizes, columns, counts = [], [], bytearray(), bytearray()
+        for batch in batches:
+            grades_ += batch.column("grade").to_pylist()
+            for b, c in zip(batch.column("buckets"), batch.column("counts"), strict=True):
+                columns += b.as_buffer()
+                counts += c.as_buffer()
+                sizes.append(len(c.as_buffer()) // 2)
+        cuts = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        column, count, grade = np.frombuffer(columns, np.int32), np.frombuffer(counts, np.uint16), np.array(grades_, np.int64)
         weights, thresholds = _fit(grade, cuts, column, count, width, grades, penalty, rounds, rate)
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary()), "thresholds": pa.array([thresholds.tobytes()], pa.binary())})
 
-    sampled = hashed.mapInArrow(select, "grade int, buckets binary, counts binary").repartition(1)
+    sampled = hashed.mapInArrow(select, "grade int, buckets binary, counts binary").repartition(1).sortWithinPartitions("grade", "buckets", "counts")
     model = sampled.mapInArrow(fit, "weights binary, thresholds binary").first()
     weights, thresholds = (np.frombuffer(model[k]) for k in ("weights", "thresholds")) if model else _fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16), width, grades, penalty, 0, rate)
     return OrdinalModel(buckets, weights, thresholds)
