@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.shared import cut
+from quern.functions.shared import cut, sized
 
 #: Bytes of each element type of a tensor file.
 DTYPE_BYTES = {"BOOL": 1, "U8": 1, "I8": 1, "F8_E4M3": 1, "F8_E5M2": 1, "I16": 2, "U16": 2, "F16": 2, "BF16": 2, "I32": 4, "U32": 4, "F32": 4, "I64": 8, "U64": 8, "F64": 8}
@@ -213,13 +213,16 @@ def file_changes(before: DataFrame, after: DataFrame, columns: list[str], key: s
 def select_targets(names: DataFrame, suffixes: DataFrame, pattern: str) -> DataFrame:
     """(name, suffix): names that match the pattern whole and end, after a dot, in a known suffix; the longest one.
 
-    A name meets suffixes by equality of its dotted endings, so there is no product of names and suffixes.
+    A name meets suffixes by equality of its dotted endings, so there is no product of names and suffixes. Of the two sides
+    only suffixes are broadcast, and a name keeps the length of its longest suffix, which stands at its end.
     """
     parts = F.split("name", r"\.")
     endings = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     some = names.where(F.col("name").rlike(f"^(?:{pattern})$") & F.col("name").contains("."))
-    met = some.select("name", F.explode(endings).alias("suffix")).join(suffixes.select("suffix").distinct(), "suffix")
-    return met.groupBy("name").agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
+    # Without a hint Spark goes by the size of the names' file, which their endings exceed many times.
+    known = sized(suffixes.select("suffix").distinct(), other="merge")
+    met = some.select("name", F.explode(endings).alias("suffix")).join(known, "suffix")
+    return met.groupBy("name").agg(F.max(F.length("suffix")).alias("n")).select("name", F.expr("right(name, n)").alias("suffix"))
 
 
 def names_by_shard(tensors: DataFrame) -> DataFrame:
