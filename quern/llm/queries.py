@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.shared import new_path, ship
+from quern.functions.shared import BATCH_ROWS as BATCH_ROWS
+from quern.functions.shared import bound_batches, new_path
 from quern.llm.collocations import collocations
 from quern.llm.conversation_repair import damage, repair_conversations
 from quern.llm.exact_search import search_exact
@@ -31,16 +32,6 @@ def _query(f):
     return f
 
 
-#: Rows that travel to a Python worker at once. Texts of documents take some 3 kB each, some a hundred times that.
-BATCH_ROWS = 1000
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Send the package to the workers, and set the session's Arrow batches to so few rows that workers' memory doesn't depend on long texts."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

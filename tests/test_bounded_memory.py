@@ -1,6 +1,12 @@
 """What a task or a worker holds doesn't grow with the table."""
 
-from quern.operators import inventory
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from quern.operators import dedup, inventory
+from quern.plans import catalog
 
 
 def test_targets_broadcast_suffixes_only(spark, rows, tmp_path):
@@ -12,3 +18,27 @@ def test_targets_broadcast_suffixes_only(spark, rows, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     # A small file of names makes many endings: it is the suffixes that go to all machines; no name is sorted.
     assert "BuildRight" in plan and "BuildLeft" not in plan and "SortAggregate" not in plan
+
+
+def test_reference_queries_bound_batches(spark, rows):
+    for name in ("corpus_selection", "neardup_pairs", "decontaminated_docs"):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000, name
+
+
+def _sets(n, size):
+    flat = np.sort(np.random.default_rng(3).integers(0, 1 << 63, (n, size), np.int64).view(np.uint64) << np.uint64(1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.array(flat.ravel().view(np.int64)))], names=["id__", "n", "grams"])
+
+
+def test_sets_are_read_in_parts():
+    batch = _sets(10_000, 300)
+    expected = [np.bincount((np.array(s, np.int64).view(np.uint64) >> np.uint64(56)).astype(int), minlength=256).astype(np.uint8).tobytes() for s in batch.column("grams").slice(70, 5).to_pylist()]
+    assert [p for part in dedup._profiles(iter([batch.slice(70, 5)])) for p in part.column("profile").to_pylist()] == expected
+    for run, limit in ((dedup._profiles, 16), (dedup._prefixes(np.zeros(0, np.uint64), 85), 16)):
+        tracemalloc.start()
+        found = sum(len(part) for part in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == (10_000 if run is dedup._profiles else 10_000 * 46) and peak < limit << 20
