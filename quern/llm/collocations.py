@@ -46,6 +46,8 @@ _SOLID[[0x20, 0x09]] = False
 _MOST_BYTES = 2 << 20
 #: Different phrases that a task holds before it adds them up and lets them go.
 _HELD = 1 << 20
+#: Phrases that are written out in one go; each of their bytes takes some 24 for the time.
+_AT_ONCE = 1 << 14
 _EMITTED = "lang string, phrase string, f long, slot int, block binary"
 
 
@@ -61,7 +63,7 @@ class Words:
         of = mix(hash_spans(tongue, cuts[:-1], cuts[1:]))
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
         self.hash = mix(hash_spans(self.data, starts, ends) + of[self.doc])
-        stops = np.cumsum(_STOP[self.data])
+        stops = np.cumsum(_STOP[self.data], dtype=np.int32)  # a part has about 2 MB
         piece = stops[starts] if len(starts) else np.zeros(0, np.int64)
         self.joined = np.zeros(max(0, len(starts) - 1), bool)
         if len(starts):
@@ -81,6 +83,8 @@ class Words:
 
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
         """The k words from each of `at` on, joined by blanks."""
+        if len(at) > _AT_ONCE:
+            return pa.concat_arrays([self.phrases(at[i : i + _AT_ONCE], k) for i in range(0, len(at), _AT_ONCE)])
         word = (at[:, None] + np.arange(k)[None, :]).ravel()
         size = self.ends[word] - self.starts[word] + 1
         to = np.cumsum(size)
@@ -129,28 +133,43 @@ class Tally:
     """Phrases of a task with their counts, added up by hash; phrases whose second hashes differ stay apart."""
 
     def __init__(self):
-        self.parts: list[tuple] = []
+        self.columns: list[list] = [[] for _ in range(5)]
         self.rows = 0
 
     def add(self, own: np.ndarray, check: np.ndarray, number: np.ndarray, lang: pa.Array, phrase: pa.Array) -> Iterator[pa.RecordBatch]:
-        self.parts.append((own, check, number, lang, phrase))
+        for held, column in zip(self.columns, (own, check, number.astype(np.int32), lang, phrase), strict=True):
+            held.append(column)
         self.rows += len(own)
         if self.rows > _HELD:
             yield from self.flush()
 
+    def _whole(self, i: int, join=np.concatenate):
+        """A column in one piece; its parts go."""
+        out = join(self.columns[i])
+        self.columns[i] = []
+        return out
+
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
+        if not self.rows:
             return
-        own, check, number = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
-        lang, phrase = (pa.concat_arrays([p[i] for p in self.parts]) for i in (3, 4))
-        self.parts, self.rows = [], 0
+        self.rows = 0
+        # One column at a time is there twice.
+        own = self._whole(0)
         order = np.argsort(own, kind="stable")
+        own = own[order]
         fresh = np.ones(len(own), bool)
-        np.logical_or(own[order][1:] != own[order][:-1], check[order][1:] != check[order][:-1], out=fresh[1:])
+        np.not_equal(own[1:], own[:-1], out=fresh[1:])
+        del own
+        check = self._whole(1)[order]
+        fresh[1:] |= check[1:] != check[:-1]
+        del check
         first = np.flatnonzero(fresh)
-        sums = np.add.reduceat(number[order], first)
+        sums = np.add.reduceat(self._whole(2)[order], first, dtype=np.int64)
+        first = order[first]
+        del order, fresh
+        lang, phrase = self._whole(3, pa.concat_arrays), self._whole(4, pa.concat_arrays)
         for at in range(0, len(first), 1 << 17):
-            some = pa.array(order[first[at : at + (1 << 17)]])
+            some = pa.array(first[at : at + (1 << 17)])
             yield _emitted(pa.RecordBatch.from_pydict({"lang": lang.take(some), "phrase": phrase.take(some), "f": pa.array(sums[at : at + (1 << 17)])}))
 
 
@@ -210,6 +229,7 @@ def _pass(k: int, last: bool, bits: int, least: int, parts_bitmap, bucket_bitmap
         yield from tally.flush()
         if counters:
             yield from map(_emitted, counters.blocks())
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with no more than it needs
 
     return run
 

@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from quern.llm import collocations
 from quern.operators import dedup, inventory
 from quern.plans import catalog
 
@@ -42,3 +43,31 @@ def test_sets_are_read_in_parts():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert found == (10_000 if run is dedup._profiles else 10_000 * 46) and peak < limit << 20
+
+
+def test_phrases_are_written_in_parts():
+    words = collocations.Words(pa.array(["Alpha beta, gamma " * 100_000]), pa.array(["en"]))
+    tracemalloc.start()
+    found = words.phrases(np.arange(250_000), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20 and len(found) == 250_000
+    three = ["alpha beta gamma", "beta gamma alpha", "gamma alpha beta"]
+    assert found.slice(16_380, 8).to_pylist() == [three[i % 3] for i in range(16_380, 16_388)]
+
+
+def test_tally_holds_a_column_twice_at_most():
+    tally, n = collocations.Tally(), 100_000
+    tracemalloc.start()
+    for part in range(10):
+        own = np.arange(n, dtype=np.uint64) * np.uint64(part + 1)
+        out = list(tally.add(own, own, np.full(n, 2), pa.array(["en"]).take(pa.array(np.zeros(n, int))), pa.array(own).cast(pa.string())))
+        assert not out
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    out = list(tally.flush())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = {p: f for b in out for p, f in zip(b.column("phrase").to_pylist(), b.column("f").to_pylist(), strict=True)}
+    assert counts["0"] == 20 and sum(counts.values()) == 2 * n * 10 and len(counts) == sum(len(b) for b in out)
+    assert peak - held < 28 << 20 and not list(tally.flush())
