@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from quern.llm import collocations
-from quern.operators import dedup, inventory
+from quern.operators import dedup, inventory, selection
 from quern.plans import catalog
 
 
@@ -45,6 +45,27 @@ def test_sets_are_read_in_parts():
         assert found == (10_000 if run is dedup._profiles else 10_000 * 46) and peak < limit << 20
 
 
+def test_fold_holds_no_pairs():
+    # 2,000 classes, all near to each other, by four million rows of pairs.
+    n = 2000
+    schema = pa.schema([("turn", pa.int32()), ("place", pa.int64()), ("row_id", pa.int64()), ("class_id", pa.int64()), ("identity", pa.string()), ("short_tokens", pa.float64()), ("long_tokens", pa.float64()), ("other", pa.int64())])
+
+    def batches():
+        for k in range(n):
+            row = pa.RecordBatch.from_pylist([{"turn": 0, "place": k, "row_id": k, "class_id": k, "identity": f"t{k}", "short_tokens": 5.0}], schema)
+            same = [pa.array(np.full(n, x), t) for x, t in ((0, pa.int32()), (k, pa.int64()), (k, pa.int64()), (k, pa.int64()))]
+            pairs = pa.RecordBatch.from_arrays([*same, *(pa.nulls(n, schema.field(c).type) for c in ("identity", "short_tokens", "long_tokens")), pa.array(np.arange(n))], schema=schema)
+            yield from (row, pairs.slice(0, 700), pairs.slice(700)) if k % 2 else (pa.concat_batches([row, pairs]),)
+
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    found = list(selection.fold([selection.Budget("a", 1000, 1)])(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["row_id"] for b in found for r in b.to_pylist()] == [0]
+    assert peak < 8 << 20 and pa.total_allocated_bytes() - before < 8 << 20
+
+
 def test_phrases_are_written_in_parts():
     words = collocations.Words(pa.array(["Alpha beta, gamma " * 100_000]), pa.array(["en"]))
     tracemalloc.start()

@@ -128,3 +128,29 @@ def test_chain_with_tools_and_refusals(spark):
     both = selection.chat_selection(df.where("conv_id <> 2"), [selection.Budget("src0", 0, 100)], count, {"short": (20, 1000), "long": (20, 1000)}, tasks=("trajectory",), tools="tools").collect()
     assert [r["conv_id"] for r in both] == [1] and both[0]["bucket"] == "long" and both[0]["prefix_length"] == 5
     assert both[0]["rendered"].startswith('<|tools|>\n[{"name": "shell"}]<|end|>\n<|system|>\nRules.') and '"cmd' in both[0]["rendered"]
+
+
+def test_near_classes_of_several_rows(spark):
+    # Rows that share a class, repeat it exactly, or fit only once another bucket is full; chains and blocks of near classes.
+    rng = random.Random(11)
+    rows, near = [], {(c, c + 1) for c in range(0, 60, 2)} | {(a, b) for a in range(60, 80) for b in range(a + 1, 80)}
+    for k in range(600):
+        c = rng.randrange(90)
+        rows.append((f"s{k % 3}", k // 3, k, f"t{c}-{rng.randrange(3)}", rng.choice([None, 5, 6]), rng.choice([None, 20]), c))
+    df = spark.createDataFrame(rows, "source string, place long, row_id long, identity string, short_tokens int, long_tokens int, class_id long")
+    budgets = [("s0", 60, 150), ("s1", 40, 200), ("s2", 500, 900)]
+    got = selection.select_corpus(df, spark.createDataFrame(sorted(near), "left_id long, right_id long"), [selection.Budget(*b) for b in budgets])
+    tasks, classes, want = set(), set(), []
+    for source, *sizes in budgets:
+        target, spent = dict(zip(("short", "long"), sizes, strict=True)), {"short": 0, "long": 0}
+        for s, _, i, identity, a, b, c in rows:
+            if s != source or identity in tasks or c in classes or any((min(c, d), max(c, d)) in near for d in classes):
+                continue
+            fits = {k: n for k, n in (("short", a), ("long", b)) if n is not None and spent[k] < target[k]}
+            if fits:
+                best = max(fits, key=lambda k: (target[k] - spent[k]) / target[k])
+                spent[best] += fits[best]
+                tasks.add(identity)
+                classes.add(c)
+                want.append((i, best, fits[best]))
+    assert sorted(tuple(r) for r in got.select("row_id", "bucket", "tokens").collect()) == sorted(want) and len(want) > 20
